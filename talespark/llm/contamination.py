@@ -36,10 +36,21 @@ def shingles(words: str, length: int | str) -> Column:
     )
 
 
-def shingle_hashes(words: str, length: int) -> Column:
-    """64-bit hashes of those runs, repeats included."""
-    hashes = f"transform(ws, (w, i) -> IF(i + {length} <= size(ws), xxhash64(slice(ws, i + 1, {length})), NULL))"
-    return F.expr(f"aggregate(transform(array({words}), ws -> filter({hashes}, h -> h IS NOT NULL)), cast(array() as array<bigint>), (a, x) -> x)")
+def shingle_hashes(words: str, length: int) -> str:
+    """SQL for the 64-bit hashes of those runs in order, repeats included, for a length
+    from 1 to 5. Runs are built from runs of 2 and 4 words."""
+    nothing = "cast(array() as array<bigint>)"
+    let = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    after = lambda a, b, k: f"zip_with({a}, slice({b}, {k + 1}, size({b})), (x, y) -> xxhash64(x, y))"
+    w2, w4 = after("ws", "ws", 1), after("w2", "w2", 2)
+    body = {
+        1: "transform(ws, x -> xxhash64(x))",
+        2: w2,
+        3: let(w2, "w2", after("w2", "ws", 2)),
+        4: let(w2, "w2", w4),
+        5: let(w2, "w2", let(w4, "w4", after("w4", "ws", 4))),
+    }[length]
+    return let(words, "ws", f"IF(size(ws) < {length}, {nothing}, slice({body}, 1, size(ws) - {length - 1}))")
 
 
 def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -52,7 +63,8 @@ def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "te
 
 def sketches(listed: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
     """(item_id, length, h): bottom-k MinHash values, k by the size class."""
-    hashed = listed.select("item_id", "length", F.array_sort(F.transform("shingles", lambda s: F.xxhash64(F.split(s, " ")))).alias("hs"))
+    one = " ".join(f"WHEN {n} THEN element_at({shingle_hashes("split(s, ' ')", n)}, 1)" for n in range(1, SHINGLE + 1))
+    hashed = listed.select("item_id", "length", F.expr(f"array_sort(transform(shingles, s -> CASE length {one} END))").alias("hs"))
     top = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("hs"))))
     k = (F.floor(F.round((1 - F.lit(threshold)) * top, 6)) + 1).cast("int")
     return hashed.select("item_id", "length", F.explode(F.slice("hs", F.lit(1), k)).alias("h"))
@@ -78,7 +90,7 @@ def find_contaminated(docs: DataFrame, items: DataFrame, threshold: float = CONT
     for length, n in sorted(shapes.items()):
         probe = sketch.filter(F.col("length") == length).select("item_id", "h")
         probe = F.broadcast(probe) if n <= BROADCAST_ROWS else probe
-        hits = words.select("doc_id", F.explode(shingle_hashes("words", length)).alias("h")).join(probe, "h").select("doc_id", "item_id")
+        hits = words.select("doc_id", F.explode(F.expr(shingle_hashes("words", length))).alias("h")).join(probe, "h").select("doc_id", "item_id")
         found = hits if found is None else found.union(hits)
     if found is None:
         return source.join(listed.select("item_id"), F.lit(False)).select("doc_id", "item_id", F.lit(0).alias("n_shingles"), F.lit(0).alias("n_shared"), F.lit(0.0).alias("containment"))

@@ -8,14 +8,12 @@ import numpy as np
 def hashed_grams(data: bytes, orders: tuple[int, ...], bits: int, salt: int = 0) -> np.ndarray:
     """Bucket numbers (0 to 2**bits - 1) of all byte n-grams of the given orders."""
     b = np.frombuffer(data, np.uint8).astype(np.uint32)
-    found = []
-    for n in orders:
-        if len(b) < n:
-            continue
-        h = np.full(len(b) - n + 1, (n * 0x9E3779B1 + salt * 0x85EBCA6B) & 0xFFFFFFFF, np.uint32)
-        for j in range(n):
-            h = (h ^ b[j : len(b) - n + 1 + j]) * np.uint32(0x01000193)
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
-        found.append((h >> np.uint32(32 - bits)).astype(np.int64))
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+    h, found = np.full(len(b), (0x811C9DC5 + salt * 0x85EBCA6B) & 0xFFFFFFFF, np.uint32), []
+    for n in range(1, min(max(orders), len(b)) + 1):
+        h = (h[: len(b) - n + 1] ^ b[n - 1 :]) * np.uint32(0x01000193)  # of the first n bytes at each place
+        if n in orders:
+            mixed = h ^ (h >> np.uint32(15))
+            mixed *= np.uint32(0x2C1B3C6D)
+            mixed >>= np.uint32(32 - bits)
+            found.append(mixed)
+    return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import id_fold, pick, read
 from .grams import hashed_grams
 
-BITS, ORDERS = 15, (1, 2, 3, 4)
+BITS, ORDERS = 15, (1, 2, 3)
 #: Bound of the label set; more distinct labels than this are an error.
 MAX_LANGUAGES = 512
 #: A lead in probability below this is ambiguous.

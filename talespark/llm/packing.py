@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -28,7 +29,7 @@ GROUP_TOKENS = 1 << 20
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Words whose ids a task remembers at a time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 def default_vocabulary() -> str:
@@ -38,50 +39,53 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    import public_tokenizers
-    import tiktoken
-
-    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in Path(path).read_bytes().splitlines() if x)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+#: The same pieces as public_tokenizers.PATTERN, without backtracking.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: White space next to a single space: there a word cannot be encoded on its own.
+TOUCHING = re.compile(r" \s|\s ")
 
 
 class WordIds(dict):
     """A word after a single space -> its ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
+        import tiktoken
+
         super().__init__()
-        self.encode = encoder(path).encode_ordinary
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in Path(path).read_bytes().splitlines() if x)}
+        self.encode = tiktoken.Encoding("byte_bpe", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def __missing__(self, word: str) -> bytes:
+        top = max(ranks.values()) + 1
+        self.opens = np.zeros(top, bool)  # ids whose bytes begin with a space
+        self.opens[[i for token, i in ranks.items() if token[:1] == b" "]] = True
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words together; each has one space, so one id that begins with it."""
         if len(self) >= CACHE_WORDS:
             self.clear()
-        got = self[word] = np.array(self.encode(" " + word), "<u4").tobytes()
-        return got
+        ids = np.array(self.encode(" " + " ".join(words)), "<u4")
+        cuts = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
+        data = ids.tobytes()
+        self.update((w, data[4 * a : 4 * b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
 
     def text(self, text: str) -> bytes:
-        """Ids of a whole text. The pattern starts a new piece at every single space
-        between two non-spaces, so such words are encoded on their own; any other
-        white space is left to the encoder with the words around it."""
-        out, held = [], None
-        for k, word in enumerate(text.split(" ")):
-            # a word that is empty or touches other white space needs its neighbours
-            plain = k > 0 and word and not word[0].isspace() and not word[-1].isspace()
-            if plain and held is None:
-                out.append(self[word])
-                continue
-            if held is None:
-                held = word if k == 0 else " " + word
-            elif plain and held and not held[-1].isspace():
-                out.append(np.array(self.encode(held), "<u4").tobytes())
-                held = None
-                out.append(self[word])
-            else:
-                held += " " + word
-        if held:
-            out.append(np.array(self.encode(held), "<u4").tobytes())
-        return b"".join(out)
+        """Ids of a whole text. A piece starts at every single space between two
+        non-spaces, so words between such spaces are encoded on their own."""
+        if TOUCHING.search(text) or text[-1:].isspace():
+            return np.array(self.encode(text), "<u4").tobytes()
+        first, *words = text.split(" ")
+        known = set(words)
+        if new := [w for w in known if w not in self]:
+            self.learn(new)
+            if gone := [w for w in known if w not in self]:  # the memory was cleared
+                self.learn(gone)
+        return np.array(self.encode(first), "<u4").tobytes() + b"".join(map(self.__getitem__, words))
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for each worker process: what it remembers serves all its tasks."""
+    return WordIds(path)
 
 
 def place(lengths: list[int], capacity: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -142,7 +146,7 @@ def pack_documents(
     end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(vocabulary)
+        words = word_ids(vocabulary)
         base, done = TaskContext.get().partitionId() << 40, 0
         group: list[tuple[object, bytes]] = []
         held = 0

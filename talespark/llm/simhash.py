@@ -28,6 +28,8 @@ SEED, WORDS, RADIUS, HALVES = 42, 3, 3, 2
 #: Fingerprints that the trees are grown from (vantage points and radii only).
 SAMPLE = 20_000
 LEAF_ROWS = 1500
+#: Bit values (least first) of each byte.
+BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
 def fingerprint(text: str | None, n_words: int = WORDS) -> int:
@@ -43,9 +45,8 @@ def fingerprint(text: str | None, n_words: int = WORDS) -> int:
         end = (start + size)[n_words - 1 :]
         digest, seed = xxhash.xxh64_intdigest, SEED
         h = np.array([digest(joined[a:b], seed) for a, b in zip(start.tolist(), end.tolist())], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 4096):
-        ones += np.unpackbits(h[at : at + 4096, None].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    planes = h.view(np.uint8).reshape(-1, 8).T
+    ones = np.concatenate([np.bincount(plane, minlength=256) @ BITS_OF_BYTE for plane in planes])
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
