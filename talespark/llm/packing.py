@@ -28,8 +28,8 @@ CAPACITY = 1024
 GROUP_TOKENS = 1 << 20
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Words whose ids a task remembers at a time.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker remembers; few, so that they stay in the processor's cache.
+CACHE_WORDS = 100_000
 
 
 def default_vocabulary() -> str:
@@ -42,7 +42,7 @@ def default_vocabulary() -> str:
 #: The same pieces as public_tokenizers.PATTERN, without backtracking.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: White space next to a single space: there a word cannot be encoded on its own.
-TOUCHING = re.compile(r" \s|\s ")
+TOUCHING = re.compile(r"(?: \s|[^\S ] )")
 
 
 class WordIds(dict):
@@ -59,14 +59,16 @@ class WordIds(dict):
         self.opens = np.zeros(top, bool)  # ids whose bytes begin with a space
         self.opens[[i for token, i in ranks.items() if token[:1] == b" "]] = True
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words together; each has one space, so one id that begins with it."""
-        if len(self) >= CACHE_WORDS:
-            self.clear()
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Encode words together; each has one space, so one id that begins with it.
+        The first words that come, so the frequent ones, are remembered."""
         ids = np.array(self.encode(" " + " ".join(words)), "<u4")
         cuts = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
         data = ids.tobytes()
-        self.update((w, data[4 * a : 4 * b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
+        got = {w: data[4 * a : 4 * b] for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True)}
+        if len(self) < CACHE_WORDS:
+            self.update(got)
+        return got
 
     def text(self, text: str) -> bytes:
         """Ids of a whole text. A piece starts at every single space between two
@@ -74,12 +76,12 @@ class WordIds(dict):
         if TOUCHING.search(text) or text[-1:].isspace():
             return np.array(self.encode(text), "<u4").tobytes()
         first, *words = text.split(" ")
-        known = set(words)
-        if new := [w for w in known if w not in self]:
-            self.learn(new)
-            if gone := [w for w in known if w not in self]:  # the memory was cleared
-                self.learn(gone)
-        return np.array(self.encode(first), "<u4").tobytes() + b"".join(map(self.__getitem__, words))
+        found = dict.fromkeys(words)
+        for w in found:
+            found[w] = self.get(w)
+        if new := [w for w, ids in found.items() if ids is None]:
+            found.update(self.learn(new))
+        return np.array(self.encode(first), "<u4").tobytes() + b"".join(map(found.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
