@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import id_fold, materialize, pick, read
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 #: Hash ranges are 2**RANGE_BITS at least; more where there are over RANGE_TOKENS tokens a range.
 RANGE_BITS, RANGE_TOKENS = 8, 1 << 21
 #: Counts up to K take their own Good-Turing ratio.
