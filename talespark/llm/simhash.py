@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     named = nodes.select("fp", F.struct(F.coalesce("rep", F.lit(2**63 - 1)).alias("rep"), "fp").alias("node"))
     ends = links.join(named.toDF("a", "na"), "a").join(named.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     roots = components(ends).select(F.col("node.fp").alias("fp"), F.col("root.rep").alias("root"))
-    roots = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    roots = materialize(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "components")
     out = marked.join(roots, "fp")
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
