@@ -1,9 +1,9 @@
 """SimHash near-duplicates over vantage-point trees.
 
 Fingerprints within ``radius`` bits are linked and linked components numbered.
-The 64 bits are cut into two halves: of two fingerprints within 3 bits, at least
-one half differs in at most 1. For each half a vantage-point tree over Hamming
-distance is grown from a bounded sample; its leaves are the shards. A fingerprint
+The 64 bits are cut into (radius + 1) / 2 parts (two halves for radius 3): of two
+fingerprints within the radius, at least one part differs in at most 1 bit. For each
+part a vantage-point tree over Hamming distance is grown from a bounded sample; its leaves are the shards. A fingerprint
 lives in one leaf and also queries every leaf that the triangle bounds cannot rule
 out (a branch is left out only if the distance to the vantage point and the radius
 prove that nothing near can be there), so every pair is met in some leaf, where
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, pick, read
 
-SEED, WORDS, RADIUS, HALVES = 42, 3, 3, 2
+SEED, WORDS, RADIUS = 42, 3, 3
 #: Fingerprints that the trees are grown from (vantage points and radii only).
 SAMPLE = 20_000
 LEAF_ROWS = 1500
@@ -107,8 +107,10 @@ def count_leaves(tree: list) -> int:
     return 1 if not tree else count_leaves(tree[2]) + count_leaves(tree[3])
 
 
-def half(fp: np.ndarray, part: int) -> np.ndarray:
-    return (fp.astype(np.uint64) >> np.uint64(32 * part)).astype(np.uint32)
+def part_of(fp: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """The bits of one of ``parts`` nearly equal parts."""
+    low, high = 64 * part // parts, 64 * (part + 1) // parts
+    return (fp.view(np.uint64) >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -132,8 +134,9 @@ def near_links(fps: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS)
     if n < 2:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64)
-    rng, small = np.random.default_rng(1), radius // HALVES
-    trees = [grow(np.unique(half(sample, p)), max(1, n // leaf_rows), rng) for p in range(HALVES)]
+    rng, parts = np.random.default_rng(1), max(1, (radius + 1) // 2)
+    small = radius // parts
+    trees = [grow(np.unique(part_of(sample, p, parts)), max(1, n // leaf_rows), rng) for p in range(parts)]
     first = np.concatenate([[0], np.cumsum([count_leaves(t) for t in trees])])
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,8 +144,8 @@ def near_links(fps: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS)
             fp = pdf["fp"].to_numpy()
             for lo in range(0, len(fp), 5000):
                 for p, tree in enumerate(trees):
-                    part = fp[lo : lo + 5000]
-                    row, leaf, home = visit(tree, half(part, p), small)
+                    part = np.ascontiguousarray(fp[lo : lo + 5000])
+                    row, leaf, home = visit(tree, part_of(part, p, parts), small)
                     yield pd.DataFrame({"leaf": leaf + np.int32(first[p]), "fp": part[row], "home": home})
 
     dealt = materialize(fps.mapInPandas(deal, "leaf int, fp long, home boolean"), "leaves")

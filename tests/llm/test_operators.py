@@ -481,7 +481,7 @@ def simple_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(fps):
+def brute_components(fps, radius=3):
     root = list(range(len(fps)))
 
     def find(i):
@@ -492,7 +492,7 @@ def brute_components(fps):
 
     for i in range(len(fps)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 3:
+            if bin(fps[i] ^ fps[j]).count("1") <= radius:
                 root[find(i)] = find(j)
     return [find(i) for i in range(len(fps))]
 
@@ -521,7 +521,8 @@ def test_simhash_odd(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_trees_lose_no_pair(spark):
+@pytest.mark.parametrize("radius", [3, 7])
+def test_trees_lose_no_pair(spark, radius):
     """Planted clusters, chains and a crowd around one centre; small leaves force many
     shards, and tiles."""
     rng = np.random.default_rng(11)
@@ -534,10 +535,10 @@ def test_trees_lose_no_pair(spark):
     for _ in range(30):
         chain.append(flip(chain[-1], 3))
     fps = sorted(set(fps + chain))
-    links = simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long"), leaf_rows=20)
+    links = simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long"), radius, leaf_rows=20)
     roots = {r["node"]: r["root"] for r in simhash.components(links).collect()}
     got = [roots.get(f, f) for f in fps]
-    want = brute_components(fps)
+    want = brute_components(fps, radius)
     pairs = {}
     for g, w in zip(got, want):
         assert pairs.setdefault(g, w) == w
