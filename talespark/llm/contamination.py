@@ -117,11 +117,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS ws FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS ws FROM benchmark WHERE text IS NOT NULL),
-ig AS (SELECT DISTINCT item_id, least(len(ws), 5) AS l, unnest(list_transform(range(1, len(ws) - least(len(ws), 5) + 2), p -> array_to_string(ws[p:p + least(len(ws), 5) - 1], ' '))) AS g FROM i WHERE len(ws) > 0),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark WHERE text IS NOT NULL),
+ig AS (SELECT DISTINCT item_id, least(len(ws), 5) AS l, unnest(list_transform(range(1, len(ws) - least(len(ws), 5) + 2), lambda p: array_to_string(ws[p:p + least(len(ws), 5) - 1], ' '))) AS g FROM i WHERE len(ws) > 0),
 n AS (SELECT item_id, count(*) AS n FROM ig GROUP BY 1),
-dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - l + 2), p -> array_to_string(ws[p:p + l - 1], ' '))) AS g FROM w, (SELECT DISTINCT l FROM ig) s WHERE len(ws) >= l)
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - l + 2), lambda p: array_to_string(ws[p:p + l - 1], ' '))) AS g FROM w, (SELECT DISTINCT l FROM ig) s WHERE len(ws) >= l)
 SELECT doc_id, item_id, any_value(n.n)::INTEGER AS n_shingles, count(*)::INTEGER AS n_shared, count(*) / any_value(n.n) AS containment
 FROM dg JOIN ig USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) / any_value(n.n) >= 0.8
 """

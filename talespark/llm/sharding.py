@@ -98,15 +98,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH RECURSIVE
 tbl AS (SELECT list(v ORDER BY i) AS t FROM (
-  SELECT i, list_reduce(list_prepend(i, range(8)), (a, k) -> CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
   FROM (SELECT unnest(range(256)) AS i))),
 d AS (
   SELECT row_number() OVER () AS rid, doc_id, text, coalesce(strlen(text), 0) + 1 AS size, coalesce(md5(text), '') AS k,
          ((coalesce(doc_id, 0) % 64) + 64) % 64 AS salt FROM documents),
 hx AS (SELECT k, hex(encode(any_value(text))) AS h FROM d WHERE text IS NOT NULL GROUP BY k),
 crc AS (
-  SELECT k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), i -> ((instr('0123456789ABCDEF', substr(h, i, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, i + 1, 1)) - 1)::BIGINT)),
-           (a, b) -> xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) AS c FROM hx, tbl),
+  SELECT k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ((instr('0123456789ABCDEF', substr(h, i, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, i + 1, 1)) - 1)::BIGINT)),
+           lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) AS c FROM hx, tbl),
 g AS (SELECT k, sum(size) AS b FROM d GROUP BY k),
 p AS (SELECT k, least(7, ((2 * (sum(b) OVER (ORDER BY k) - b) + b) * 8) // (2 * sum(b) OVER ())) AS shard FROM g)
 SELECT d.doc_id, d.size::BIGINT AS size, coalesce(crc.c, 0)::BIGINT AS text_crc32, 'bytes' AS law, p.shard::INTEGER AS shard,

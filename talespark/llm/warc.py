@@ -233,7 +233,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS x, max(page_id) OVER (PARTITION BY html) AS owner FROM p),
-d AS (SELECT *, array_to_string(list_transform(range(32), i ->
+d AS (SELECT *, array_to_string(list_transform(range(32), lambda i:
   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     (((((instr('0123456789abcdef', substr(x, ((5 * i) // 4 + 1)::INTEGER, 1)) - 1) * 16 + (instr('0123456789abcdef', substr(x || '0', ((5 * i) // 4 + 2)::INTEGER, 1)) - 1)) >> (3 - (5 * i) % 4)::INTEGER) & 31) + 1)::INTEGER, 1)), '') AS payload_digest FROM h)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM owner THEN 'response' ELSE 'revisit' END AS record_type,
