@@ -70,3 +70,52 @@ def name_uuid(name: Column, namespace: str = URL_NAMESPACE) -> Column:
     h = F.sha1(F.concat(F.unhex(F.lit(namespace)), name.cast("binary")))
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3) + 8))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def strip(c: Column) -> Column:
+    """No white space at the ends."""
+    return F.regexp_replace(c, rf"^{WHITESPACE}+|{WHITESPACE}+\z", "")
+
+
+# What marks the user's own request, injected instructions and surroundings in a user message.
+REQUEST_MARKERS = ["## My request for Codex:", "## My request for Codex"]
+INSTRUCTION_HEADING = "# AGENTS.md instructions for"
+INSTRUCTION_TAGS = ["<INSTRUCTIONS>", "</INSTRUCTIONS>"]
+ENVIRONMENT_TAG = "<environment_context>"
+
+
+def _after(c: Column, mark: str) -> Column:
+    return F.substring(c, F.instr(c, mark) + len(mark), F.length(c))
+
+
+def clean_user_text(c: Column) -> Column:
+    """What the user wrote: the part behind a request marker, else nothing for a message
+    of instructions only, else the text without instruction and environment blocks."""
+    opened, closed = INSTRUCTION_TAGS
+    body = F.when(c.contains(opened) & c.contains(closed), _after(c, closed)).otherwise(c)
+    body = F.when(body.contains(ENVIRONMENT_TAG), F.substring_index(body, ENVIRONMENT_TAG, 1)).otherwise(body)
+    long_mark, short_mark = REQUEST_MARKERS
+    whole = F.when(c.contains(long_mark), _after(c, long_mark)).when(c.contains(short_mark), _after(c, short_mark)).when(F.startswith(strip(c), F.lit(INSTRUCTION_HEADING)), "").otherwise(body)
+    return strip(whole)
+
+
+def epoch_of(c: Column) -> Column:
+    """Seconds of a time that names its zone; null for other texts."""
+    return F.when(c.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.unix_micros(F.try_to_timestamp(c)) / 1_000_000)
+
+
+def time_key(c: Column) -> Column:
+    """Order of times: those with a zone by instant, then the others by text."""
+    e = epoch_of(c)
+    return F.struct(F.when(e.isNull(), 1).otherwise(0).alias("zoneless"), F.coalesce(e, F.lit(0.0)).alias("epoch"), F.when(e.isNull(), F.coalesce(c, F.lit(""))).otherwise("").alias("text"))
+
+
+def local_time(c: Column, pattern: str, zone_hours: int = 9) -> Column:
+    """A time with a zone, shown at a fixed offset whatever the session's zone."""
+    seconds = F.floor(epoch_of(c)).cast("long") + zone_hours * 3600
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+    s = F.pmod(seconds, F.lit(86400))
+    part = lambda x: F.lpad(x.cast("string"), 2, "0")
+    if pattern == "day":
+        return day.cast("string")
+    return F.concat_ws(":", part(F.floor(s / 3600)), part(F.pmod(F.floor(s / 60), F.lit(60))), part(F.pmod(s, F.lit(60))))

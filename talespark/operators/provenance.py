@@ -40,3 +40,68 @@ def plan_notes(notes: DataFrame) -> DataFrame:
     edited or reviewed notes. Columns: fresh, exists, edited, reviewed (booleans)."""
     state = F.when(F.col("exists") & F.col("fresh"), "current").when(F.col("exists") & F.col("reviewed"), "reviewed-blocked").when(F.col("exists") & F.col("edited"), "edited-blocked").otherwise("pending")
     return notes.withColumn("state", state)
+
+
+def make_entities(rows: DataFrame) -> DataFrame:
+    """Entities of (id, sha256, byte_count): version, snapshot reference and key."""
+    return rows.select(
+        "id", F.concat(F.lit("sha256:"), "sha256").alias("version"), "sha256", "byte_count",
+        F.concat(F.lit("data:/blobs/"), F.substring("sha256", 1, 2), F.lit("/"), F.col("sha256")).alias("snapshot_ref"),
+        F.sha2(F.concat(F.col("id").cast("string").cast("binary"), F.unhex(F.lit("00")), F.col("sha256").cast("binary")), 256).alias("entity_key"),
+    )
+
+
+def used_entities(captures: DataFrame, events: DataFrame, metadata: DataFrame, last_outputs: DataFrame) -> DataFrame:
+    """(activity, entity, role): all that an activity read, prior outputs included."""
+    rows = [df.select("activity", "entity", F.lit(role).alias("role")) for df, role in ((captures, "capture"), (events, "events"), (metadata, "metadata"), (last_outputs, "prior-output"))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).distinct()
+
+
+def validate_entities(entities: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(id, fault) of entities whose digest, version or snapshot is wrong, and of ids that
+    repeat. Snapshots (snapshot_ref, sha256, byte_count) are joined by name, once each."""
+    s = snapshots.select("snapshot_ref", F.col("sha256").alias("s_sha"), F.col("byte_count").alias("s_bytes"))
+    fault = (
+        F.when(~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), "digest").when(~F.col("version").eqNullSafe(F.concat(F.lit("sha256:"), "sha256")), "version")
+        .when(F.col("s_sha").isNull(), "snapshot-missing").when((F.col("s_sha") != F.col("sha256")) | (F.col("s_bytes") != F.col("byte_count")), "snapshot-corrupt")
+    )
+    rows = entities.join(s, "snapshot_ref", "left").select("id", fault.alias("fault")).filter("fault IS NOT NULL")
+    again = entities.groupBy("id").count().filter("count > 1").select("id", F.lit("duplicate-id").alias("fault"))
+    return rows.unionByName(again)
+
+
+def validate_relations(edges: DataFrame, used: DataFrame, generated: DataFrame) -> DataFrame:
+    """(activity, src, dst, fault) of edges (activity, src, dst, type) whose type or ends
+    are not those of their activity."""
+    u = used.select("activity", F.col("entity").alias("src"), F.lit(True).alias("u")).distinct()
+    g = generated.select("activity", F.col("entity").alias("dst"), F.lit(True).alias("g")).distinct()
+    fault = F.when(F.col("type") != "derivedFrom", "type").when(F.col("g").isNull(), "unknown-generated").when(F.col("u").isNull(), "unknown-used")
+    return edges.join(u, ["activity", "src"], "left").join(g, ["activity", "dst"], "left").select("activity", "src", "dst", fault.alias("fault")).filter("fault IS NOT NULL")
+
+
+def relocate_store(artifacts: DataFrame, activities: DataFrame, entities: DataFrame, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One source's (artifacts, activities, entities): entities stay if an artifact or an
+    activity of the source names them; an artifact whose content no longer has the
+    indexed digest becomes protected. Columns: artifacts id, source, activity, sha256,
+    now_sha256; activities activity, source, entity; entities entity."""
+    own = artifacts.filter(F.col("source") == source)
+    status = F.when(F.col("now_sha256").eqNullSafe(F.col("sha256")), "current").otherwise("protected")
+    acts = activities.filter(F.col("source") == source)
+    reach = own.select(F.col("id").alias("entity")).union(acts.select("entity")).distinct()
+    return own.withColumn("status", status), acts, entities.join(reach, "entity", "left_semi")
+
+
+def verify_copy(source: DataFrame, copy: DataFrame) -> DataFrame:
+    """(path, state) of two file lists (path, sha256): same, conflict, to-copy, extra."""
+    x = source.select("path", F.col("sha256").alias("a")).join(copy.select("path", F.col("sha256").alias("b")), "path", "full_outer")
+    state = F.when(F.col("b").isNull(), "to-copy").when(F.col("a").isNull(), "extra").when(F.col("a") == F.col("b"), "same").otherwise("conflict")
+    return x.select("path", state.alias("state"))
+
+
+def plan_signature(files: DataFrame, buckets: int = 4096) -> DataFrame:
+    """One digest of a file list (path, sha256), whatever its order: rows are digested,
+    digests sorted within hash ranges, and the ranges' digests taken together, so no task
+    holds all of them."""
+    row = F.sha2(F.concat_ws("\n", "path", "sha256"), 256)
+    part = files.select(row.alias("r")).groupBy(F.pmod(F.xxhash64("r"), F.lit(buckets)).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("r")), ""), 256).alias("d"))
+    return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("signature"))

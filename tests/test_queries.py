@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from talespark.plans import registry
+from talespark.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -23,10 +23,10 @@ def plain(rows):
     return sorted((tuple(none(x) for x in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", list(registry.QUERIES))
+@pytest.mark.parametrize("name", [q for q in catalog.QUERIES if q in catalog.ORACLE_SQL])
 def test_query_equals_sql(spark, data, duck, name):
-    got = registry.QUERIES[name](spark, data)
-    want = duck.sql(registry.ORACLE_SQL[name])
+    got = catalog.QUERIES[name](spark, data)
+    want = duck.sql(catalog.ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     names = sorted(got.columns)
     rows = plain(got.select(names).collect())
