@@ -111,11 +111,12 @@ def time_key(c: Column) -> Column:
 
 
 def local_time(c: Column, pattern: str, zone_hours: int = 9) -> Column:
-    """A time with a zone, shown at a fixed offset whatever the session's zone."""
+    """A time with a zone, as ``day`` or ``clock`` at a fixed offset whatever the session's
+    zone; null without a zone."""
     seconds = F.floor(epoch_of(c)).cast("long") + zone_hours * 3600
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
     s = F.pmod(seconds, F.lit(86400))
     part = lambda x: F.lpad(x.cast("string"), 2, "0")
     if pattern == "day":
         return day.cast("string")
-    return F.concat_ws(":", part(F.floor(s / 3600)), part(F.pmod(F.floor(s / 60), F.lit(60))), part(F.pmod(s, F.lit(60))))
+    return F.when(s.isNotNull(), F.concat_ws(":", part(F.floor(s / 3600)), part(F.pmod(F.floor(s / 60), F.lit(60))), part(F.pmod(s, F.lit(60)))))

@@ -106,23 +106,25 @@ def front_matter(text: Column) -> tuple[Column, Column]:
     """(map of scalar values, body) of a note. Keys are taken from unindented lines
     ``key: value`` up to the closing rule; of repeated keys the last counts; an empty
     value or [] is ''. Without a leading rule the map is empty and all is body."""
-    lines = F.split(text, "\r\n|\r|\n", -1)
-    rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-    flagged = F.transform(rest, lambda x: strip(x) == "---")
-    end = F.array_position(flagged, True)
-    has = strip(F.element_at(lines, 1)) == "---"
-    head = F.when(end > 0, F.slice(rest, F.lit(1), (end - 1).cast("int"))).otherwise(rest)
-    good = F.filter(head, lambda x: x.contains(":") & (strip(x) != "") & ~x.rlike("^[ \t]"))
-    value = lambda x: F.regexp_replace(F.when(strip(F.regexp_replace(x, "^[^:]*:", "")) == "[]", "").otherwise(strip(F.regexp_replace(x, "^[^:]*:", ""))), "^['\"]+|['\"]+$", "")
-    pairs = F.transform(good, lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("key"), value(x).alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    body = F.when(end > 0, F.array_join(F.slice(rest, (end + 1).cast("int"), F.size(rest)), "\n")).otherwise("")
-    return F.when(has, F.map_from_entries(last)).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), F.when(has, body).otherwise(text)
+    t = F.regexp_replace(text, "\r\n|\r", "\n")
+    first, end = r"\A[ \t]*---[ \t]*(?:\n|\z)", r"(?s)\A(.*?)\n[ \t]*---[ \t]*(?:\n|\z)"
+    has = t.rlike(first)
+    rest = F.concat(F.lit("\n"), F.regexp_replace(t, first, ""))
+    closed = rest.rlike(end)
+    head = F.when(~has, "").when(closed, F.regexp_extract(rest, end, 1)).otherwise(rest)
+    body = F.when(~has, text).when(closed, F.regexp_replace(rest, end, "")).otherwise("")
+    good = F.filter(F.split(head, "\n", -1), lambda x: x.contains(":") & ~x.rlike("^[ \t]"))
+    value = lambda x: strip(F.regexp_replace(x, "^[^:]*:", ""))
+    plain = lambda x: F.when(value(x) == "[]", "").otherwise(F.regexp_replace(value(x), "^['\"]+|['\"]+$", ""))
+    pairs = F.transform(good, lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("key"), plain(x).alias("value")))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    meta = F.aggregate(pairs, none, lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["key"]), F.create_map(x["key"], x["value"])))
+    return meta, body
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """(path, meta, body) of markdown notes."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
     meta, body = front_matter(F.col("value"))
     return files.select(F.input_file_name().alias("path"), meta.alias("meta"), body.alias("body"))
 
