@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,18 +86,15 @@ INSTRUCTION_TAGS = ["<INSTRUCTIONS>", "</INSTRUCTIONS>"]
 ENVIRONMENT_TAG = "<environment_context>"
 
 
-def _after(c: Column, mark: str) -> Column:
-    return F.substring(c, F.instr(c, mark) + len(mark), F.length(c))
-
-
 def clean_user_text(c: Column) -> Column:
     """What the user wrote: the part behind a request marker, else nothing for a message
     of instructions only, else the text without instruction and environment blocks."""
     opened, closed = INSTRUCTION_TAGS
-    body = F.when(c.contains(opened) & c.contains(closed), _after(c, closed)).otherwise(c)
-    body = F.when(body.contains(ENVIRONMENT_TAG), F.substring_index(body, ENVIRONMENT_TAG, 1)).otherwise(body)
-    long_mark, short_mark = REQUEST_MARKERS
-    whole = F.when(c.contains(long_mark), _after(c, long_mark)).when(c.contains(short_mark), _after(c, short_mark)).when(F.startswith(strip(c), F.lit(INSTRUCTION_HEADING)), "").otherwise(body)
+    body = F.regexp_replace(c, rf"(?s)\A(?=.*{opened}).*?{closed}", "")
+    whole = F.regexp_replace(body, rf"(?s){ENVIRONMENT_TAG}.*", "")
+    whole = F.when(c.rlike(rf"\A{WHITESPACE}*{INSTRUCTION_HEADING.replace('.', '[.]')}"), "").otherwise(whole)
+    for mark in reversed(REQUEST_MARKERS):
+        whole = F.when(c.contains(mark), F.regexp_replace(c, rf"(?s)\A.*?{mark}", "")).otherwise(whole)
     return strip(whole)
 
 
@@ -120,3 +119,8 @@ def local_time(c: Column, pattern: str, zone_hours: int = 9) -> Column:
     if pattern == "day":
         return day.cast("string")
     return F.when(s.isNotNull(), F.concat_ws(":", part(F.floor(s / 3600)), part(F.pmod(F.floor(s / 60), F.lit(60))), part(F.pmod(s, F.lit(60)))))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)

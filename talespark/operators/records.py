@@ -116,10 +116,11 @@ def classify_records(filled: DataFrame, key: str) -> DataFrame:
         F.when(old, "legacy").when(spoken | (mirrored & (t == "agent_message")), F.col("p_phase")).when(mirrored, "")
         .when(call, F.coalesce(_given(F.col("p_name")), t)).when(output, F.coalesce(_given(F.col("p_name")), _given(F.col("p_call_id")), t)).otherwise(t)
     )
-    text = strip(F.when(spoken, F.col("content")).when(mirrored, F.col("p_message")).when(call, F.col("input")).when(output, F.col("output")).otherwise(F.col("whole")))
-    text = F.when(actor == "user", clean_user_text(text)).otherwise(text)
+    text = F.when(spoken, F.col("content")).when(mirrored, F.col("p_message")).when(call, F.col("input")).when(output, F.col("output")).otherwise(F.col("whole"))
     out = filled.select(key, "line_no", kind.alias("kind"), actor.alias("actor"), name.alias("name"), text.alias("text"), "timestamp", "turn_id", "cwd")
-    return out.filter("kind IS NOT NULL AND text <> ''")
+    raw = F.col("text")
+    clean = F.when(F.col("actor") == "user", clean_user_text(raw)).otherwise(strip(raw))
+    return out.filter("kind IS NOT NULL").withColumn("text", clean).filter("text <> ''")
 
 
 def dedupe_events(events: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talespark.functions.text import WHITESPACE, strip
+from talespark.functions.text import WHITESPACE, let, strip
 
 # Manifest schema versions, and the folder that a bare reference means.
 MANIFEST_VERSIONS = [1, 2, 3]
@@ -106,13 +106,11 @@ def front_matter(text: Column) -> tuple[Column, Column]:
     """(map of scalar values, body) of a note. Keys are taken from unindented lines
     ``key: value`` up to the closing rule; of repeated keys the last counts; an empty
     value or [] is ''. Without a leading rule the map is empty and all is body."""
-    t = F.regexp_replace(text, "\r\n|\r", "\n")
     first, end = r"\A[ \t]*---[ \t]*(?:\n|\z)", r"(?s)\A(.*?)\n[ \t]*---[ \t]*(?:\n|\z)"
-    has = t.rlike(first)
-    rest = F.concat(F.lit("\n"), F.regexp_replace(t, first, ""))
-    closed = rest.rlike(end)
-    head = F.when(~has, "").when(closed, F.regexp_extract(rest, end, 1)).otherwise(rest)
-    body = F.when(~has, text).when(closed, F.regexp_replace(rest, end, "")).otherwise("")
+    rest = let(F.regexp_replace(text, "\r\n|\r", "\n"), lambda t: F.when(t.rlike(first), F.concat(F.lit("\n"), F.regexp_replace(t, first, ""))))
+    closed = lambda r: r.rlike(end)
+    parts = let(rest, lambda r: F.struct(F.when(closed(r), F.regexp_extract(r, end, 1)).otherwise(r).alias("head"), F.when(closed(r), F.regexp_replace(r, end, "")).when(r.isNotNull(), "").alias("body")))
+    head, body = F.coalesce(parts["head"], F.lit("")), F.coalesce(parts["body"], text)
     good = F.filter(F.split(head, "\n", -1), lambda x: x.contains(":") & ~x.rlike("^[ \t]"))
     value = lambda x: strip(F.regexp_replace(x, "^[^:]*:", ""))
     plain = lambda x: F.when(value(x) == "[]", "").otherwise(F.regexp_replace(value(x), "^['\"]+|['\"]+$", ""))
