@@ -49,3 +49,15 @@ def collapse_prefixes(captures: DataFrame) -> DataFrame:
 def set_digest(digests: Column) -> Column:
     """SHA-256 of sorted digests as a compact JSON array."""
     return F.sha2(F.concat(F.lit('["'), F.array_join(F.sort_array(digests), '","'), F.lit('"]')), 256)
+
+
+def verify_captures(manifest: DataFrame, stored: DataFrame, blocked: DataFrame) -> DataFrame:
+    """(source_ref, fault) of latest manifest rows whose stored bytes are gone (missing) or
+    differ (digest). A reference whose current read failed is left out: it must not fall
+    back to an older capture, so it is ``blocked`` instead."""
+    rows = latest_manifest(manifest).select("source_ref", F.col("sha256").alias("want"))
+    have = stored.select("source_ref", "sha256")
+    stop = blocked.select("source_ref").distinct()
+    fault = F.when(F.col("sha256").isNull(), "missing").when(F.col("sha256") != F.col("want"), "digest")
+    checked = rows.join(stop, "source_ref", "left_anti").join(have, "source_ref", "left").select("source_ref", fault.alias("fault")).filter("fault IS NOT NULL")
+    return checked.unionByName(rows.join(stop, "source_ref", "left_semi").select("source_ref", F.lit("blocked").alias("fault")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talespark.functions.text import redact
+from talespark.operators.histories import json_string
 
 # Characters of one serialised array of events, and where texts may be cut.
 BUDGET = 120_000
@@ -124,8 +125,8 @@ def input_metrics(chunks: DataFrame) -> DataFrame:
 def render_requests(chunks: DataFrame, head: str, tail: str = "") -> DataFrame:
     """(thread, chunk, request): the template's text around one array of events. A chunk
     is bounded by the budget."""
-    cols = [F.coalesce(F.col(c), F.lit("")).alias(k) for k, c in KEYS.items()]
-    row = F.struct("ord", "part", F.to_json(F.struct(*cols)).alias("json"))
+    cols = [F.concat(F.lit(f'"{k}": '), json_string(F.coalesce(F.col(c), F.lit("")))) for k, c in KEYS.items()]
+    row = F.struct("ord", "part", F.concat(F.lit("{"), F.concat_ws(", ", *cols), F.lit("}")).alias("json"))
     parts = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["json"])
     return chunks.groupBy("thread", "chunk").agg(F.concat(F.lit(head), F.lit("["), F.array_join(parts, ", "), F.lit("]"), F.lit(tail)).alias("request"))
 

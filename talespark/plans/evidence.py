@@ -164,6 +164,12 @@ def revalidated(spark, d):
     return planning.revalidate(c.withColumn("thread", F.concat("thread", F.lit("-"), F.col("source_ref") % 50)), now)
 
 
+def verified_captures(spark, d):
+    c = capture.with_digest(_t(spark, d, "documents").select("source", F.col("doc_id").alias("source_ref"), F.col("text").cast("binary").alias("content")))
+    m = c.select(F.col("source").alias("source_id"), "source_ref", F.when(F.col("source_ref") % 7 == 0, "x").otherwise(F.col("sha256")).alias("sha256"), F.lit(1).alias("line_no"))
+    return capture.verify_captures(m, c.filter("source_ref % 5 <> 0").select("source_ref", "sha256"), c.filter("source_ref % 11 = 0"))
+
+
 def scan_counts(spark, d):
     c = _t(spark, d, "customer")
     k = F.col("c_custkey")
@@ -262,7 +268,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         log_events, log_threads, thread_fingerprints, history_branches, event_sizes, input_chunks, input_metrics, timeline_faults, timelines, summary_faults, note_front_matter, manifest_faults,
-        revalidated, scan_counts, registry_refresh, membership_history, resolved_refs, note_changes, rebuild_plan, ledger_update, entity_keys, entity_faults, relation_faults, copy_states, relocated,
+        revalidated, verified_captures, scan_counts, registry_refresh, membership_history, resolved_refs, note_changes, rebuild_plan, ledger_update, entity_keys, entity_faults, relation_faults, copy_states, relocated,
     )
 }
 
@@ -308,6 +314,7 @@ SELECT thread, md5('Times at +09:00.' || chr(10) || chr(10) || string_agg(block,
     "note_front_matter": r"""SELECT doc_id, doc_id::VARCHAR AS id, coalesce(lang, '') AS last_source, '' AS tags, 3::INTEGER AS keys, md5(regexp_replace(coalesce(text, ''), '\r\n|\r', chr(10), 'g')) AS body_md5 FROM documents""",
     "manifest_faults": """WITH f AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'schema-version' WHEN doc_id % 19 = 0 THEN 'source-id' WHEN doc_id % 11 = 0 THEN 'digest' WHEN doc_id % 23 = 0 OR n_chars IS NULL THEN 'size' WHEN doc_id % 17 = 0 THEN 'capture-ref' END AS fault FROM documents) SELECT * FROM f WHERE fault IS NOT NULL""",
     "revalidated": """SELECT source || '-' || (doc_id % 50) AS thread, bool_and(text IS NOT NULL AND doc_id % 97 <> 5 AND doc_id % 101 <> 7) AS valid FROM documents GROUP BY 1""",
+    "verified_captures": """WITH f AS (SELECT doc_id AS source_ref, CASE WHEN doc_id % 11 = 0 THEN 'blocked' WHEN doc_id % 5 = 0 OR text IS NULL THEN 'missing' WHEN doc_id % 7 = 0 THEN 'digest' END AS fault FROM documents) SELECT * FROM f WHERE fault IS NOT NULL""",
     "scan_counts": f"""WITH {_KINDS} SELECT CASE WHEN thread % 4 = 1 THEN 'time' WHEN thread % 9 = 2 THEN 'approval-or-internal' WHEN thread % 6 = 0 THEN 'without-user-message' WHEN kind IN ('projectless', 'ambiguous', 'unmatched') THEN kind
  WHEN kind = 'inferred' AND thread % 2 = 0 THEN 'without-project-user-message' ELSE 'candidate' END AS reason, count(*) AS threads FROM k GROUP BY 1""",
     "registry_refresh": """WITH n AS (SELECT n_nationkey::INTEGER AS k, n_name, '/work/' || lower(n_name) AS root, n_nationkey % 5 <> 0 AS r, n_nationkey % 4 <> 0 AS p FROM nation WHERE n_nationkey % 20 <> 0)
