@@ -481,7 +481,29 @@ def simple_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(fps, radius=3):
+def simple_signature(text):
+    """(fingerprint of the words, 256 bits of the shingles), bit by bit."""
+    w = (text or "").translate(A_Z)
+    w = SPACE.findall(w)
+    if not w:
+        return 0, 0
+    votes = {x: int(8 * w.count(x) ** 0.5) for x in set(w)}
+    h = {x: xxhash.xxh64_intdigest(x.encode(), 42) for x in votes}
+    fp = sum(1 << b for b in range(64) if 2 * sum(n for x, n in votes.items() if h[x] >> b & 1) > sum(votes.values()))
+    wide = []
+    for run in {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}:
+        x, bits = xxhash.xxh64_intdigest(run.encode(), 42), 0
+        for k in range(4):
+            bits |= x << 64 * k
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+            x ^= x >> 31
+        wide.append(bits)
+    return fp, sum(1 << b for b in range(256) if 2 * sum(x >> b & 1 for x in wide) > len(wide))
+
+
+def brute_components(fps, radius=3, near=None):
+    near = near or (lambda x, y: bin(x ^ y).count("1") <= radius)
     root = list(range(len(fps)))
 
     def find(i):
@@ -492,7 +514,7 @@ def brute_components(fps, radius=3):
 
     for i in range(len(fps)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= radius:
+            if near(fps[i], fps[j]):
                 root[find(i)] = find(j)
     return [find(i) for i in range(len(fps))]
 
@@ -536,7 +558,7 @@ def test_trees_lose_no_pair(spark, radius):
         chain.append(flip(chain[-1], 3))
     fps = sorted(set(fps + chain))
     links = simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long"), radius, leaf_rows=20)
-    roots = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    roots = {r["node"]: r["root"] for r in simhash.components(links.toDF("a", "b")).collect()}
     got = [roots.get(f, f) for f in fps]
     want = brute_components(fps, radius)
     pairs = {}
@@ -545,6 +567,31 @@ def test_trees_lose_no_pair(spark, radius):
     assert len(set(got)) == len(set(want))
 
 
+def test_near_copies_of_equal_shingles(spark):
+    """Copies of five-word similarity 0.82 or more join their source, those below 0.5 and
+    other texts do not; the sides are told by exact similarity."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    weight = 1 / np.arange(1, 3001)
+    draw = lambda n: list(rng.choice(vocabulary, n, p=weight / weight.sum()))
+    runs = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, close, far = [], [], []
+    for g in range(120):
+        words = draw(int(rng.integers(120, 900)))
+        copy = list(words)
+        for at in rng.choice(len(words), max(1, len(words) * int(rng.choice([1, 2, 15])) // 100), replace=False):
+            copy[at] = draw(1)[0]
+        a, b = runs(words), runs(copy)
+        share = len(a & b) / len(a | b)
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(copy))]
+        (close if share >= 0.82 else far if share < 0.5 else []).append(g)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 240 and len(close) > 30 and len(far) > 20
+    assert all(got[2 * g] == 2 * g for g in range(120))
+    assert sum(got[2 * g + 1] == 2 * g for g in close) >= 0.95 * len(close)
+    assert all(got[2 * g + 1] == 2 * g + 1 for g in far)
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (5, 5)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
