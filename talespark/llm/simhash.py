@@ -236,8 +236,12 @@ def near_links(fps: DataFrame, radius: int = RADIUS, bits: int | None = None, le
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         home = pdf["home"].to_numpy()
-        nodes, where = np.unique(pdf[keys].to_numpy(np.int64), axis=0, return_inverse=True)
-        where = where.ravel()
+        rows = pdf[keys].to_numpy(np.int64)
+        if len(keys) > 1:
+            nodes, where = np.unique(rows, axis=0, return_inverse=True)
+        else:  # the same, several times faster
+            nodes, where = np.unique(rows[:, 0], return_inverse=True)
+            nodes = nodes[:, None]
         data, ask = np.unique(where[home]), np.unique(where[~home])
         value, got_a, got_b = nodes[:, 0].copy().view(np.uint64), [], []
         signature = np.ascontiguousarray(nodes[:, 1:]).view(np.uint64)
