@@ -172,6 +172,21 @@ def diagnostics(parsed: DataFrame, key: str) -> DataFrame:
     )
 
 
+def thread_flags(messages: DataFrame, metadata: DataFrame, key: str, review_prefix: str, internal_sources: list[str]) -> DataFrame:
+    """(key, approval_review, internal_source, has_user_message) of each key of
+    ``metadata``. Messages (key, role, text) are those of all versions of a thread: it is
+    a review if any user message starts with the prefix after leading white space, and
+    internal if any row of ``metadata`` (key, thread_source) names one of the sources,
+    whatever the case. Nulls count as empty."""
+    user = F.col("role") == "user"
+    review = F.coalesce(F.startswith(strip(F.col("text")), F.lit(review_prefix)), F.lit(False))
+    said = messages.groupBy(key).agg(F.bool_or(user & review).alias("approval_review"), F.bool_or(user).alias("has_user_message"))
+    named = F.lower(F.coalesce(F.col("thread_source"), F.lit(""))).isin([x.lower() for x in internal_sources])
+    flags = metadata.groupBy(key).agg(F.bool_or(named).alias("internal_source")).join(said, key, "left")
+    no = F.lit(False)
+    return flags.select(key, F.coalesce("approval_review", no).alias("approval_review"), "internal_source", F.coalesce("has_user_message", no).alias("has_user_message"))
+
+
 def classify_threads(threads: DataFrame, now: str, idle_minutes: int = 30) -> DataFrame:
     """(status, reason) by fixed precedence. Columns: thread_id, invalid_lines,
     metadata_ids, internal, user_messages, started_at, last_event_at."""

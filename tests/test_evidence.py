@@ -55,6 +55,16 @@ def test_old_files(spark):
     assert rows(records.log_events(logs.read_lines(df, "thread"), "thread").select("name", "text", "cwd")) == [("legacy", "hello", "/o")]
 
 
+def test_thread_flags(spark):
+    said = [("a", "user", "hello"), ("a", "user", " \n Review this: x"), ("b", "assistant", "Review this: y"), ("c", "user", "not Review this:"), ("c", "user", None)]
+    told = [("a", "Cli"), ("b", "cli"), ("b", "GUARD"), ("c", None), ("d", "guard")]
+    messages = spark.createDataFrame(said, "thread string, role string, text string")
+    metadata = spark.createDataFrame(told, "thread string, thread_source string")
+    got = records.thread_flags(messages, metadata, "thread", "Review this:", ["guard"])
+    assert sorted(map(tuple, got.collect())) == [("a", True, False, True), ("b", False, True, False), ("c", False, False, True), ("d", False, True, False)]
+    assert records.thread_flags(messages.limit(0), metadata.limit(0), "thread", "Review this:", ["guard"]).count() == 0
+
+
 def test_times(spark):
     df = spark.createDataFrame([("2026-01-01T20:00:00Z",), ("2026-01-02T04:59:00+09:00",), ("2026-01-01",), ("x",), ("",), (None,)], "t string")
     assert [r[0] for r in df.orderBy(T.time_key(F.col("t"))).collect()][:2] == ["2026-01-02T04:59:00+09:00", "2026-01-01T20:00:00Z"]
