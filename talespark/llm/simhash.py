@@ -15,6 +15,9 @@ A tile returns a spanning forest of its links rather than all pairs.
 a few words changed, which move the fingerprint of shingles too far to be searched
 for: it searches by a fingerprint of single words, which moves little, and decides by
 a signature of 256 bits of the five-word shingles, both compared in the same tiles.
+Copies with a passage added, cut or replaced move that fingerprint too, so a second
+search takes all texts that agree in a band of MinHash values of their shingles, and
+decides by exact Jaccard similarity (``exact_links``).
 """
 
 from __future__ import annotations
@@ -41,6 +44,14 @@ COPY_RADIUS, COPY_WORDS = 7, 5
 #: bits with a standard deviation of 6; 0.9 gives 27 bits, 0.6 gives 59.
 COPY_BITS = 48
 SIGNATURE = ["s0", "s1", "s2", "s3"]
+#: Near copies by exact similarity: BANDS bands of BAND_ROWS MinHash values each. Of pairs
+#: at 0.8, 0.59 ** 24, so 3 in a million, agree in no band.
+COPY_SHARE, BANDS, BAND_ROWS = 0.8, 24, 4
+#: Pairs in a band that differ in more bits are left out unread: 5 standard deviations
+#: above what 0.8 gives (48 at most for texts of a few shingles).
+LOOSE_BITS = 80
+#: Rows of a band that are compared at once, and hashes of a block of texts.
+BLOCK_ROWS, BLOCK_HASHES = 1024, 1 << 21
 #: Bit values (least first) of each byte.
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -67,13 +78,36 @@ def remix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Odd multipliers, one for each MinHash value.
+MULTIPLIERS = np.random.default_rng(3).integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_values(h: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each band: its number and BAND_ROWS MinHash values of the
+    distinct hashes ``h``."""
+    low = np.full(len(MULTIPLIERS), 2**64 - 1, np.uint64)
+    for lo in range(0, len(h), 1 << 12):  # bounds the memory of very long texts
+        x = h[lo : lo + (1 << 12), None] * MULTIPLIERS
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        low = np.minimum(low, x.min(0))
+    value = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in low.reshape(BANDS, BAND_ROWS).T:
+        value = remix(value * np.uint64(0x9E3779B97F4A7C15) ^ column)
+    return value
+
+
 def copy_signature(text: str | None) -> np.ndarray:
-    """Five unsigned 64-bit words: the fingerprint of the words, each weighted by the
+    return copy_parts(text)[0]
+
+
+def copy_parts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, hashes of the distinct shingles). The signature: five unsigned 64-bit words: the fingerprint of the words, each weighted by the
     root of its count, and 256 bits of the distinct five-word shingles (fewer words:
     the whole sequence). All zero without words. A-Z are lower-cased."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return np.zeros(5, np.uint64)
+        return np.zeros(5, np.uint64), np.zeros(0, np.uint64)
     digest, seed = xxhash.xxh64_intdigest, SEED
     counts = Counter(words)
     single = np.array([digest(w, seed) for w in counts], np.uint64)[:, None]
@@ -82,19 +116,23 @@ def copy_signature(text: str | None) -> np.ndarray:
     h = [np.fromiter((digest(r, seed) for r in runs), np.uint64, len(runs))]
     for _ in SIGNATURE[1:]:
         h.append(remix(h[-1]))
-    return np.concatenate([majority(single, weights), majority(np.stack(h, 1))])
+    return np.concatenate([majority(single, weights), majority(np.stack(h, 1))]), h[0]
 
 
-def with_copy_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, s0 to s3): the words of ``copy_signature`` as longs."""
-    source = pick(docs, id_col, text_col).toDF("doc_id", "text")
+def with_copy_signatures(docs: DataFrame, hashes: bool = False) -> DataFrame:
+    """(doc_id, fp, s0 to s3, then bands or hashes) of (doc_id, text): the words of
+    ``copy_signature`` as longs; ``bands`` holds the band values (none without words),
+    ``hashes`` the sorted hashes of the distinct shingles, 8 bytes each."""
+    last = "hashes" if hashes else "bands"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = np.array([copy_signature(t) for t in pdf["text"]], np.uint64).reshape(-1, 5).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], **{c: got[:, i] for i, c in enumerate(["fp", *SIGNATURE])}})
+            parts = [copy_parts(t) for t in pdf["text"]]
+            got = np.array([p[0] for p in parts], np.uint64).reshape(-1, 5).view(np.int64)
+            more = [np.sort(h).tobytes() if hashes else band_values(h).view(np.int64) if len(h) else [] for _, h in parts]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], **{c: got[:, i] for i, c in enumerate(["fp", *SIGNATURE])}, last: pd.Series(more, dtype=object)})
 
-    return source.mapInPandas(run, "doc_id long, fp long, s0 long, s1 long, s2 long, s3 long")
+    return docs.mapInPandas(run, f"doc_id long, fp long, s0 long, s1 long, s2 long, s3 long, {last} {'binary' if hashes else 'array<long>'}")
 
 
 def fingerprint(text: str | None, n_words: int = WORDS) -> int:
@@ -264,6 +302,77 @@ def near_links(fps: DataFrame, radius: int = RADIUS, bits: int | None = None, le
     return tiles.groupBy("leaf", "h", "q").applyInPandas(compare, columns).distinct()
 
 
+def blocks(df: DataFrame, key: str, k: str) -> DataFrame:
+    """``df`` with ``tile``: the rows of one ``key`` are cut into ``k`` blocks by nid, and a
+    tile holds two of them (or the one), so every two rows meet in a tile."""
+    x = F.pmod(F.xxhash64("nid", F.lit(2)), F.col(k))
+    cut = df.withColumn("_x", x).withColumn("_y", F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1)))
+    return cut.withColumn("tile", F.xxhash64(key, F.least("_x", "_y"), F.greatest("_x", "_y"))).drop("_x", "_y")
+
+
+def tile_links(pdf: pd.DataFrame, exact: bool) -> pd.DataFrame:
+    """A spanning forest (a, b) of the links between rows of one tile: signatures within
+    LOOSE_BITS and, if ``exact``, shingles shared at COPY_SHARE or more."""
+    pdf = pdf.sort_values(["tile", "nid"])
+    tile, nid = pdf["tile"].to_numpy(), pdf["nid"].to_numpy()
+    nodes, where = np.unique(nid, return_inverse=True)
+    signature = np.ascontiguousarray(pdf[SIGNATURE].to_numpy(np.int64)).view(np.uint64)
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]] if exact else []
+    size = np.array([len(x) for x in sets])
+    label, at, d = np.arange(len(nodes)), np.arange(len(tile)), 1
+    while len(at):
+        at = at[at + d < len(tile)]
+        at = at[tile[at] == tile[at + d]]  # rows are sorted, so no later one is in the tile either
+        i, j = at, at + d
+        link = label[where[i]] != label[where[j]]
+        i, j = i[link], j[link]
+        link = np.bitwise_count(signature[i] ^ signature[j]).sum(1, dtype=np.int64) <= LOOSE_BITS
+        i, j = i[link], j[link]
+        if exact:
+            link = np.minimum(size[i], size[j]) >= (COPY_SHARE - 1e-9) * np.maximum(size[i], size[j])
+            i, j = i[link], j[link]
+            shared = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j)], np.int64)
+            link = shared >= (COPY_SHARE - 1e-9) * (size[i] + size[j] - shared)
+            i, j = i[link], j[link]
+        if len(i):
+            old = np.flatnonzero(label != np.arange(len(nodes)))
+            label = forest(np.concatenate([old, where[i]]), np.concatenate([label[old], where[j]]), len(nodes))
+        d += 1
+    child = np.flatnonzero(label != np.arange(len(nodes)))
+    return pd.DataFrame({"a": nodes[child], "b": nodes[label[child]]})
+
+
+def exact_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b: nid) whose components are those of all pairs of ``nodes`` (rep, nid, s0
+    to s3, bands) that share five-word shingles at COPY_SHARE or more, by exact count over
+    64-bit hashes; only pairs that agree in no band are missed.
+
+    Nodes in a common band and within LOOSE_BITS are linked first. The texts of the
+    clusters so found are read again, and inside each cluster all pairs are decided."""
+    banded = nodes.select("nid", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").count().filter("count > 1")
+    rows = materialize(banded.join(shared, "band").withColumn("k", F.ceil(F.col("count") / BLOCK_ROWS)).select("band", "k", "nid"), "bands")
+    tiles = blocks(rows, "band", "k").join(nodes.select("nid", *SIGNATURE), "nid")
+    shards = max(1, rows.count() // 20_000)
+    near = tiles.groupBy(F.pmod("tile", F.lit(shards))).applyInPandas(lambda pdf: tile_links(pdf, False), "a long, b long")
+    found = materialize(components(materialize(near.distinct(), "band-links")), "clusters")
+    members = found.select("node", "root").union(found.select("root", "root").distinct()).toDF("nid", "cluster")
+    members = materialize(members.join(nodes.select("nid", "rep", *SIGNATURE), "nid"), "members")
+
+    wanted = members.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.join(wanted, "doc_id", "left_semi")
+    if members.filter("rep IS NULL").limit(1).count():
+        texts = texts.union(docs.filter("doc_id IS NULL"))
+    keys = ["fp", *SIGNATURE]
+    sets = with_copy_signatures(texts, hashes=True).select(F.xxhash64(*keys).alias("nid"), "hashes")
+    sets = materialize(members.join(sets, "nid").dropDuplicates(["nid"]), "shingles")
+    sizes = sets.groupBy("cluster").agg(F.sum(F.length("hashes") / 8).alias("n"))
+    sizes = materialize(sizes.select("cluster", F.ceil(F.col("n") / BLOCK_HASHES).alias("k"), "n"), "cluster-sizes")
+    shards = max(1, int((sizes.agg(F.sum("n")).first()[0] or 0) // BLOCK_HASHES) * 4)
+    tiles = blocks(sets.join(sizes, "cluster"), "cluster", "k").select("tile", "nid", *SIGNATURE, "hashes")
+    return tiles.groupBy(F.pmod("tile", F.lit(shards))).applyInPandas(lambda pdf: tile_links(pdf, True), "a long, b long")
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches; links (a, b) of
     comparable ids. Alternates joining every larger neighbour, and every smaller one,
@@ -303,26 +412,36 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, component_id, the smallest doc_id reachable over
-    pairs of near copies, estimated to share five-word shingles at 0.8 or more: word
-    fingerprints within COPY_RADIUS bits and signatures within COPY_BITS.
+    pairs of near copies: those that share five-word shingles at COPY_SHARE or more
+    (``exact_links``), and those estimated to do so, with word fingerprints within
+    COPY_RADIUS bits and signatures within COPY_BITS.
 
     Texts of equal words are always linked, texts without words with each other. Null
     ids, repeated rows, other columns and empty tables as in ``near_duplicates``.
     """
-    marked = materialize(with_copy_signatures(docs, id_col, text_col), "signatures")
-    return with_components(marked, COPY_RADIUS, COPY_BITS).select(F.col("doc_id").alias(id_col), "component_id")
+    source = pick(docs, id_col, text_col).toDF("doc_id", "text")
+    marked = materialize(with_copy_signatures(source), "signatures")
+    return with_components(marked, COPY_RADIUS, COPY_BITS, source).select(F.col("doc_id").alias(id_col), "component_id")
 
 
-def with_components(marked: DataFrame, radius: int, bits: int | None = None) -> DataFrame:
-    """``marked`` (doc_id, fp, signature columns if any) and component_id."""
-    keys = marked.columns[1:]
-    nodes = materialize(marked.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "nodes")
+def with_components(marked: DataFrame, radius: int, bits: int | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """``marked`` (doc_id, fp, signature columns and bands if any) and component_id. Where
+    ``docs`` (doc_id, text) are given, links by exact similarity are added."""
+    keys = [c for c in marked.columns[1:] if c != "bands"]
+    more = [F.first("bands").alias("bands")] if docs is not None else []
+    nodes = materialize(marked.groupBy(*keys).agg(F.min("doc_id").alias("rep"), *more), "nodes")
     links = materialize(near_links(nodes.select(*keys), radius, bits), "near-links")
     # links between fingerprints, as links between their smallest documents
     node = F.struct(F.coalesce("rep", F.lit(2**63 - 1)).alias("rep"), *keys).alias("node")
     for e in "ab":
         links = links.join(ends(nodes.select(*keys, node), e), [f"{e}_{k}" for k in keys])
     named = links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    if docs is not None:
+        nid = F.xxhash64(*keys).alias("nid")
+        exact = materialize(exact_links(docs, nodes.select(*keys, "rep", "bands", nid)), "exact-links")
+        for e in "ab":
+            exact = exact.join(nodes.select(nid.alias(e), node.alias(f"{e}_node")), e)
+        named = named.union(exact.select("a_node", "b_node"))
     roots = components(named).select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("root.rep").alias("root"))
     roots = materialize(nodes.join(roots, keys, "left").select(*keys, F.coalesce("root", "rep").alias("component_id")), "components")
     return marked.join(roots, keys)

@@ -596,3 +596,25 @@ def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (5, 5)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 200: 100, 150: 100}
+
+
+def test_near_copies_of_edited_passages(spark):
+    """Components are those of exact five-word Jaccard of 0.8 or more, by brute force, for
+    copies with a passage appended, cut off or replaced, none of which limits were set by."""
+    rng = np.random.default_rng(77)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    weight = 1 / np.arange(1, 4001)
+    draw = lambda n: list(rng.choice(vocabulary, n, p=weight / weight.sum()))
+    runs = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, close = [], []
+    for g in range(150):
+        words = draw(int(rng.integers(30, 600)))
+        n, at = int(len(words) * rng.uniform(0.05, 0.24)), int(rng.integers(0, len(words) // 2))
+        copy = [words + draw(n), words[:-n], words[:at] + draw(n // 2) + words[at + n // 2 :]][g % 3]
+        rows += [(2 * g, words), (2 * g + 1, copy)]
+        a, b = runs(words), runs(copy)
+        if len(a & b) / len(a | b) >= 0.8:
+            close.append(g)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    assert len(close) > 60 and all(got[2 * g] == 2 * g for g in range(150))
+    assert [g for g in close if got[2 * g + 1] != 2 * g] == []
