@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from talespark.llm.common import materialize, read
 from talespark.llm.contamination import decontaminate
-from talespark.llm.langid import fit, identify, training_rows
+from talespark.llm.langid import agreement_limit, fit, identify, training_rows
 from talespark.llm.packing import pack_documents, with_digest
 from talespark.llm.rules import quality_rules, trusted
 from talespark.llm.simhash import near_copies
@@ -34,10 +34,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no language (``und``), the rest stay. Where an id is
-    repeated, it goes only if all its rows are rejected."""
-    judged = identify(docs, fit(training_rows(docs)))
-    bad = judged.groupBy("doc_id").agg(F.bool_and(F.col("lang_pred") == "und").alias("bad")).filter("bad")
+    """Rejects documents of no language (``und``), those whose language is ambiguous, and
+    those whose codes agree too little with any one language (garbled, or half in another
+    language); the rest stay. Where an id is repeated, it goes only if all its rows are
+    rejected."""
+    model = fit(training_rows(docs))
+    judged = identify(docs, model, agreement=True)
+    out = (F.col("lang_pred") == "und") | F.col("ambiguous") | (F.col("agreement") < agreement_limit(docs, model))
+    bad = judged.groupBy("doc_id").agg(F.bool_and(out).alias("bad")).filter("bad")
     return _without(docs, materialize(bad, "rejected"))
 
 

@@ -27,6 +27,9 @@ BITS, ORDERS = 15, (1, 2, 3)
 MAX_LANGUAGES = 512
 #: A lead in probability below this is ambiguous.
 AMBIGUOUS = 0.2
+#: A text is rejected below this share of the median agreement of labelled held-out texts.
+#: Texts of one language lie near 1, half one and half another near 0.5, noise below 0.35.
+AGREEMENT = 0.57
 LETTER = regex.compile(r"\p{L}")
 #: ASCII other than letters and the apostrophe becomes a space.
 TABLE = bytes(c if c >= 128 or chr(c).isalpha() or c == 39 else 32 for c in range(256))
@@ -63,6 +66,7 @@ class Model:
     code: np.ndarray  # languages x bits, +1 or -1
     weights: np.ndarray  # buckets x bits
     trust: np.ndarray  # languages x bits, rows sum to 1
+    margin: np.ndarray  # languages x bits, mean margin of a bit in texts of each language
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
@@ -105,7 +109,7 @@ def fit(texts: DataFrame) -> Model:
         weights[:, b] = np.log(p[code[:, b] > 0].mean(0)) - np.log(p[code[:, b] < 0].mean(0))
     margin = np.maximum(code * (p @ weights), 1e-6)  # what a bit's margin is in texts of each language
     trust = margin / margin.sum(1, keepdims=True) if code.shape[1] else margin
-    return Model(languages, code, weights, trust)
+    return Model(languages, code, weights, trust, margin)
 
 
 def decode(model: Model, margins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,8 +123,10 @@ def decode(model: Model, margins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     return best, top[:, -1], top[:, -1] - (top[:, -2] if p.shape[1] > 1 else 0)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, lang_pred, score (0 to 1), ambiguous.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", agreement: bool = False) -> DataFrame:
+    """One row per document: id, lang_pred, score (0 to 1), ambiguous, and agreement if
+    asked for: the text's bit margins along the codeword of lang_pred, as a share of what
+    texts of that language have (0 for ``und``, 1 where only one language was learned).
 
     The whole text is read. ``und`` with score 0 is given to null texts, texts
     without a letter, and all texts where no language was learned. Rows are judged
@@ -134,17 +140,31 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for pdf in batches:
             known = np.array([isinstance(t, str) and LETTER.search(t) is not None and bool(model.languages) for t in pdf["text"]], bool)
             lang, score, unsure = np.full(len(pdf), "und", object), np.zeros(len(pdf)), np.ones(len(pdf), bool)
+            agree = np.zeros(len(pdf))
             if known.any():
                 margins, n = np.zeros((known.sum(), model.code.shape[1])), np.zeros(known.sum())
                 for i, text in enumerate(pdf["text"][known]):
                     at = hashed_grams(normal_bytes(text), ORDERS, BITS)
                     n[i] = len(at)
                     margins[i] = model.weights[at].sum(0) if len(at) < 2000 else np.bincount(at, minlength=2**BITS).astype(np.float32) @ model.weights
-                best, p, lead = decode(model, margins / np.maximum(n, 1)[:, None], n)
+                margins /= np.maximum(n, 1)[:, None]
+                best, p, lead = decode(model, margins, n)
+                agree[known] = (margins * model.code[best]).sum(1) / model.margin[best].sum(1) if model.code.shape[1] else 1.0
                 lang[known], score[known], unsure[known] = np.array(model.languages, object)[best], p, lead < AMBIGUOUS
-            yield pd.DataFrame({id_col: pdf["doc_id"], "lang_pred": lang, "score": score, "ambiguous": unsure})
+            more = {"agreement": agree} if agreement else {}
+            yield pd.DataFrame({id_col: pdf["doc_id"], "lang_pred": lang, "score": score, "ambiguous": unsure, **more})
 
-    return source.mapInPandas(judge, f"`{id_col}` {kind}, lang_pred string, score double, ambiguous boolean")
+    more = ", agreement double" if agreement else ""
+    return source.mapInPandas(judge, f"`{id_col}` {kind}, lang_pred string, score double, ambiguous boolean{more}")
+
+
+def agreement_limit(docs: DataFrame, model: Model, fold: int = 5) -> float:
+    """AGREEMENT times the median agreement of the labelled documents of the fold that
+    ``training_rows`` leaves out (1 if there are none)."""
+    held_out = pick(docs, "doc_id", "text", "lang").filter((id_fold("doc_id", fold) == 0) & F.col("lang").isNotNull())
+    judged = identify(held_out, model, agreement=True).filter("lang_pred <> 'und'")
+    median = judged.agg(F.percentile_approx("agreement", 0.5)).first()[0]
+    return AGREEMENT * (1.0 if median is None else median)
 
 
 def training_rows(docs: DataFrame, fold: int = 5) -> DataFrame:
