@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys that hold over a HEAVY-th of all rows are fewer than HEAVY, whatever the input.
+HEAVY = 1000
 #: A word is a maximal run of characters outside ASCII white space.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -16,10 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is what the cluster names in ``spark.checkpoint.dir``. Only where that is
-    unset (tests, one machine) a temporary folder is made and set.
+    unset on one machine (tests) a temporary folder is made and set; on a cluster
+    executors would not see such a folder, so that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -45,6 +50,26 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Empty a table that :func:`materialize` has written and nothing reads any more."""
+    spark = table.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        spark.range(0).write.mode("overwrite").parquet(path)
+
+
+def skewed_join(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of written tables: ``table`` has one row for each key, and in
+    ``weight`` how many of ``rows`` have it.
+
+    The keys that hold over a HEAVY-th of the rows, fewer than HEAVY, are broadcast, so
+    their rows stay where they are; the others are shuffled, and none of them fills a task.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * HEAVY > total
+    light = rows.join(table.filter(~heavy).drop(weight).hint("merge"), key)
+    return light.unionByName(rows.join(F.broadcast(table.filter(heavy).drop(weight)), key))
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Select columns by exact name even if others differ from them only in case
     or repeat them (the first exact match is taken)."""

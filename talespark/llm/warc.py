@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, pick, read
+from .common import discard, materialize, new_path, pick, read, skewed_join
 
 MAGIC = "WARC/1.1\r\n"
 EOL = "\r\n"
@@ -49,9 +49,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     """
     rows = pick(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     rows = rows.withColumn("bytes", F.octet_length("html")).withColumn("digest", base32_sha1(F.col("html")))
-    owner = rows.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("owner"))
-    rows = rows.join(owner, "digest", "left")
-    revisit = (F.col("bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("owner"))
+    # equal payloads are found without the payloads, and only their ids are joined back
+    narrow = materialize(rows.filter(F.col("bytes") >= min_bytes).select("page_id", "digest"), "digests")
+    owner = materialize(narrow.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).filter("n > 1"), "owners")
+    again = skewed_join(narrow, owner, "digest", "n").filter("NOT page_id <=> owner").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "owner").distinct()
+    again = materialize(again, "revisits")
+    rows = rows.join(again.hint("merge"), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    revisit = F.col("_digest").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("bytes").cast("string"), F.lit(EOL + EOL))
     block = F.when(revisit, http).otherwise(F.concat(http, "html"))
     page = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
@@ -72,10 +76,14 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
         F.lit(EOL),  # the sink's line end is the second of the record's two
     )
     rows.select(record.alias("value")).write.option("lineSep", EOL).text(path)
+    for table in (narrow, owner, again):
+        discard(table)
 
 
-FIELD = {k: re.compile(rb"(?im)^" + k.encode() + rb":[ \t]*([^\r\n]*)") for k in ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "Content-Length")}
-HTTP_LENGTH = re.compile(rb"(?im)^Content-Length:[ \t]*(\d+)")
+FIELD = {k: re.compile(rb"(?im)^" + k.encode() + rb":[ \t]*([^\r\n]*)") for k in ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Payload-Digest", "Content-Length")}
+HTTP_LENGTH = re.compile(rb"(?im)^Content-Length:[ \t]*([0-9]{1,15})[ \t]*\r?$")
+#: A declared length is 1 to 15 ASCII digits: an offset plus such a length is always a long.
+LENGTH = re.compile(r"[0-9]{1,15}")
 
 
 def digest(payload: bytes) -> str:
@@ -83,7 +91,8 @@ def digest(payload: bytes) -> str:
 
 
 def read_block(block: bytes, revisit: bool) -> tuple[int, str | None]:
-    """(payload bytes, digest) of an HTTP block; a revisit has the size only."""
+    """(payload bytes, digest) of an HTTP block; a revisit has the size only, 0 if none
+    can be read."""
     head, _, payload = block.partition(b"\r\n\r\n")
     if revisit:
         m = HTTP_LENGTH.search(head)
@@ -110,7 +119,7 @@ def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int,
             i, pos = i + 1, pos + len(data) + len(MAGIC)
 
 
-CANDIDATE = "file string, block long, i long, start long, size long, head long, length long, type string, id string, refers string, url string, whole boolean, payload_bytes long, payload_digest string"
+CANDIDATE = "file string, block long, i long, start long, size long, head long, length long, type string, id string, refers string, url string, declared string, whole boolean, payload_bytes long, payload_digest string"
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +129,10 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for file, block, i, start, data in numbered(batches):
         end = data.find(b"\r\n\r\n")
         got = {k: (m[1].decode("utf-8", "replace") if (m := p.search(data[: max(end, 0)])) else None) for k, p in FIELD.items()}
-        length = int(got["Content-Length"]) if (got["Content-Length"] or "").isdigit() and end >= 0 else None
+        length = int(got["Content-Length"]) if end >= 0 and LENGTH.fullmatch((got["Content-Length"] or "").strip()) else None
         whole = length is not None and end + 4 + length + 4 == len(data)
         size, dig = read_block(data[end + 4 : end + 4 + length], got["WARC-Type"] == "revisit") if whole else (None, None)
-        rows.append((file, block, i, start, len(data), end + 4, length, got["WARC-Type"], got["WARC-Record-ID"], got["WARC-Refers-To"], got["WARC-Target-URI"], whole, size, dig))
+        rows.append((file, block, i, start, len(data), end + 4, length, got["WARC-Type"], got["WARC-Record-ID"], got["WARC-Refers-To"], got["WARC-Target-URI"], got["WARC-Payload-Digest"], whole, size, dig))
         if len(rows) >= 5000:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
             rows = []
@@ -162,39 +171,43 @@ def reachable(candidates: DataFrame) -> DataFrame:
     entries = materialize(jump.filter("off = 0").select("file", "off"), "entries")
     seen = entries.count()
     while True:
-        entries = materialize(entries.union(entries.join(step, ["file", "off"]).select("file", F.col("to").alias("off"))).distinct(), "entries")
+        entries = materialize(entries.union(entries.join(step.hint("merge"), ["file", "off"]).select("file", F.col("to").alias("off"))).distinct(), "entries")
         now = entries.count()
         if now == seen:
             break
         seen = now
         onward = step.select("file", F.col("off").alias("to"), F.col("to").alias("beyond"))
-        step = materialize(step.join(onward, ["file", "to"]).select("file", "off", F.col("beyond").alias("to")), "steps")
-    marked = jump.join(entries.withColumn("entry", F.lit(True)), ["file", "off"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+        step = materialize(step.join(onward.hint("merge"), ["file", "to"]).select("file", "off", F.col("beyond").alias("to")), "steps")
+    marked = jump.join(entries.withColumn("entry", F.lit(True)).hint("merge"), ["file", "off"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     return marked.select("file", "block", "off", "succ", "entry").groupBy("file", "block").applyInPandas(walk, "file string, off long")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: file, offset, length (of the block), type, id, refers, url,
-    payload_bytes, payload_digest (null for revisits), complete.
+    declared (its WARC-Payload-Digest field), payload_bytes, payload_digest (computed;
+    null for revisits, which hold no payload), complete.
 
     Only records on the chain from a file's start count. A record cut off by the end
-    of its file is given with ``complete`` false and the payload that is there.
+    of its file is given with ``complete`` false and the payload that is there. A head
+    that is cut off, or whose Content-Length is missing or not 1 to 15 ASCII digits, is
+    no record and ends the chain; inside a payload such heads do no harm. Fields that
+    are missing are null; ids may repeat; an empty archive gives no rows.
     """
     got = materialize(pieces(spark, path).mapInArrow(scan, CANDIDATE), "candidates")
     splits = got.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("total"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = got.join(splits, ["file", "block"]).withColumn("off", F.col("base") + F.col("start") - len(MAGIC))
+    placed = got.join(splits.hint("merge"), ["file", "block"]).withColumn("off", F.col("base") + F.col("start") - len(MAGIC))
     placed = placed.filter("off >= 0").withColumn("succ", F.when(F.col("length").isNotNull(), F.col("off") + len(MAGIC) + F.col("head") + F.col("length") + 4).otherwise(F.lit(DEAD)))
     placed = materialize(placed.drop("base", "start"), "placed")
-    records = materialize(placed.join(reachable(placed.select("file", "block", "off", "succ")), ["file", "off"]), "records")
-    out = ["file", F.col("off").alias("offset"), "length", "type", "id", "refers", "url"]
+    records = materialize(placed.join(reachable(placed.select("file", "block", "off", "succ")).hint("merge"), ["file", "off"]).filter("length IS NOT NULL"), "records")
+    out = ["file", F.col("off").alias("offset"), "length", "type", "id", "refers", "url", "declared"]
     whole = records.filter("whole").select(*out, "payload_bytes", "payload_digest", F.lit(True).alias("complete"))
     if not records.filter("NOT whole").limit(1).count():
         return whole
     # payloads that hold a magic: their pieces are read again and put together
     chain = Window.partitionBy("file").orderBy("off")
-    parts = placed.join(records.select("file", "off", F.struct("off", "succ", "whole").alias("mark")), ["file", "off"], "left")
+    parts = placed.join(records.select("file", "off", F.struct("off", "succ", "whole").alias("mark")).hint("merge"), ["file", "off"], "left")
     parts = parts.withColumn("own", F.last("mark", True).over(chain)).filter("NOT own.whole AND off < own.succ").select("file", "block", "i", "off", F.col("own.off").alias("own"))
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -202,7 +215,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame({"file": [file], "block": [block], "i": [i], "data": [data]})
 
     again = pieces(spark, path).mapInPandas(raw, "file string, block long, i long, data binary")
-    joined = again.join(parts, ["file", "block", "i"]).join(records.select("file", F.col("off").alias("own"), "head", "length", "type"), ["file", "own"])
+    joined = again.join(parts.hint("merge"), ["file", "block", "i"]).join(records.select("file", F.col("off").alias("own"), "head", "length", "type").hint("merge"), ["file", "own"])
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("off")
@@ -213,7 +226,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         return pd.DataFrame({"file": [first["file"]], "off": [first["own"]], "payload_bytes": [size], "payload_digest": [dig], "complete": [len(block) == first["length"]]})
 
     rest = joined.groupBy("file", "own").applyInPandas(gather, "file string, off long, payload_bytes long, payload_digest string, complete boolean")
-    return whole.union(records.drop("payload_bytes", "payload_digest").join(rest, ["file", "off"]).select(*out, "payload_bytes", "payload_digest", "complete"))
+    return whole.union(records.drop("payload_bytes", "payload_digest").join(rest.hint("merge"), ["file", "off"]).select(*out, "payload_bytes", "payload_digest", "complete"))
 
 
 def page_of(urn: str) -> Column:
@@ -223,11 +236,9 @@ def page_of(urn: str) -> Column:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(read(spark, sf_dir, "pages"), path)
-    rows = read_archives(spark, path).select(page_of("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page_of("refers").alias("refers_to"))
-    # a revisit's digest is the one that its response's payload has
-    full = rows.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("full_digest")).filter("refers_to IS NOT NULL").distinct()
-    out = rows.join(full, "refers_to", "left").select("page_id", "payload_bytes", F.coalesce("payload_digest", "full_digest").alias("payload_digest"), "record_type", "refers_to")
-    return out
+    # a revisit holds no payload: the digest of the whole one is the one that it declares
+    digest = F.coalesce("payload_digest", F.regexp_extract("declared", r"^sha1:([A-Z2-7]{32})$", 1))
+    return read_archives(spark, path).select(page_of("id").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), F.col("type").alias("record_type"), page_of("refers").alias("refers_to"))
 
 
 OP6_SQL = r"""

@@ -273,7 +273,61 @@ def test_warc_round_trip(spark, data):
         assert pd.isna(r["refers_to"]) if top[html] == page_id else r["refers_to"] == top[html]
 
 
-def test_warc_magic_inside(spark, tmp_path, monkeypatch):
+def read_back(spark, path, split):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        return warc.read_archives(spark, path).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def check_archive(got, rows):
+    """rows: (page_id, url, html); ids are unique."""
+    text = {i: (h or "").encode() for i, _, h in rows}
+    assert len(got) == len(rows) and got["complete"].all()
+    assert sorted(got["id"]) == sorted(f"<urn:page:{i}>" for i in text)
+    for r in got.itertuples():
+        body = text[int(r.id[10:-1])]
+        want = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        assert r.payload_bytes == len(body) and r.declared == "sha1:" + want
+        assert r.payload_digest == (None if r.type == "revisit" else want)
+
+
+def test_warc_crafted_lengths(spark, tmp_path):
+    """Heads inside payloads whose lengths no long holds, or that are no ASCII number."""
+    head = "WARC/1.1\r\nWARC-Type: {}\r\nContent-Length: {}\r\n\r\nHTTP/1.1 200 OK\r\nContent-Length: {}\r\n\r\nabc\r\n\r\n"
+    odd = ["9" * 20, "\u00b2", "9223372036854775807", "-1", "", "1e3", "\u0663", "0" * 15, "9" * 15, "9" * 16, "12 x"]
+    rows = [(i, "http://a/", "p" + head.format(kind, n, m) + "q") for i, (kind, n, m) in enumerate((k, n, m) for k in ("response", "revisit") for n in odd for m in ("3", "9" * 30))]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), path)
+    for split in ("1500", "134217728"):
+        check_archive(read_back(spark, path, split), rows)
+
+
+def test_warc_fuzz(spark, tmp_path):
+    """Random heads, whole or broken, with random lengths, inside payloads."""
+    rng = np.random.default_rng(9)
+    bits = ["WARC/1.1\r\n", "WARC-Type: revisit\r\n", "Content-Length: ", "\r\n\r\n", "\r\n", "\r", "\n", "WARC/1.1", "abc", "HTTP/1.1 200 OK\r\n", "\u00e9\U0001f600", " ", "<urn:page:7>", "WARC-Record-ID: "]
+    pick = lambda: str(10 ** int(rng.integers(0, 22)) // int(rng.integers(1, 9))) if rng.random() < 0.3 else str(rng.choice(bits))
+    rows = [(i, "http://a/" + pick() + "b", "".join(pick() for _ in range(int(rng.integers(0, 60))))) for i in range(300)]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(3), path)
+    for split in ("4000", "134217728"):
+        check_archive(read_back(spark, path, split), rows)
+
+
+def test_warc_large_group(spark, tmp_path):
+    """A third of all pages and all empty ones are copies."""
+    rows = [(i, None, "same" if i % 3 == 0 else "" if i % 3 == 1 and i % 2 else f"page {i}") for i in range(900)]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = warc.read_archives(spark, path).toPandas()
+    check_archive(got, rows)
+    last = {h: i for i, _, h in rows}
+    assert {r.id: r.refers for r in got.itertuples()} == {f"<urn:page:{i}>": None if last[h] == i else f"<urn:page:{last[h]}>" for i, _, h in rows}
+
+
+def test_warc_magic_inside(spark, tmp_path):
     fake = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     html = ["plain", fake, "a" + fake + fake + "b", None, "", "WARC/1.1\r\n", fake, "\u00e9" * 5000 + "WARC/1.1\r\nx", "x" * 70000]
     rows = [(i, f"http://a/{i}\r\nContent-Length: 1" if i % 2 else None, h) for i, h in enumerate(html)] + [(None, "u", "no id"), (0, None, "plain")]
@@ -281,11 +335,7 @@ def test_warc_magic_inside(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "w")
     warc.write_archives(pages.coalesce(2), path)
     for split in ("400", "3000", "134217728"):
-        monkeypatch.setattr(spark.conf, "_seen", split, raising=False) if False else spark.conf.set("spark.sql.files.maxPartitionBytes", split)
-        try:
-            got = warc.read_archives(spark, path).toPandas()
-        finally:
-            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        got = read_back(spark, path, split)
         assert len(got) == len(rows) and got["complete"].all() and not got["id"].str.contains("999").any()
         text = {i: (h or "").encode() for i, _, h in rows}
         for r in got.itertuples():
