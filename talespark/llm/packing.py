@@ -11,9 +11,7 @@ and a lost task is simply run again. A group wastes less than one sequence.
 from __future__ import annotations
 
 import base64
-import heapq
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -21,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import pick, read
 
@@ -28,76 +27,37 @@ CAPACITY = 1024
 GROUP_TOKENS = 1 << 20
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Words whose ids a worker remembers; few, so that they stay in the processor's cache.
-CACHE_WORDS = 100_000
 
 
 def default_vocabulary() -> str:
-    """The byte-level BPE of ``byte_bpe_50k.json``, as ranks (same ids)."""
+    """The byte-level BPE of ``byte_bpe_50k.json`` as ranks: the same ids, which tests
+    hold against the JSON file's tokenizer on random Unicode and on long runs."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-#: The same pieces as public_tokenizers.PATTERN, without backtracking.
+#: The same pieces as public_tokenizers.PATTERN, without backtracking over long runs.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: White space next to a single space: there a word cannot be encoded on its own.
-TOUCHING = re.compile(r"(?: \s|[^\S ] )")
-
-
-class WordIds(dict):
-    """A word after a single space -> its ids as little-endian unsigned 32-bit bytes."""
-
-    def __init__(self, path: str):
-        import tiktoken
-
-        super().__init__()
-        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in Path(path).read_bytes().splitlines() if x)}
-        self.encode = tiktoken.Encoding("byte_bpe", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-        top = max(ranks.values()) + 1
-        self.opens = np.zeros(top, bool)  # ids whose bytes begin with a space
-        self.opens[[i for token, i in ranks.items() if token[:1] == b" "]] = True
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Encode words together; each has one space, so one id that begins with it.
-        The first words that come, so the frequent ones, are remembered."""
-        ids = np.array(self.encode(" " + " ".join(words)), "<u4")
-        cuts = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
-        data = ids.tobytes()
-        got = {w: data[4 * a : 4 * b] for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True)}
-        if len(self) < CACHE_WORDS:
-            self.update(got)
-        return got
-
-    def text(self, text: str) -> bytes:
-        """Ids of a whole text. A piece starts at every single space between two
-        non-spaces, so words between such spaces are encoded on their own."""
-        if TOUCHING.search(text) or text[-1:].isspace():
-            return np.array(self.encode(text), "<u4").tobytes()
-        first, *words = text.split(" ")
-        found = dict.fromkeys(words)
-        for w in found:
-            found[w] = self.get(w)
-        if new := [w for w, ids in found.items() if ids is None]:
-            found.update(self.learn(new))
-        return np.array(self.encode(first), "<u4").tobytes() + b"".join(map(found.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    """One for each worker process: what it remembers serves all its tasks."""
-    return WordIds(path)
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Text -> ids; made once for each worker process."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in Path(path).read_bytes().splitlines() if x)}
+    return tiktoken.Encoding("byte_bpe", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def place(lengths: list[int], capacity: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(item, start, length, sequence, offset) for items of the given token counts.
 
     The fewest sequences that can hold all tokens are opened. Whole sequences are
-    cut off items that exceed one; rests go in descending order to the cheapest
-    sequence with room.
+    cut off items that exceed one; rests go in descending order, those of equal length
+    in the order given, to the sequence of lowest cost among all with room (the first
+    of equal ones). A rest that no sequence can hold is cut over them, cheapest first.
     """
-    cost = lambda n: LINEAR * n + QUADRATIC * n * n
     rests, seq = [], 0
     for item, n in enumerate(lengths):
         whole = n // capacity
@@ -106,27 +66,19 @@ def place(lengths: list[int], capacity: int) -> Iterator[tuple[int, int, int, in
             seq += 1
         if n % capacity:
             rests.append((n % capacity, item, whole * capacity))
-    total = sum(r[0] for r in rests)
-    heap = [(0.0, seq + i, 0) for i in range(-(-total // capacity))]  # (cost, sequence, tokens in it)
+    room = np.full(-(-sum(r[0] for r in rests) // capacity), capacity)
+    cost = np.zeros(len(room))
     for n, item, start in sorted(rests, key=lambda r: (-r[0], r[1])):
-        aside = []
-        while heap and capacity - heap[0][2] < n and len(aside) < 64:
-            aside.append(heapq.heappop(heap))
-        if heap and capacity - heap[0][2] >= n:
-            c, s, used = heapq.heappop(heap)
-            yield item, start, n, s, used
-            if used + n < capacity:
-                heapq.heappush(heap, (c + cost(n), s, used + n))
-        else:  # no room for the whole among the cheapest: cut it over them, cheapest first
-            while n:
-                c, s, used = aside.pop(0) if aside else heapq.heappop(heap)
-                take = min(n, capacity - used)
-                yield item, start, take, s, used
-                if used + take < capacity:
-                    heapq.heappush(heap, (c + cost(take), s, used + take))
-                n, start = n - take, start + take
-        for x in aside:
-            heapq.heappush(heap, x)
+        while n:
+            fits = room >= n
+            if not fits.any():
+                fits = room > 0
+            s = int(np.where(fits, cost, np.inf).argmin())
+            take = min(n, int(room[s]))
+            yield item, start, take, seq + s, capacity - int(room[s])
+            room[s] -= take
+            cost[s] += LINEAR * take + QUADRATIC * take * take
+            n, start = n - take, start + take
 
 
 def pack_documents(
@@ -148,7 +100,7 @@ def pack_documents(
     end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(vocabulary)
+        encode = encoder(vocabulary)
         base, done = TaskContext.get().partitionId() << 40, 0
         group: list[tuple[object, bytes]] = []
         held = 0
@@ -174,7 +126,7 @@ def pack_documents(
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.text(text.as_py() or "") + end
+                ids = np.array(encode(text.as_py() or ""), "<u4").tobytes() + end
                 group.append((doc_id, ids))
                 held += len(ids) // 4
                 if held >= group_tokens:
@@ -188,8 +140,6 @@ def pack_documents(
 
 def with_digest(pieces: DataFrame) -> DataFrame:
     """The pieces with ``ids_crc32`` in place of the ids."""
-    from pyspark.sql import functions as F
-
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -408,14 +409,23 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-
-
-def test_word_ids_equal_tokenizer(tokenizer, docs):
-    words = packing.word_ids(packing.default_vocabulary())
-    texts = [*docs["text"].fillna("").tolist()[:60], *(r[1] or "" for r in ODD), " a", "a ", "a  b", "a \n b", "a\n\nb c", "it's we'll  'd x's", "\u00a0 a\u2003b \u0085c", "1 2 33a \t.", "\x1c a\x1fb c", "e\u0301 \u0915\u094d "]
+    got = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got.encode_special_tokens = True
+    return got
+
+
+def test_ids_equal_tokenizer(tokenizer, docs):
+    """The ids of the rank file are those of the JSON file: given texts, random Unicode with
+    every kind of white space, and long runs without a word boundary."""
+    encode, rng = packing.encoder(packing.default_vocabulary()), random.Random(4)
+    texts = [*docs["text"].fillna("").tolist()[:60], *(r[1] or "" for r in ODD)]
+    space = [chr(c) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 32, 32, 0x85, 0xA0, 0x1680, 0x2000, 0x2003, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    pool = [*space, *"ab1'sdtlmrve.,#", *"\u00e9\u4e2d\u0301\u0915\u00bd\u2167\u00b2\u01c5\u02b0\u203f\u0663\ufeff\u200b", "\U0001f600", "\U00010348", "<|endoftext|>"]
+    other = lambda: chr(rng.choice([rng.randint(1, 0xD7FF), rng.randint(0xE000, 0x10FFFF)]))
+    texts += ["".join(rng.choice(pool) if rng.random() < 0.8 else other() for _ in range(rng.randint(0, 40))) for _ in range(10_000)]
+    texts += ["x" * 50_000, "7" * 50_000, "#" * 50_000, " " * 50_000, "\n" * 50_000 + "a", " \n\t" * 20_000 + "b", "".join(rng.choice("abcdefghij") for _ in range(50_000)), "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(20_000))]
     for text in texts:
-        assert np.frombuffer(words.text(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def check_packing(out, want):
@@ -447,16 +457,32 @@ def test_packing_odd(spark, odd, none, tokenizer):
     assert packing.pack_documents(none).count() == 0
 
 
-def test_place_balances_cost():
-    rng = np.random.default_rng(5)
-    lengths = rng.integers(1, 700, 500).tolist()
+def plain_place(lengths, capacity):
+    """The rule of ``place`` one sequence at a time."""
+    total = sum(n % capacity for n in lengths)
+    first = sum(n // capacity for n in lengths)
+    used, cost, out = [0] * -(-total // capacity), [0.0] * -(-total // capacity), []
+    for n, i in sorted(((n % capacity, i) for i, n in enumerate(lengths)), key=lambda x: (-x[0], x[1])):
+        while n:
+            room = [s for s in range(len(used)) if capacity - used[s] >= n] or [s for s in range(len(used)) if used[s] < capacity]
+            s = min(room, key=lambda s: (cost[s], s))
+            take = min(n, capacity - used[s])
+            out.append((i, take, first + s, used[s]))
+            used[s], cost[s], n = used[s] + take, cost[s] + take * packing.LINEAR + take * take * packing.QUADRATIC, n - take
+    return out
+
+
+@pytest.mark.parametrize("top", [40, 700, 3000])
+def test_place_takes_the_cheapest_with_room(top):
+    rng = np.random.default_rng(top)
+    lengths = rng.integers(1, top, 600).tolist() + [1024, 1, 1]
     got = list(packing.place(lengths, 1024))
-    seqs = {p[3] for p in got}
-    assert len(seqs) == -(-sum(lengths) // 1024)
+    whole = sum(n // 1024 for n in lengths)
+    assert [(p[0], p[2], p[3], p[4]) for p in got if p[3] >= whole] == plain_place(lengths, 1024)
+    assert len({p[3] for p in got}) == -(-sum(n % 1024 for n in lengths) // 1024) + whole
     for item, n in enumerate(lengths):
-        assert sum(p[2] for p in got if p[0] == item) == n
-    assert np.mean(Counter(p[0] for p in got).most_common()[0][1]) <= 8
-    assert sum(1 for n in Counter(p[0] for p in got).values() if n > 1) < 0.35 * len(lengths)
+        mine = [p for p in got if p[0] == item]
+        assert [p[1] for p in mine] == [0, *np.cumsum([p[2] for p in mine])[:-1]] and sum(p[2] for p in mine) == n
 
 
 # --- language model ---------------------------------------------------------
