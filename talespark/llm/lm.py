@@ -1,19 +1,25 @@
-"""Language-model scoring: a Katz back-off bigram model learned from the corpus.
+"""Language-model scoring: a Katz back-off model of order 3 learned from the corpus.
 
-    P(w | h) = r*(c(h w)) / c(h)         where h w was seen in training
-             = alpha(h) * P(w)           otherwise
-    P(w)     = r*(c(w)) / N              where w was seen, else P(unknown)
+    P(w | h) = r*(c(h w)) / c(h)             where h w was seen in training
+             = alpha(h) * P(w | shorter h)   where h was seen, but not with w
+             = P(w | shorter h)              where h was not seen
+    P(w)     = r*(c(w)) / N                  where w was seen, else P(unknown)
 
-r* is the Good-Turing discounted count. alpha(h) is exactly what makes the words
-after h sum to 1: the mass left by the seen words over the unigram mass of the
-unseen ones. P(unknown) is the unigram mass left.
+h is the two tokens before w; a start mark stands before a document's first token,
+which has this one token of history. r* is the Good-Turing discounted count.
+alpha(h) is exactly what makes the words after h sum to 1: the mass left by the seen
+words over the mass that the next lower order gives to the unseen ones. P(unknown)
+is the unigram mass left. A token's probability is found by recursion from the
+longest history down.
 
 Everything is counted over the whole corpus, with no vocabulary cut. Documents are
 read in blocks of about ``block_tokens`` tokens. A block sends its distinct n-grams
-(64-bit hashes) with their counts to tables partitioned by hash range; a partition
-adds up what all blocks sent and answers each block with the totals of the n-grams
-it asked for. What moves is thus at most one entry for each block and distinct
-n-gram, however frequent one is, packed in columns.
+of each order, as hashes, with their counts to tables partitioned by hash range; a
+partition adds up what all blocks sent and answers each block with the totals of the
+n-grams it asked for. What moves is thus at most one entry for each block and
+distinct n-gram, however frequent one is, packed in columns. Sums for alpha are sent
+only for histories that occur in a document not learned from, since no other
+document has an unseen n-gram.
 """
 
 from __future__ import annotations
@@ -30,11 +36,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_fold, materialize, pick, read
+from .common import discard, id_fold, materialize, pick, read
 
 BLOCK_TOKENS = 1 << 20
 #: Hash ranges are 2**RANGE_BITS at least; more where there are over RANGE_TOKENS tokens a range.
 RANGE_BITS, RANGE_TOKENS = 8, 1 << 21
+#: Blocks that a task of the exchange has on average.
+TASK_BLOCKS = 2
+ORDER = 3
+#: Hashes sent have this many bits more than the token count: of the n-grams, about one
+#: in 2**KEY_BITS is taken for another one.
+KEY_BITS = 24
 #: Counts up to K take their own Good-Turing ratio.
 K = 5
 CACHE_WORDS = 300_000
@@ -121,85 +133,131 @@ def make_blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
     return docs.select("doc_id", "text", "train").mapInArrow(run, BLOCK)
 
 
+@dataclass
+class Grams:
+    """The distinct n-grams of one order in a block."""
+
+    hash: np.ndarray
+    of: np.ndarray  # of each token: the place here of the n-gram that it ends, -1 if there is none
+    context: np.ndarray | None = None  # of each: the place, one order below, of all but its last token
+    suffix: np.ndarray | None = None  # and of all but its first
+
+    def count(self, tokens: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of[tokens & (self.of >= 0)], minlength=len(self.hash))
+
+
 @dataclass
 class Block:
     doc_ids: list
     sizes: np.ndarray
-    words: np.ndarray  # sorted hashes
-    ids: np.ndarray  # place in words of each token
     learn: np.ndarray  # whether a token is of a training document
-    left: np.ndarray  # of each distinct pair: place of the context in words, len(words) for the start
-    right: np.ndarray
-    pair: np.ndarray  # distinct pair of each token
-    keys: np.ndarray  # hash of each distinct pair
-    order: np.ndarray  # that sorts keys
+    grams: list[Grams]  # of order 1, 2, ...; as a context of order 2, the start mark comes after all words
 
 
 def open_block(row: pd.Series) -> Block:
     sizes = np.asarray(row["sizes"], np.int64)
     words, ids = grow_sorted(row["words"]), grow(row["ids"], "<i4").astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    grams, hashes = [Grams(words, ids)], np.append(words, START_HASH)
     before = np.concatenate([[0], ids[:-1]])
-    before[np.cumsum(sizes) - sizes] = len(words)
-    both, pair = np.unique(before * (len(words) + 1) + ids, return_inverse=True)
-    left, right = both // (len(words) + 1), both % (len(words) + 1)
-    keys = pair_hash(np.append(words, START_HASH)[left], words[right])
-    return Block(list(row["doc_ids"]), sizes, words, ids, np.repeat(np.asarray(row["train"], bool), sizes), left, right, pair, keys, np.argsort(keys))
+    before[first] = len(words)
+    for _ in range(ORDER - 1):
+        tokens = np.flatnonzero(before >= 0)
+        both, at, place = np.unique(before[tokens] * len(words) + ids[tokens], return_index=True, return_inverse=True)
+        of = np.full(len(ids), -1)
+        of[tokens] = place
+        context = both // len(words)
+        grams.append(Grams(pair_hash(hashes[context], words[both % len(words)]), of, context, grams[-1].of[tokens[at]]))
+        before, hashes = np.concatenate([[-1], of[:-1]]), grams[-1].hash
+        before[first] = -1
+    return Block(list(row["doc_ids"]), sizes, np.repeat(np.asarray(row["train"], bool), sizes), grams)
+
 
+@dataclass
+class Ranges:
+    """How hashes are shortened to keys of ``key`` bits and dealt to 2**``bits`` ranges."""
+
+    bits: int
+    key: int
+
+    def sort(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the order that sorts the keys, the keys in this order)."""
+        keys = hashes >> np.uint64(64 - self.key)
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
 
-def slices(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """(range, part) of sorted keys, for the ranges that have any."""
-    at = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    starts = np.flatnonzero(np.diff(at, prepend=-1))
-    for a, b in zip(starts, [*starts[1:], len(keys)]):
-        yield int(at[a]), slice(a, b)
+    def slices(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """(range, part) of sorted keys, for the ranges that have any."""
+        at = (keys >> np.uint64(self.key - self.bits)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        for a, b in zip(starts, [*starts[1:], len(keys)]):
+            yield int(at[a]), slice(a, b)
+
+
+def ranges_for(tokens: int) -> Ranges:
+    bits = max(RANGE_BITS, int(np.ceil(np.log2(max(tokens, 1) / RANGE_TOKENS))))
+    return Ranges(bits, min(64, int(np.ceil(np.log2(max(tokens, 2)))) + KEY_BITS))
 
 
 # --- counting ---------------------------------------------------------------
 
 
-def ask_counts(blocks: DataFrame, bits: int) -> DataFrame:
-    """(kind, range, block, keys, counts): kind 1 words, 2 pairs."""
+def ask_counts(blocks: DataFrame, ranges: Ranges) -> DataFrame:
+    """(kind, range, block, keys, counts): kind is the order of the n-grams. The last bit
+    of a count tells whether a document not learned from has the n-gram as a history."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, row in pdf.iterrows():
                 b = open_block(row)
-                n_words = np.bincount(b.ids[b.learn], minlength=len(b.words))
-                n_pairs = np.bincount(b.pair[b.learn], minlength=len(b.keys))[b.order]
-                for kind, keys, n in ((1, b.words, n_words), (2, b.keys[b.order], n_pairs)):
-                    got = [(kind, at, row["block"], shrink_sorted(keys[s]), shrink(n[s].astype("<u4"))) for at, s in slices(keys, bits)]
+                for kind, g in enumerate(b.grams, 1):
+                    wanted = np.zeros(len(g.hash) + 1, np.int64)  # one more for the start mark
+                    if kind < ORDER:
+                        longer = b.grams[kind]
+                        wanted[longer.context[longer.of[~b.learn & (longer.of >= 0)]]] = 1
+                    order, keys = ranges.sort(g.hash)
+                    n = (2 * g.count(b.learn) + wanted[:-1])[order]
+                    got = [(kind, at, row["block"], shrink_sorted(keys[s]), shrink(n[s].astype("<u4"))) for at, s in ranges.slices(keys)]
                     yield pd.DataFrame(got, columns=["kind", "range", "block", "keys", "counts"])
 
     return blocks.mapInPandas(run, "kind int, range int, block long, keys binary, counts binary")
 
 
 def total_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one kind and range: to each block the totals of its keys, and which of them
-    it owns (a key is owned by the first block that has it); and one row of how many
-    keys were counted 1, 2, ... K + 1 times, how many at all, and the sum."""
+    """Of one kind and range: to each block, for each of its keys, 4 times the total, plus 2
+    if the key is wanted as a history, plus 1 if the block owns it (the first block that
+    has it does); and one row of how many keys were counted 1, 2, ... K + 1 times, how
+    many at all, and the sum."""
     pdf = pdf.sort_values("block")
     parts = [grow_sorted(x) for x in pdf["keys"]]
     keys, n = np.concatenate(parts), np.concatenate([grow(x, "<u4") for x in pdf["counts"]]).astype(np.int64)
     order = np.argsort(keys, kind="stable")
     new = np.concatenate([[True], np.diff(keys[order]) != 0])
-    sums = np.add.reduceat(n[order], np.flatnonzero(new))
-    total, owned = np.empty(len(keys), np.int64), np.empty(len(keys), np.uint8)
-    total[order], owned[order] = sums[np.cumsum(new) - 1], new
+    starts = np.flatnonzero(new)
+    sums = np.add.reduceat(n[order] >> 1, starts)
+    reply = np.empty(len(keys), np.int64)
+    reply[order] = (4 * sums + 2 * np.maximum.reduceat(n[order] & 1, starts))[np.cumsum(new) - 1] + new
     cuts = np.cumsum([len(p) for p in parts])[:-1]
-    out = pd.DataFrame({"kind": pdf["kind"], "range": pdf["range"], "block": pdf["block"], "totals": [shrink(x.astype("<i8")) for x in np.split(total, cuts)], "owned": [shrink(x) for x in np.split(owned, cuts)]})
+    out = pd.DataFrame({"kind": pdf["kind"], "range": pdf["range"], "block": pdf["block"], "reply": [shrink(x.astype("<i8")) for x in np.split(reply, cuts)], "stats": None})
     seen = np.bincount(np.minimum(sums, K + 2), minlength=K + 3)
     stats = [*seen[1 : K + 2].tolist(), int((sums > 0).sum()), int(sums.sum())]
-    out["stats"] = None
-    return pd.concat([out, pd.DataFrame({"kind": [pdf["kind"].iloc[0]], "range": [pdf["range"].iloc[0]], "block": [None], "totals": [None], "owned": [None], "stats": [stats]})]).astype({"block": "Int64"})
+    return pd.concat([out, pd.DataFrame({"kind": [pdf["kind"].iloc[0]], "range": [pdf["range"].iloc[0]], "block": [None], "reply": [None], "stats": [stats]})]).astype({"block": "Int64"})
 
 
 def ratios(n: list[int]) -> np.ndarray:
-    """Good-Turing r*/r for r = 0 (unused), 1 ... K, and last for any larger r. A ratio
-    that the counts of counts leave undefined or outside (0.05, 0.999) becomes
-    r / (r + 1); larger counts lose a (K + 1)-th of what count K loses."""
+    """Discounts r*/r of counts r = 0 (unused), 1 ... K, and last of any larger r, from
+    the numbers ``n`` of n-grams counted 1, 2, ... K + 1 times.
+
+    Up to K they are Katz's: Good-Turing ratios, rescaled so that they take the mass
+    of the n-grams counted once. One that the counts leave undefined or outside
+    (0.05, 0.999) becomes r / (r + 1). Katz leaves larger counts whole; here they lose a
+    (K + 1)-th of what count K loses, since a history whose words are all frequent
+    would else leave nothing to any other word, whose probability would be 0.
+    """
     d = [1.0]
+    share = (K + 1) * n[K] / n[0] if n[0] else 1.0
     for r in range(1, K + 1):
-        x = (r + 1) * n[r] / (r * n[r - 1]) if n[r - 1] else 0.0
+        x = ((r + 1) * n[r] / (r * n[r - 1]) - share) / (1 - share) if n[r - 1] and share < 1 else 0.0
         d.append(x if 0.05 < x < 0.999 else r / (r + 1))
     return np.array([*d, 1 - (1 - d[K]) / (K + 1)])
 
@@ -211,12 +269,11 @@ class Model:
     tokens: int
     types: int
     train_docs: int
-    word_ratio: np.ndarray
-    pair_ratio: np.ndarray
+    ratio: list[np.ndarray]  # of each order
     unknown: float
 
     def word_p(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, discounted(c, self.word_ratio) / max(self.tokens, 1), self.unknown)
+        return np.where(c > 0, discounted(c, self.ratio[0]) / max(self.tokens, 1), self.unknown)
 
 
 def discounted(c: np.ndarray, ratio: np.ndarray) -> np.ndarray:
@@ -224,76 +281,78 @@ def discounted(c: np.ndarray, ratio: np.ndarray) -> np.ndarray:
 
 
 def make_model(stats: dict[int, list[int]], train_docs: int) -> Model:
-    words, pairs = stats.get(1, [0] * (K + 3)), stats.get(2, [0] * (K + 3))
-    ratio, n = ratios(words), words[-1]
-    few = sum((r + 1) * words[r] for r in range(K))
-    kept = sum((r + 1) * words[r] * ratio[r + 1] for r in range(K)) + (n - few) * ratio[K + 1]
-    return Model(n, words[-2], train_docs, ratio, ratios(pairs), 1 - kept / n if n else 1.0)
+    rows = [stats.get(k, [0] * (K + 3)) for k in range(1, ORDER + 1)]
+    ratio, words = [ratios(x) for x in rows], rows[0]
+    n, few = words[-1], sum((r + 1) * words[r] for r in range(K))
+    kept = sum((r + 1) * words[r] * ratio[0][r + 1] for r in range(K)) + (n - few) * ratio[0][K + 1]
+    return Model(n, words[-2], train_docs, ratio, 1 - kept / n if n else 1.0)
 
 
 # --- scoring ----------------------------------------------------------------
 
-PENDING = "part int, block long, range int, docs binary, pairs binary, keys binary, seen binary, mass binary, asked binary"
+PENDING = "part int, block long, doc_ids array<long>, docs binary, asks binary, kind int, range int, keys binary, seen binary, mass binary, asked binary"
 
 
-def assemble(replies: pd.DataFrame, kind: int, column: str, dtype: str) -> np.ndarray:
+def assemble(replies: pd.DataFrame, kind: int) -> np.ndarray:
     rows = replies[replies["kind"] == kind].sort_values("range")
-    return np.concatenate([grow(x, dtype) for x in rows[column]]) if len(rows) else np.zeros(0, dtype)
+    return np.concatenate([grow(x, "<i8") for x in rows["reply"]]) if len(rows) else np.zeros(0, np.int64)
 
 
-def score_block(model: Model, bits: int):
+def score_block(model: Model, ranges: Ranges):
     """cogroup function: a block and its totals -> what is known of each document's
-    score, and for each context of the block the mass of the seen words it owns."""
+    score, and for each history of the block the mass of the seen words it owns."""
 
     def run(left: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        b = open_block(left.iloc[0])
-        c_word = assemble(replies, 1, "totals", "<i8")
-        c_pair, owned = np.empty(len(b.keys), np.int64), np.empty(len(b.keys), bool)
-        c_pair[b.order], owned[b.order] = assemble(replies, 2, "totals", "<i8"), assemble(replies, 2, "owned", "u1")
-        p_word = model.word_p(c_word)
-        context = np.append(c_word, model.train_docs)[b.left]  # count of each pair's context
-        seen = c_pair > 0
-        p_seen = discounted(c_pair, model.pair_ratio) / np.maximum(context, 1)
-        log_p = np.log10(np.where(seen, p_seen, p_word[b.right]))
+        b, block = open_block(left.iloc[0]), int(left["block"].iloc[0])
         first = np.cumsum(b.sizes) - b.sizes
-        docs = {
-            "n_tokens": b.sizes,
-            "n_known": np.add.reduceat((c_word > 0).astype(np.int64)[b.ids], first),
-            "base": np.add.reduceat(np.log10((c_word + 1) / (model.tokens + model.types + 1))[b.ids], first),
-            "score": np.add.reduceat(log_p[b.pair], first),
-        }
-        # contexts whose weight a document needs: those of its unseen pairs
-        ask = ~seen & (context > 0)
-        asked = np.unique(b.left[ask])
-        token = np.flatnonzero(ask[b.pair])
-        need = np.searchsorted(asked, b.left[b.pair[token]])
-        doc = np.searchsorted(first, token, side="right") - 1
-        # contexts that have owned pairs, or are asked for
-        own = owned & seen
-        named = np.unique(np.concatenate([b.left[own], asked]))
-        at = np.searchsorted(named, b.left[own])
-        mass_seen = np.bincount(at, p_seen[own], len(named))
-        mass_word = np.bincount(at, p_word[b.right[own]], len(named))
-        hashes = np.append(b.words, START_HASH)[named]
-        flag = np.isin(named, asked).astype(np.uint8)
-        order = np.argsort(hashes)
-        # asked contexts are answered in the order of their hashes
-        rank = np.empty(len(asked), np.int64)
-        rank[np.searchsorted(asked, named[order][flag[order] == 1])] = np.arange(len(asked))
-        block = int(left["block"].iloc[0])
-        packed = b"".join(np.asarray(x, "<f8").tobytes() for x in docs.values())
-        rows = [(0, block, None, packed, shrink(np.stack([doc, rank[need]]).astype("<i4").ravel()), None, None, None, None)]
-        for r, s in slices(hashes[order], bits):
-            o = order[s]
-            rows.append((1, block, r, None, None, shrink_sorted(hashes[o]), shrink(mass_seen[o]), shrink(mass_word[o]), shrink(flag[o])))
-        out = pd.DataFrame(rows, columns=[x.split()[0] for x in PENDING.split(", ")])
-        return out.astype({"range": "Int64"})
+        rows, asks, asked_before = [], [], 0
+        count = wanted = p = log_p = token_p = None  # of the order below, from the second round on
+        for kind, g in enumerate(b.grams, 1):
+            reply = np.empty(len(g.hash), np.int64)
+            reply[ranges.sort(g.hash)[0]] = assemble(replies, kind)
+            c, want, owned = reply >> 2, (reply & 2) > 0, (reply & 1) > 0
+            if kind == 1:
+                p = model.word_p(c)
+                log_p = np.log10(p)
+                token_p, base = log_p[g.of], np.log10((c + 1) / (model.tokens + model.types + 1))[g.of]
+                known, hashes = (c > 0)[g.of].astype(np.int64), np.append(g.hash, START_HASH)
+                count, wanted = np.append(c, model.train_docs), np.append(want, True)
+                continue
+            context, seen = count[g.context], c > 0
+            p_seen = np.where(seen, discounted(c, model.ratio[kind - 1]) / np.maximum(context, 1), 1.0)
+            log_p = np.where(seen, np.log10(p_seen), log_p[g.suffix])
+            there = g.of >= 0
+            token_p[there] = log_p[g.of[there]]
+            # histories whose weight a document needs: those of its unseen n-grams
+            ask = ~seen & (context > 0)
+            asked = np.unique(g.context[ask])
+            # histories to name: those asked for, and those wanted anywhere that have n-grams owned here
+            own = owned & seen & wanted[g.context]
+            named = np.unique(np.concatenate([g.context[own], asked]))
+            at = np.searchsorted(named, g.context[own])
+            mass_seen = np.bincount(at, p_seen[own], len(named))
+            mass_below = np.bincount(at, p[g.suffix[own]], len(named))  # what is after a seen n-gram's first token is seen too
+            flag = np.isin(named, asked).astype(np.uint8)
+            order, keys = ranges.sort(hashes[named])
+            rows += [(1, block, None, None, None, kind, r, shrink_sorted(keys[s]), *(shrink(x[order[s]]) for x in (mass_seen, mass_below, flag))) for r, s in ranges.slices(keys)]
+            # weights come back in the order of their keys, order by order
+            rank = np.empty(len(asked), np.int64)
+            rank[np.searchsorted(asked, named[order][flag[order] == 1])] = asked_before + np.arange(len(asked))
+            token = np.flatnonzero(there)
+            token = token[ask[g.of[token]]]
+            asks.append(np.stack([np.searchsorted(first, token, side="right") - 1, rank[np.searchsorted(asked, g.context[g.of[token]])]]))
+            asked_before += len(asked)
+            count, wanted, p, hashes = c, want, p_seen, g.hash
+        docs = (b.sizes, *(np.add.reduceat(x, first) for x in (known, base, token_p)))
+        packed = b"".join(np.asarray(x, "<f8").tobytes() for x in docs)
+        rows.append((0, block, b.doc_ids, packed, shrink(np.concatenate(asks, 1).astype("<i4").ravel()), None, None, None, None, None, None))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in PENDING.split(", ")]).astype({"kind": "Int64", "range": "Int64"})
 
     return run
 
 
 def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one range: log10 alpha of the contexts that each block asked for."""
+    """Of one kind and range: log10 alpha of the histories that each block asked for."""
     parts = [grow_sorted(x) for x in pdf["keys"]]
     keys = np.concatenate(parts)
     stack = lambda c, kind: np.concatenate([grow(x, kind) for x in pdf[c]])
@@ -302,7 +361,7 @@ def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
     log_a = np.log10(np.maximum(1 - seen, 1e-300)) - np.log10(np.maximum(1 - mass, 1e-300))
     cuts = np.cumsum([len(p) for p in parts])[:-1]
     asked = np.split(stack("asked", "u1").astype(bool), cuts)
-    return pd.DataFrame({"block": pdf["block"], "range": pdf["range"], "log_a": [shrink(x[f]) for x, f in zip(np.split(log_a[at], cuts), asked)]})
+    return pd.DataFrame({"block": pdf["block"], "kind": pdf["kind"], "range": pdf["range"], "log_a": [shrink(x[f]) for x, f in zip(np.split(log_a[at], cuts), asked)]})
 
 
 def finish(left: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
@@ -310,10 +369,9 @@ def finish(left: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
     row = left.iloc[0]
     ids = list(row["doc_ids"])
     n_tokens, n_known, base, score = np.frombuffer(row["docs"], "<f8").reshape(4, len(ids))
-    doc, need = grow(row["pairs"], "<i4").reshape(2, -1)
-    log_a = np.concatenate([np.zeros(0), *(grow(x, "<f8") for x in replies.sort_values("range")["log_a"])])
+    doc, need = grow(row["asks"], "<i4").reshape(2, -1)
+    log_a = np.concatenate([np.zeros(0), *(grow(x, "<f8") for x in replies.sort_values(["kind", "range"])["log_a"])])
     whole = score + np.bincount(doc, log_a[need], len(ids))
-    # plus zero: no document scores minus zero
     return pd.DataFrame({"doc_id": pd.array([None if i is None or i != i else int(i) for i in ids], "Int64"), "n_tokens": n_tokens.astype(np.int64), "n_known": n_known.astype(np.int64), "base_score": base, "score": whole})
 
 
@@ -329,17 +387,21 @@ def score_documents(docs: DataFrame, train: str = "train", block_tokens: int = B
     """
     rows = pick(docs, "doc_id", "text", train).toDF("doc_id", "text", "train").withColumn("train", F.coalesce("train", F.lit(False)))
     blocks = materialize(make_blocks(rows, block_tokens), "lm-blocks")
-    size, train_docs = blocks.select(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)")), F.sum(F.expr("size(filter(train, x -> x))"))).first()
-    bits = max(RANGE_BITS, int(np.ceil(np.log2(max(size or 0, 1) / RANGE_TOKENS))))
-    counted = ask_counts(blocks, bits).groupBy("kind", "range").applyInPandas(total_counts, "kind int, range int, block long, totals binary, owned binary, stats array<long>")
+    size, train_docs, n = blocks.select(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)")), F.sum(F.expr("size(filter(train, x -> x))")), F.count("*")).first()
+    ranges, tasks = ranges_for(size or 0), max(1, n // TASK_BLOCKS)
+    counted = ask_counts(blocks, ranges).groupBy("kind", "range").applyInPandas(total_counts, "kind int, range int, block long, reply binary, stats array<long>")
     counted = materialize(counted, "lm-counts")
-    stats = counted.filter("stats IS NOT NULL").groupBy("kind").agg(*(F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(K + 3))).collect()  # two rows
+    stats = counted.filter("stats IS NOT NULL").groupBy("kind").agg(*(F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(K + 3))).collect()  # ORDER rows
     model = make_model({r["kind"]: list(r)[1:] for r in stats}, train_docs or 0)
-    totals = counted.filter("block IS NOT NULL").select("block", "kind", "range", "totals", "owned")
-    pending = materialize(blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score_block(model, bits), PENDING), "lm-pending", "part")
-    weights = materialize(pending.filter("part = 1").select("block", "range", "keys", "seen", "mass", "asked").groupBy("range").applyInPandas(weigh, "block long, range int, log_a binary"), "lm-weights")
-    open_docs = pending.filter("part = 0").select("block", "docs", "pairs").join(blocks.select("block", "doc_ids"), "block")
-    done = open_docs.groupBy("block").cogroup(weights.groupBy("block")).applyInPandas(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    totals = counted.filter("block IS NOT NULL").select("block", "kind", "range", "reply")
+    both = blocks.repartition(tasks, "block").groupBy("block").cogroup(totals.repartition(tasks, "block").groupBy("block"))
+    pending = materialize(both.applyInPandas(score_block(model, ranges), PENDING), "lm-pending", "part")
+    discard(blocks)
+    discard(counted)
+    weights = pending.filter("part = 1").select("block", "kind", "range", "keys", "seen", "mass", "asked")
+    weights = materialize(weights.groupBy("kind", "range").applyInPandas(weigh, "block long, kind int, range int, log_a binary"), "lm-weights")
+    done = pending.filter("part = 0").select("block", "doc_ids", "docs", "asks").repartition(tasks, "block").groupBy("block").cogroup(weights.repartition(tasks, "block").groupBy("block"))
+    done = done.applyInPandas(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return done.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -489,36 +489,47 @@ def test_place_takes_the_cheapest_with_room(top):
 
 
 def katz(texts, train):
-    """Plain dictionaries: (n_tokens, n_known, N, base, score) of each text, and a function p(w, h)."""
+    """Plain dictionaries: (n_tokens, n_known, N, base, score) of each text, and a function
+    p(w, history) for histories of up to two words."""
     split = lambda t: [*SPACE.findall((t or "").translate(A_Z)), ""]
-    uni, bi, ctx = Counter(), Counter(), Counter()
+    grams, ctx, docs = [Counter(), Counter(), Counter()], Counter(), 0
+    history = lambda w, i: tuple([" ", *w][max(0, i - 1) : i + 1])
     for t, learn in zip(texts, train):
         if learn:
             w = split(t)
-            uni.update(w)
-            pairs = list(zip([" ", *w], w))
-            bi.update(pairs)
-            ctx.update(h for h, _ in pairs)
-    ratio = lambda c: lm.ratios([sum(1 for x in c.values() if x == r) for r in range(1, lm.K + 2)])
-    du, db, n = ratio(uni), ratio(bi), sum(uni.values())
-    star = lambda c, d: c * d[min(c, lm.K + 1)]
-    unknown = 1 - sum(star(c, du) for c in uni.values()) / n if n else 1.0
-    p1 = lambda w: star(uni[w], du) / n if w in uni else unknown
-    seen, mass = defaultdict(float), defaultdict(float)
-    for (h, w), c in bi.items():
-        seen[h] += star(c, db) / ctx[h]
-        mass[h] += p1(w)
+            for i, x in enumerate(w):
+                h = history(w, i)
+                for k in range(len(h) + 1):
+                    grams[k][(*h[len(h) - k :], x)] += 1
+                    ctx[h[len(h) - k :]] += 1
+    ratio = [lm.ratios([sum(1 for x in c.values() if x == r) for r in range(1, lm.K + 2)]) for c in grams]
+    n, types = sum(grams[0].values()), len(grams[0])
+    seen_p = lambda g: grams[len(g) - 1][g] * ratio[len(g) - 1][min(grams[len(g) - 1][g], lm.K + 1)] / ctx[g[:-1]]
+    unknown = 1 - sum(seen_p(g) for g in grams[0]) if n else 1.0
+    after = defaultdict(list)
+    for c in grams[1:]:
+        for g in c:
+            after[g[:-1]].append(g)
+    alpha = {}
 
     def p(w, h):
-        if (h, w) in bi:
-            return star(bi[h, w], db) / ctx[h]
-        return p1(w) * ((1 - seen[h]) / (1 - mass[h]) if h in ctx else 1.0)
+        g = (*h, w)
+        if g in grams[len(h)]:
+            return seen_p(g)
+        if not h:
+            return unknown
+        if h not in ctx:
+            return p(w, h[1:])
+        if h not in alpha:
+            alpha[h] = (1 - sum(map(seen_p, after[h]))) / (1 - sum(p(x[-1], h[1:]) for x in after[h]))
+        return alpha[h] * p(w, h[1:])
 
     out = []
     for t in texts:
         w = split(t)
-        out.append((len(w), sum(x in uni for x in w), n, sum(math.log10((uni[x] + 1) / (n + len(uni) + 1)) for x in w), sum(math.log10(p(x, h)) for h, x in zip([" ", *w], w))))
-    return out, p, uni, ctx
+        known = [grams[0][(x,)] for x in w]
+        out.append((len(w), sum(x > 0 for x in known), n, sum(math.log10((x + 1) / (n + types + 1)) for x in known), sum(math.log10(p(x, history(w, i))) for i, x in enumerate(w))))
+    return out, p, [g[0] for g in grams[0]], ctx
 
 
 def test_lm_brute_force(spark, data, docs):
@@ -527,8 +538,17 @@ def test_lm_brute_force(spark, data, docs):
     assert (out["held_out"].to_numpy() == [crc(i) % 7 == 2 for i in docs["doc_id"]]).all()
     assert out[["n_tokens", "n_known", "train_tokens"]].values.tolist() == [list(x[:3]) for x in want]
     assert np.allclose(out["base_score"], [x[3] for x in want]) and np.allclose(out["score"], [x[4] for x in want])
-    for h in [" ", *list(ctx)[:5]]:  # exactly normalised over the vocabulary and the unknown word
-        assert math.isclose(sum(p(w, h) for w in uni) + p("\0unknown", h), 1, rel_tol=1e-9)
+    for n in (0, 1, 2):  # exactly normalised over the vocabulary and the unknown word
+        for h in [h for h in ctx if len(h) == n][:5]:
+            assert math.isclose(sum(p(w, h) for w in uni) + p("\0unknown", h), 1, rel_tol=1e-9)
+
+
+def test_katz_discounts():
+    """Rescaled Good-Turing: r = 1 and 2 by hand for counts of counts 100, 40, 20, 12, 8, 5."""
+    d, share = lm.ratios([100, 40, 20, 12, 8, 5]), 6 * 5 / 100
+    assert math.isclose(d[1], (2 * 40 / 100 - share) / (1 - share)) and math.isclose(d[2], (3 * 20 / (2 * 40) - share) / (1 - share))
+    assert ((d[1:] > 0) & (d[1:] < 1)).all()
+    assert lm.ratios([0] * 6)[1:-1].tolist() == [r / (r + 1) for r in range(1, lm.K + 1)]
 
 
 def test_lm_blocks_and_odd(spark, odd, none, docs):
