@@ -87,6 +87,15 @@ def grow(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
 
 
+def shrink_shares(x: np.ndarray) -> bytes:
+    """Numbers from 0 to 1, in steps of 2**-40."""
+    return shrink(np.rint(x * 2.0**40).astype("<i8"))
+
+
+def grow_shares(data: bytes) -> np.ndarray:
+    return grow(data, "<i8") / 2.0**40
+
+
 def shrink_sorted(keys: np.ndarray) -> bytes:
     return shrink(np.diff(keys, prepend=np.uint64(0)))
 
@@ -334,7 +343,7 @@ def score_block(model: Model, ranges: Ranges):
             mass_below = np.bincount(at, p[g.suffix[own]], len(named))  # what is after a seen n-gram's first token is seen too
             flag = np.isin(named, asked).astype(np.uint8)
             order, keys = ranges.sort(hashes[named])
-            rows += [(1, block, None, None, None, kind, r, shrink_sorted(keys[s]), *(shrink(x[order[s]]) for x in (mass_seen, mass_below, flag))) for r, s in ranges.slices(keys)]
+            rows += [(1, block, None, None, None, kind, r, shrink_sorted(keys[s]), shrink_shares(mass_seen[order[s]]), shrink_shares(mass_below[order[s]]), shrink(flag[order[s]])) for r, s in ranges.slices(keys)]
             # weights come back in the order of their keys, order by order
             rank = np.empty(len(asked), np.int64)
             rank[np.searchsorted(asked, named[order][flag[order] == 1])] = asked_before + np.arange(len(asked))
@@ -355,12 +364,11 @@ def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one kind and range: log10 alpha of the histories that each block asked for."""
     parts = [grow_sorted(x) for x in pdf["keys"]]
     keys = np.concatenate(parts)
-    stack = lambda c, kind: np.concatenate([grow(x, kind) for x in pdf[c]])
     nodes, at = np.unique(keys, return_inverse=True)
-    seen, mass = np.bincount(at, stack("seen", "<f8"), len(nodes)), np.bincount(at, stack("mass", "<f8"), len(nodes))
+    seen, mass = (np.bincount(at, np.concatenate([grow_shares(x) for x in pdf[c]]), len(nodes)) for c in ("seen", "mass"))
     log_a = np.log10(np.maximum(1 - seen, 1e-300)) - np.log10(np.maximum(1 - mass, 1e-300))
     cuts = np.cumsum([len(p) for p in parts])[:-1]
-    asked = np.split(stack("asked", "u1").astype(bool), cuts)
+    asked = [grow(x, "u1").astype(bool) for x in pdf["asked"]]
     return pd.DataFrame({"block": pdf["block"], "kind": pdf["kind"], "range": pdf["range"], "log_a": [shrink(x[f]) for x, f in zip(np.split(log_a[at], cuts), asked)]})
 
 
