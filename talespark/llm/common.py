@@ -58,8 +58,8 @@ def discard(table: DataFrame) -> None:
 
 
 def skewed_join(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
-    """Inner join of written tables: ``table`` has one row for each key, and in
-    ``weight`` how many of ``rows`` have it.
+    """Inner join; ``table``, a written one, has one row for each key, and in ``weight``
+    how many of ``rows`` have it. ``rows`` is computed twice.
 
     The keys that hold over a HEAVY-th of the rows, fewer than HEAVY, are broadcast, so
     their rows stay where they are; the others are shuffled, and none of them fills a task.

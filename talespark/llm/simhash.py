@@ -11,18 +11,14 @@ all 64 bits are compared exactly. Tree size follows the number of fingerprints,
 that leaves stay near ``leaf_rows``; a leaf that grows beyond it is cut into tiles.
 A tile returns a spanning forest of its links rather than all pairs.
 
-``near_duplicates`` links by the fingerprint alone. ``near_copies`` is for copies with
-a few words changed, which move the fingerprint of shingles too far to be searched
-for: it searches by a fingerprint of single words, which moves little, and decides by
-a signature of 256 bits of the five-word shingles, both compared in the same tiles.
-Copies with a passage added, cut or replaced move that fingerprint too, so a second
-search takes all texts that agree in a band of MinHash values of their shingles, and
-decides by exact Jaccard similarity (``exact_links``).
+``near_duplicates`` links by the fingerprint alone. ``near_copies`` links by the exact
+similarity of five-word shingles. Its candidates are what the trees find for the
+fingerprint, and, since a few changed words move that too far to be searched for, all
+texts that agree in a band of MinHash values of their shingles.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,44 +27,42 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, read
+from .common import HEAVY, discard, materialize, pick, read, skewed_join
 
 SEED, WORDS, RADIUS = 42, 3, 3
-#: Fingerprints that the trees are grown from (vantage points and radii only).
-SAMPLE = 20_000
+#: Trees are grown (vantage points and radii only) from LEAF_SAMPLE fingerprints for each
+#: leaf, LEAST_SAMPLE at least and SAMPLE at most.
+LEAF_SAMPLE, LEAST_SAMPLE, SAMPLE = 8, 20_000, 1 << 18
 LEAF_ROWS = 1500
-#: Near copies: bits in which word fingerprints may differ, and words of a shingle.
-COPY_RADIUS, COPY_WORDS = 7, 5
-#: Near copies: bits of 256 in which signatures may differ. The share of differing bits
-#: is the angle between shingle sets over pi: at a similarity of 0.8 it is 0.15, so 39
-#: bits with a standard deviation of 6; 0.9 gives 27 bits, 0.6 gives 59.
-COPY_BITS = 48
+#: Near copies: words of a shingle, and the similarity of shingle sets from which on they are.
+COPY_WORDS, COPY_SHARE = 5, 0.8
 SIGNATURE = ["s0", "s1", "s2", "s3"]
-#: Near copies by exact similarity: BANDS bands of BAND_ROWS MinHash values each. Of pairs
-#: at 0.8, 0.59 ** 24, so 3 in a million, agree in no band.
-COPY_SHARE, BANDS, BAND_ROWS = 0.8, 24, 4
-#: Pairs in a band that differ in more bits are left out unread: 5 standard deviations
-#: above what 0.8 gives (48 at most for texts of a few shingles).
+#: BANDS bands of BAND_ROWS MinHash values each. Of pairs at 0.8, 0.59 ** 24, so 3 in a
+#: million, agree in no band.
+BANDS, BAND_ROWS = 24, 4
+#: Candidates whose 256 SimHash bits differ in more are left out unread. The share of
+#: differing bits is the angle between shingle sets over pi: at a similarity of 0.8 it is
+#: 0.15, so 39 bits with a standard deviation of 6, and 48 at most in texts of a few
+#: shingles: 80 is 5 standard deviations above.
 LOOSE_BITS = 80
-#: Rows of a band that are compared at once, and hashes of a block of texts.
-BLOCK_ROWS, BLOCK_HASHES = 1024, 1 << 21
+#: Rows of a band that are compared at once, hashes of a block of texts, and the rows and
+#: hashes that one call compares on average.
+BLOCK_ROWS, BLOCK_HASHES, CALL_ROWS, CALL_HASHES = 1024, 1 << 21, 10_000, 50_000
 #: Bit values (least first) of each byte.
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def majority(h: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-    """The bits set in over half of the rows of ``h`` (n x k unsigned 64-bit words), by
-    weight if given, as k such words."""
+def majority(h: np.ndarray) -> np.ndarray:
+    """The bits set in over half of the rows of ``h`` (n x k unsigned 64-bit words), as k
+    such words."""
     k = h.shape[1] * 8
-    counts = np.zeros(k * 256)
+    counts = np.zeros(k * 256, np.int64)
     for lo in range(0, len(h), 1 << 16):  # bounds the memory of very long texts
         part = np.ascontiguousarray(h[lo : lo + (1 << 16)])
         cell = part.view(np.uint8).reshape(len(part), k) + 256 * np.arange(k)
-        w = None if weights is None else np.repeat(weights[lo : lo + (1 << 16)], k)
-        counts += np.bincount(cell.ravel(), w, k * 256)
-    ones = counts.reshape(k, 256) @ BITS_OF_BYTE.astype(float)
-    total = len(h) if weights is None else weights.sum()
-    return np.packbits(2 * ones.ravel() > total, bitorder="little").view("<u8")
+        counts += np.bincount(cell.ravel(), minlength=k * 256)
+    ones = counts.reshape(k, 256) @ BITS_OF_BYTE
+    return np.packbits(2 * ones.ravel() > len(h), bitorder="little").view("<u8")
 
 
 def remix(h: np.ndarray) -> np.ndarray:
@@ -97,62 +91,63 @@ def band_values(h: np.ndarray) -> np.ndarray:
     return value
 
 
-def copy_signature(text: str | None) -> np.ndarray:
-    return copy_parts(text)[0]
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def copy_parts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, hashes of the distinct shingles). The signature: five unsigned 64-bit words: the fingerprint of the words, each weighted by the
-    root of its count, and 256 bits of the distinct five-word shingles (fewer words:
-    the whole sequence). All zero without words. A-Z are lower-cased."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(5, np.uint64), np.zeros(0, np.uint64)
+def shingle_hashes(words: list[bytes], n_words: int) -> np.ndarray:
+    """XXH64 of every run of ``n_words`` words (fewer words: of the whole sequence; none:
+    nothing), in order, repeats included."""
     digest, seed = xxhash.xxh64_intdigest, SEED
-    counts = Counter(words)
-    single = np.array([digest(w, seed) for w in counts], np.uint64)[:, None]
-    weights = np.floor(8 * np.sqrt(np.fromiter(counts.values(), float, len(counts))))
-    runs = {b" ".join(words[i : i + COPY_WORDS]) for i in range(max(1, len(words) - COPY_WORDS + 1))}
-    h = [np.fromiter((digest(r, seed) for r in runs), np.uint64, len(runs))]
-    for _ in SIGNATURE[1:]:
-        h.append(remix(h[-1]))
-    return np.concatenate([majority(single, weights), majority(np.stack(h, 1))]), h[0]
-
-
-def with_copy_signatures(docs: DataFrame, hashes: bool = False) -> DataFrame:
-    """(doc_id, fp, s0 to s3, then bands or hashes) of (doc_id, text): the words of
-    ``copy_signature`` as longs; ``bands`` holds the band values (none without words),
-    ``hashes`` the sorted hashes of the distinct shingles, 8 bytes each."""
-    last = "hashes" if hashes else "bands"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = [copy_parts(t) for t in pdf["text"]]
-            got = np.array([p[0] for p in parts], np.uint64).reshape(-1, 5).view(np.int64)
-            more = [np.sort(h).tobytes() if hashes else band_values(h).view(np.int64) if len(h) else [] for _, h in parts]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], **{c: got[:, i] for i, c in enumerate(["fp", *SIGNATURE])}, last: pd.Series(more, dtype=object)})
-
-    return docs.mapInPandas(run, f"doc_id long, fp long, s0 long, s1 long, s2 long, s3 long, {last} {'binary' if hashes else 'array<long>'}")
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+    if len(words) <= n_words:
+        return np.array([digest(joined, seed)], np.uint64)
+    start = np.cumsum(size + 1) - size - 1
+    end = (start + size)[n_words - 1 :]
+    return np.array([digest(joined[a:b], seed) for a, b in zip(start.tolist(), end.tolist())], np.uint64)
 
 
 def fingerprint(text: str | None, n_words: int = WORDS) -> int:
     """Majority bits of the XXH64 of every shingle; 0 without words."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
-    if len(words) <= n_words:
-        h = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    else:
-        joined, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
-        start = np.cumsum(size + 1) - size - 1
-        end = (start + size)[n_words - 1 :]
-        digest, seed = xxhash.xxh64_intdigest, SEED
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(start.tolist(), end.tolist())], np.uint64)
+    h = shingle_hashes(words_of(text), n_words)
     planes = h.view(np.uint8).reshape(-1, 8).T
     ones = np.concatenate([np.bincount(plane, minlength=256) @ BITS_OF_BYTE for plane in planes])
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def copy_set(text: str | None) -> tuple[int, np.ndarray]:
+    """(nid, hashes of the distinct five-word shingles, sorted). Texts have one nid if and
+    only if (but for 64-bit collisions) they have the same shingles."""
+    h = np.unique(shingle_hashes(words_of(text), COPY_WORDS))
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED), h
+
+
+def copy_signature(h: np.ndarray) -> np.ndarray:
+    """256 SimHash bits of distinct shingle hashes; zero if there are none."""
+    wide = [h]
+    for _ in SIGNATURE[1:]:
+        wide.append(remix(wide[-1]))
+    return majority(np.stack(wide, 1))
+
+
+def with_copy_signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, nid, n, s0 to s3, bands) of (doc_id, text): fingerprint, identity and
+    size of the shingle set, its signature and band values (none without words)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [copy_set(t) for t in pdf["text"]]
+            signed = np.array([copy_signature(h) for _, h in sets], np.uint64).reshape(-1, len(SIGNATURE)).view(np.int64)
+            got = {"fp": [fingerprint(t) for t in pdf["text"]], "nid": [nid for nid, _ in sets]}
+            got = {k: np.array(v, np.uint64).view(np.int64) for k, v in got.items()} | {c: signed[:, i] for i, c in enumerate(SIGNATURE)}
+            bands = [band_values(h).view(np.int64) if len(h) else [] for _, h in sets]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], **got, "n": [len(h) for _, h in sets], "bands": pd.Series(bands, dtype=object)})
+
+    return docs.mapInPandas(run, "doc_id long, fp long, nid long, n long, s0 long, s1 long, s2 long, s3 long, bands array<long>")
+
+
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long: the unsigned fingerprint's bits)."""
     source = pick(docs, id_col, text_col).toDF("doc_id", "text")
@@ -230,76 +225,57 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def ends(node: DataFrame, name: str) -> DataFrame:
-    """The columns of ``node`` with ``name`` before each."""
-    return node.toDF(*(f"{name}_{c}" for c in node.columns))
-
-
-def near_links(fps: DataFrame, radius: int = RADIUS, bits: int | None = None, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """Links whose components are those of all pairs within ``radius`` bits, for the
-    distinct rows of ``fps``. Its first column, ``fp``, is searched; if it has more
-    columns, they are a signature and a pair must also be within ``bits`` bits there.
-    Columns: those of ``fps`` for either end, named ``a_...`` and ``b_...``."""
-    keys = fps.columns
+def near_links(fps: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs within ``radius`` bits, for
+    the distinct values of the one column ``fp``."""
     n = fps.count()
     if n < 2:
-        return fps.select(*(F.col(k).alias(f"{e}_{k}") for e in "ab" for k in keys)).limit(0)
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64)
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    want = max(1, n // leaf_rows)
+    size = min(SAMPLE, max(LEAST_SAMPLE, LEAF_SAMPLE * want))
+    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(size).collect()], np.int64)
     rng, parts = np.random.default_rng(1), max(1, (radius + 1) // 2)
     small = radius // parts
-    trees = [grow(np.unique(part_of(sample, p, parts)), max(1, n // leaf_rows), rng) for p in range(parts)]
+    trees = [grow(np.unique(part_of(sample, p, parts)), want, rng) for p in range(parts)]
     first = np.concatenate([[0], np.cumsum([count_leaves(t) for t in trees])])
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = pdf["fp"].to_numpy()
             for lo in range(0, len(fp), 5000):
+                part = np.ascontiguousarray(fp[lo : lo + 5000])
                 for p, tree in enumerate(trees):
-                    part = np.ascontiguousarray(fp[lo : lo + 5000])
                     row, leaf, home = visit(tree, part_of(part, p, parts), small)
-                    got = {k: pdf[k].to_numpy()[lo : lo + 5000][row] for k in keys}
-                    yield pd.DataFrame({"leaf": leaf + np.int32(first[p]), **got, "home": home})
+                    yield pd.DataFrame({"leaf": leaf + np.int32(first[p]), "fp": part[row], "home": home})
 
-    columns = ", ".join(f"{k} long" for k in keys)
-    dealt = materialize(fps.mapInPandas(deal, f"leaf int, {columns}, home boolean"), "leaves")
+    dealt = materialize(fps.mapInPandas(deal, "leaf int, fp long, home boolean"), "leaves")
     # leaves: bounded by the trees, which the sample bounds
     sizes = dealt.groupBy("leaf").agg(F.count("*").alias("rows"), F.count_if("home").alias("homes"))
     tile = 4 * leaf_rows
     sizes = sizes.select("leaf", F.ceil(F.col("homes") / tile).cast("int").alias("kh"), F.ceil(F.col("rows") / (4 * tile)).cast("int").alias("kq")).filter("kh > 0")
-    tagged = dealt.join(F.broadcast(sizes), "leaf").withColumn("x", F.xxhash64(*keys, F.lit(1)))
+    tagged = dealt.join(F.broadcast(sizes), "leaf").withColumn("x", F.xxhash64("fp", F.lit(1)))
     h, q = F.pmod("x", "kh"), F.pmod("x", "kq")
-    homes = tagged.filter("home").select("leaf", h.alias("h"), F.explode(F.sequence(F.lit(0), F.col("kq") - 1)).alias("q"), *keys, "home")
-    asks = tagged.select("leaf", F.explode(F.sequence(F.lit(0), F.col("kh") - 1)).alias("h"), q.alias("q"), *keys, F.lit(False).alias("home"))
+    homes = tagged.filter("home").select("leaf", h.alias("h"), F.explode(F.sequence(F.lit(0), F.col("kq") - 1)).alias("q"), "fp", "home")
+    asks = tagged.select("leaf", F.explode(F.sequence(F.lit(0), F.col("kh") - 1)).alias("h"), q.alias("q"), "fp", F.lit(False).alias("home"))
     tiles = homes.union(asks)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         home = pdf["home"].to_numpy()
-        rows = pdf[keys].to_numpy(np.int64)
-        if len(keys) > 1:
-            nodes, where = np.unique(rows, axis=0, return_inverse=True)
-        else:  # the same, several times faster
-            nodes, where = np.unique(rows[:, 0], return_inverse=True)
-            nodes = nodes[:, None]
+        nodes, where = np.unique(pdf["fp"].to_numpy(np.int64), return_inverse=True)
         data, ask = np.unique(where[home]), np.unique(where[~home])
-        value, got_a, got_b = nodes[:, 0].copy().view(np.uint64), [], []
-        signature = np.ascontiguousarray(nodes[:, 1:]).view(np.uint64)
+        value, got_a, got_b = nodes.view(np.uint64), [], []
         for lo in range(0, len(ask), 256):
             at = ask[lo : lo + 256]
             i, j = np.nonzero(np.bitwise_count(value[at][:, None] ^ value[data][None, :]) <= radius)
             i, j = at[i], data[j]
-            link = i != j
-            if len(keys) > 1:
-                link &= np.bitwise_count(signature[i] ^ signature[j]).sum(1, dtype=np.int64) <= bits
-            got_a.append(i[link])
-            got_b.append(j[link])
+            got_a.append(i[i != j])
+            got_b.append(j[i != j])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (got_a, got_b))
         label = forest(a, b, len(nodes))
         child = np.flatnonzero(label != np.arange(len(nodes)))
-        both = np.concatenate([nodes[child], nodes[label[child]]], 1)
-        return pd.DataFrame(both, columns=[f"{e}_{k}" for e in "ab" for k in keys])
+        return pd.DataFrame({"a": nodes[child], "b": nodes[label[child]]})
 
-    columns = ", ".join(f"{e}_{k} long" for e in "ab" for k in keys)
-    return tiles.groupBy("leaf", "h", "q").applyInPandas(compare, columns).distinct()
+    return tiles.groupBy("leaf", "h", "q").applyInPandas(compare, "a long, b long").distinct()
 
 
 def blocks(df: DataFrame, key: str, k: str) -> DataFrame:
@@ -342,56 +318,96 @@ def tile_links(pdf: pd.DataFrame, exact: bool) -> pd.DataFrame:
     return pd.DataFrame({"a": nodes[child], "b": nodes[label[child]]})
 
 
+def candidate_clusters(nodes: DataFrame) -> DataFrame:
+    """(nid, cluster) of the ``nodes`` (nid, fp, s0 to s3, bands) that have candidates:
+    components of links by fingerprint (the trees) and by a common band, within LOOSE_BITS."""
+    found = materialize(near_links(nodes.select("fp").distinct()), "near-links")
+    # nodes whose fingerprints the trees have joined meet like nodes of one band
+    group = materialize(components(found), "fingerprint-groups")
+    near = group.union(group.select("root", "root").distinct()).toDF("fp", "g")
+    near = nodes.select("nid", "fp").join(near.hint("merge"), "fp", "left").select("nid", F.xxhash64(F.coalesce("g", "fp"), F.lit(5)).alias("band"))
+    banded = nodes.select("nid", F.explode("bands").alias("band")).union(near)
+    shared = banded.groupBy("band").count().filter("count > 1").withColumn("k", F.ceil(F.col("count") / BLOCK_ROWS))
+    rows = materialize(skewed_join(banded, materialize(shared, "shared-bands"), "band", "count").select("band", "k", "nid"), "bands")
+    tiles = blocks(rows, "band", "k").join(nodes.select("nid", *SIGNATURE).hint("merge"), "nid")
+    calls = max(1, rows.count() // CALL_ROWS)
+    links = materialize(tiles.groupBy(F.pmod("tile", F.lit(calls))).applyInPandas(lambda pdf: tile_links(pdf, False), "a long, b long").distinct(), "band-links")
+    found = materialize(components(links), "clusters")
+    return found.union(found.select("root", "root").distinct()).toDF("nid", "cluster")
+
+
 def exact_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b: nid) whose components are those of all pairs of ``nodes`` (rep, nid, s0
-    to s3, bands) that share five-word shingles at COPY_SHARE or more, by exact count over
-    64-bit hashes; only pairs that agree in no band are missed.
-
-    Nodes in a common band and within LOOSE_BITS are linked first. The texts of the
-    clusters so found are read again, and inside each cluster all pairs are decided."""
-    banded = nodes.select("nid", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").count().filter("count > 1")
-    rows = materialize(banded.join(shared, "band").withColumn("k", F.ceil(F.col("count") / BLOCK_ROWS)).select("band", "k", "nid"), "bands")
-    tiles = blocks(rows, "band", "k").join(nodes.select("nid", *SIGNATURE), "nid")
-    shards = max(1, rows.count() // 20_000)
-    near = tiles.groupBy(F.pmod("tile", F.lit(shards))).applyInPandas(lambda pdf: tile_links(pdf, False), "a long, b long")
-    found = materialize(components(materialize(near.distinct(), "band-links")), "clusters")
-    members = found.select("node", "root").union(found.select("root", "root").distinct()).toDF("nid", "cluster")
-    members = materialize(members.join(nodes.select("nid", "rep", *SIGNATURE), "nid"), "members")
-
-    wanted = members.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
+    """Links (a, b: nid) whose components are those of all pairs of ``nodes`` (nid, rep, fp,
+    n, s0 to s3, bands) that share five-word shingles at COPY_SHARE or more, by exact count
+    over 64-bit hashes; only pairs that are no candidates are missed.
+
+    The texts of the candidates' clusters are read again (``rep`` is the id of a document
+    that has the shingles), and inside each cluster all pairs are decided."""
+    members = materialize(candidate_clusters(nodes).join(nodes.select("nid", "rep", "n", *SIGNATURE).hint("merge"), "nid"), "members")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("count"), F.ceil(F.sum("n") / BLOCK_HASHES).alias("k"))
+    calls = max(1, (members.agg(F.sum("n")).first()[0] or 0) // CALL_HASHES)
+    members = materialize(skewed_join(members, materialize(sizes, "cluster-sizes"), "cluster", "count"), "members")
+
+    def read_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, done = None, set()
+        for pdf in batches:
+            keep, hashes = [], []
+            for k, (rep, nid, text) in enumerate(zip(pdf["rep"], pdf["nid"], pdf["text"])):
+                last, done = (last, done) if rep == last else (rep, set())
+                got, h = copy_set(text)
+                if np.uint64(got).astype(np.int64) == nid and nid not in done:  # else another text of that id, or a repeated row
+                    done.add(nid)
+                    keep.append(k)
+                    hashes.append(h.tobytes())
+            yield pdf.iloc[keep].drop(columns=["rep", "text"]).assign(hashes=pd.Series(hashes, dtype=object).to_numpy())
+
+    known = members.filter("rep IS NOT NULL").join(docs.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
+    columns = ["nid", "cluster", "k", *SIGNATURE]
+    sets = known.select(*columns, "rep", "text").mapInPandas(read_again, ", ".join(f"{c} long" for c in columns) + ", hashes binary")
     if members.filter("rep IS NULL").limit(1).count():
-        texts = texts.union(docs.filter("doc_id IS NULL"))
-    keys = ["fp", *SIGNATURE]
-    sets = with_copy_signatures(texts, hashes=True).select(F.xxhash64(*keys).alias("nid"), "hashes")
-    sets = materialize(members.join(sets, "nid").dropDuplicates(["nid"]), "shingles")
-    sizes = sets.groupBy("cluster").agg(F.sum(F.length("hashes") / 8).alias("n"))
-    sizes = materialize(sizes.select("cluster", F.ceil(F.col("n") / BLOCK_HASHES).alias("k"), "n"), "cluster-sizes")
-    shards = max(1, int((sizes.agg(F.sum("n")).first()[0] or 0) // BLOCK_HASHES) * 4)
-    tiles = blocks(sets.join(sizes, "cluster"), "cluster", "k").select("tile", "nid", *SIGNATURE, "hashes")
-    return tiles.groupBy(F.pmod("tile", F.lit(shards))).applyInPandas(lambda pdf: tile_links(pdf, True), "a long, b long")
+
+        def read_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                got = [copy_set(t) for t in pdf["text"]]
+                yield pd.DataFrame({"nid": np.array([x for x, _ in got], np.uint64).view(np.int64), "hashes": [h.tobytes() for _, h in got]})
+
+        nameless = docs.filter("doc_id IS NULL").select("text").distinct().mapInPandas(read_all, "nid long, hashes binary").dropDuplicates(["nid"])
+        sets = sets.union(members.filter("rep IS NULL").join(nameless.hint("merge"), "nid").select(*columns, "hashes"))
+    tiles = blocks(sets, "cluster", "k").select("tile", "nid", *SIGNATURE, "hashes")
+    links = tiles.groupBy(F.pmod("tile", F.lit(calls))).applyInPandas(lambda pdf: tile_links(pdf, True), "a long, b long")
+    return materialize(links.distinct(), "exact-links")
+
+
+def with_least(edges: DataFrame, key: str, least: DataFrame) -> DataFrame:
+    """``edges`` (a, b) and ``m`` of ``least`` (node, m) for the node in ``key``, null if it
+    has none. Nodes with over a HEAVY-th of the edges, so fewer than HEAVY, are broadcast:
+    their edges stay where they are. The other edges are shuffled."""
+    n = edges.count()
+    hot = edges.groupBy(F.col(key).alias("node")).count().filter(F.col("count") * HEAVY > n).select("node")
+    hot = hot.join(least, "node", "left").select(F.col("node").alias("_hot"), F.col("m").alias("_m"))
+    marked = edges.join(F.broadcast(hot), edges[key] == F.col("_hot"), "left")
+    cold = marked.filter("_hot IS NULL").select("a", "b").join(least.hint("merge"), F.col(key) == F.col("node"), "left").select("a", "b", "m")
+    return cold.union(marked.filter("_hot IS NOT NULL").select("a", "b", F.col("_m").alias("m")))
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches; links (a, b) of
     comparable ids. Alternates joining every larger neighbour, and every smaller one,
-    to the smallest neighbour until no link changes; each round is a written table."""
+    to the smallest neighbour until all links lead to a root; each round is a written table."""
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     edges = materialize(edges, "links")
     for _ in range(max_rounds):
-        # large star: larger neighbours of u point to the least neighbour (or u)
-        both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        # small star: u and its smaller neighbours point to the least of them
-        large = materialize(large.filter("a <> b").distinct(), "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        least = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        # large star: larger neighbours of b point to its least neighbour (or to b, if it has no smaller one)
+        large = with_least(edges, "b", least).select("a", F.coalesce("m", "b").alias("b"))
+        large = materialize(large.distinct(), "large-star")
+        # small star: a and its smaller neighbours point to the least of them
+        least = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        small = with_least(large, "a", least).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         new = materialize(small.filter("a <> b").distinct(), "small-star")
-        changed = new.exceptAll(edges).limit(1).count() + (new.count() != edges.count())
         edges = new
-        if not changed:
+        once = edges.count() == edges.select("a").distinct().count()
+        if once and not edges.select(F.col("b").alias("a")).distinct().join(edges.select("a"), "a", "left_semi").limit(1).count():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
@@ -406,45 +422,41 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     Repeated rows are kept; other columns are ignored; an empty table gives no rows.
     """
     marked = materialize(with_fingerprints(docs, id_col, text_col), "fingerprints")
-    out = with_components(marked, radius)
+    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    links = materialize(near_links(nodes.select("fp"), radius), "near-links")
+    out = with_components(marked, nodes, links, "fp")
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, component_id, the smallest doc_id reachable over
-    pairs of near copies: those that share five-word shingles at COPY_SHARE or more
-    (``exact_links``), and those estimated to do so, with word fingerprints within
-    COPY_RADIUS bits and signatures within COPY_BITS.
+    pairs that share distinct five-word shingles (fewer words: the whole sequence) at a
+    Jaccard similarity of COPY_SHARE or more, A-Z lower-cased (``exact_links``).
 
-    Texts of equal words are always linked, texts without words with each other. Null
-    ids, repeated rows, other columns and empty tables as in ``near_duplicates``.
+    Texts of equal shingles are always linked, texts without words with each other.
+    Null ids, repeated rows, other columns and empty tables as in ``near_duplicates``.
     """
     source = pick(docs, id_col, text_col).toDF("doc_id", "text")
     marked = materialize(with_copy_signatures(source), "signatures")
-    return with_components(marked, COPY_RADIUS, COPY_BITS, source).select(F.col("doc_id").alias(id_col), "component_id")
-
-
-def with_components(marked: DataFrame, radius: int, bits: int | None = None, docs: DataFrame | None = None) -> DataFrame:
-    """``marked`` (doc_id, fp, signature columns and bands if any) and component_id. Where
-    ``docs`` (doc_id, text) are given, links by exact similarity are added."""
-    keys = [c for c in marked.columns[1:] if c != "bands"]
-    more = [F.first("bands").alias("bands")] if docs is not None else []
-    nodes = materialize(marked.groupBy(*keys).agg(F.min("doc_id").alias("rep"), *more), "nodes")
-    links = materialize(near_links(nodes.select(*keys), radius, bits), "near-links")
-    # links between fingerprints, as links between their smallest documents
-    node = F.struct(F.coalesce("rep", F.lit(2**63 - 1)).alias("rep"), *keys).alias("node")
+    nodes = marked.groupBy("nid").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ["n", *SIGNATURE, "bands"]))
+    nodes = materialize(nodes, "nodes")
+    out = with_components(marked, nodes, exact_links(source, nodes), "nid")
+    return out.select(F.col("doc_id").alias(id_col), "component_id")
+
+
+def with_components(marked: DataFrame, nodes: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """``marked`` and component_id, for ``nodes`` (key, rep: smallest doc_id) and links
+    (a, b) between keys."""
+    # links between nodes, as links between (smallest document, key)
+    node = F.struct(F.coalesce("rep", F.lit(2**63 - 1)).alias("rep"), F.col(key).alias("key"))
     for e in "ab":
-        links = links.join(ends(nodes.select(*keys, node), e), [f"{e}_{k}" for k in keys])
-    named = links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    if docs is not None:
-        nid = F.xxhash64(*keys).alias("nid")
-        exact = materialize(exact_links(docs, nodes.select(*keys, "rep", "bands", nid)), "exact-links")
-        for e in "ab":
-            exact = exact.join(nodes.select(nid.alias(e), node.alias(f"{e}_node")), e)
-        named = named.union(exact.select("a_node", "b_node"))
-    roots = components(named).select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("root.rep").alias("root"))
-    roots = materialize(nodes.join(roots, keys, "left").select(*keys, F.coalesce("root", "rep").alias("component_id")), "components")
-    return marked.join(roots, keys)
+        links = links.join(nodes.select(F.col(key).alias(e), node.alias(f"{e}_node")).hint("merge"), e)
+    roots = components(links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))).select(F.col("node.key").alias(key), F.col("root.rep").alias("root"))
+    roots = nodes.join(roots.hint("merge"), key, "left").select(key, F.coalesce("root", "rep").alias("component_id"), "rep")
+    # a component without any id has none
+    named = F.when(F.col("component_id") == 2**63 - 1, F.col("rep")).otherwise(F.col("component_id"))
+    weighed = marked.groupBy(key).count().join(roots.hint("merge"), key).select(key, named.alias("component_id"), "count")
+    return skewed_join(marked, materialize(weighed, "components"), key, "count")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
