@@ -12,7 +12,7 @@ and are numbered inside such a cell only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pick, read
@@ -34,14 +34,23 @@ def shard_documents(
     equal id and text are kept, in neighbouring slots. Null ids sort first. Input
     columns named ``shard`` or ``slot`` are replaced. An empty table gives no rows.
     """
+    text = plain_column(docs, text_col)
+    size, key = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), F.coalesce(F.md5(text.cast("binary")), F.lit(""))
+    return shard_rows(docs, size, key, n_shards, id_col, salts, hex_digits)
+
+
+def plain_column(df: DataFrame, name: str) -> Column:
+    """The first column of exactly this name, in ``df`` with its columns called c0, c1, ..."""
+    return F.col(f"c{df.columns.index(name)}")
+
+
+def shard_rows(docs: DataFrame, size: Column, key: Column, n_shards: int = N_SHARDS, id_col: str = "doc_id", salts: int = 64, hex_digits: int = 3) -> DataFrame:
+    """:func:`shard_documents` of rows that need not hold their texts: ``size`` is a row's
+    weight and ``key`` the hexadecimal digest of its text (empty: no text), both over
+    :func:`plain_column`. Only ``key``, ids and the columns given are shuffled."""
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    cid, ctext = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
-    rows = plain.select(
-        "*",
-        (F.coalesce(F.octet_length(ctext), F.lit(0)) + 1).cast("long").alias("_size"),
-        F.coalesce(F.md5(F.col(ctext).cast("binary")), F.lit("")).alias("_key"),
-        F.pmod(F.coalesce(F.col(cid), F.lit(0)), F.lit(salts)).cast("int").alias("_salt"),
-    )
+    cid = f"c{docs.columns.index(id_col)}"
+    rows = plain.select("*", size.alias("_size"), key.alias("_key"), F.pmod(F.coalesce(F.col(cid), F.lit(0)), F.lit(salts)).cast("int").alias("_salt"))
     cells = rows.groupBy("_key", "_salt").agg(F.count("*").alias("_n"), F.sum("_size").alias("_bytes"))
     in_group = Window.partitionBy("_key").orderBy("_salt")
     cells = cells.select(
@@ -82,16 +91,12 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard_documents(pick(read(spark, sf_dir, "documents"), "doc_id", "text"))
-    return out.select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("bytes").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
+    text = F.coalesce(F.col("text"), F.lit(""))
+    narrow = pick(read(spark, sf_dir, "documents"), "doc_id", "text").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("digest")
     )
+    out = shard_rows(narrow, plain_column(narrow, "size"), plain_column(narrow, "digest"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 #: CRC-32 is folded over the bytes with a table that is itself built by rule.
