@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, read
+from .common import materialize, pick, read, skewed_join
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -85,19 +85,21 @@ def find_contaminated(docs: DataFrame, items: DataFrame, threshold: float = CONT
     sketch = materialize(sketches(listed, threshold), "sketches")
     # distinct item shapes: at most SHINGLE of them
     shapes = {r["length"]: r["n"] for r in sketch.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    words = source.select("doc_id", plain_words("text").alias("words"))
-    found = None
-    for length, n in sorted(shapes.items()):
-        probe = sketch.filter(F.col("length") == length).select("item_id", "h")
-        probe = F.broadcast(probe) if n <= BROADCAST_ROWS else probe
-        hits = words.select("doc_id", F.explode(F.expr(shingle_hashes("words", length))).alias("h")).join(probe, "h").select("doc_id", "item_id")
-        found = hits if found is None else found.union(hits)
-    if found is None:
+    if not shapes:
         return source.join(listed.select("item_id"), F.lit(False)).select("doc_id", "item_id", F.lit(0).alias("n_shingles"), F.lit(0).alias("n_shared"), F.lit(0.0).alias("containment"))
-    pairs = materialize(found.distinct(), "candidates")
+    words = source.select("doc_id", plain_words("text").alias("words"))
+    # one scan for all lengths; a hash that meets an item of another length is told by the exact count
+    hashes = F.concat(*(F.expr(shingle_hashes("words", length)) for length in sorted(shapes)))
+    probe = sketch.select("item_id", "h")
+    probe = F.broadcast(probe) if sum(shapes.values()) <= BROADCAST_ROWS else probe
+    pairs = materialize(words.select("doc_id", F.explode(hashes).alias("h")).join(probe, "h").select("doc_id", "item_id").distinct(), "candidates")
+    # a popular item has many candidates, so its shingles go to them by way of a broadcast
+    popular = materialize(listed.join(pairs.groupBy("item_id").count(), "item_id"), "candidate-items")
+    named = skewed_join(pairs, popular, "item_id", "count")
     # texts of candidate documents only; the item side is exact shingles in words
-    texts = source.join(pairs.select("doc_id").distinct(), "doc_id").select("doc_id", "text").withColumn("words", plain_words("text"))
-    both = pairs.join(texts.select("doc_id", "words"), "doc_id").join(listed, "item_id")
+    wanted = materialize(pairs.select("doc_id").distinct(), "candidate-documents")
+    texts = source.join(wanted, "doc_id").withColumn("words", plain_words("text"))
+    both = named.join(texts.select("doc_id", "words"), "doc_id")
     grams = F.when(F.col("length") == SHINGLE, shingles("words", SHINGLE)).otherwise(shingles("words", "length"))
     counted = both.select("doc_id", "item_id", F.size("shingles").alias("n_shingles"), F.size(F.array_intersect("shingles", grams)).alias("n_shared"))
     best = counted.groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_shared").alias("n_shared"))
@@ -106,7 +108,8 @@ def find_contaminated(docs: DataFrame, items: DataFrame, threshold: float = CONT
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
     """The documents, all columns, that contain no test item. Null ids stay."""
-    bad = find_contaminated(docs, items, threshold).select(F.col("doc_id").alias("_bad")).distinct()
+    # written, so that its size is known before the texts would be shuffled for it
+    bad = materialize(find_contaminated(docs, items, threshold).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     kept = plain.join(bad, plain[f"c{docs.columns.index('doc_id')}"] == F.col("_bad"), "left_anti")
     return kept.toDF(*docs.columns)
