@@ -45,8 +45,8 @@ BANDS, BAND_ROWS = 24, 4
 #: 0.15, so 39 bits with a standard deviation of 6, and 48 at most in texts of a few
 #: shingles: 80 is 5 standard deviations above.
 LOOSE_BITS = 80
-#: Rows of a band that are compared at once, hashes of a block of texts, and the rows and
-#: hashes that one call compares on average.
+#: Rows of a band or cluster that are compared at once, hashes of a block of texts, and the
+#: rows and hashes that one call compares on average.
 BLOCK_ROWS, BLOCK_HASHES, CALL_ROWS, CALL_HASHES = 1024, 1 << 21, 10_000, 50_000
 #: Bit values (least first) of each byte.
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -344,7 +344,7 @@ def exact_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     The texts of the candidates' clusters are read again (``rep`` is the id of a document
     that has the shingles), and inside each cluster all pairs are decided."""
     members = materialize(candidate_clusters(nodes).join(nodes.select("nid", "rep", "n", *SIGNATURE).hint("merge"), "nid"), "members")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("count"), F.ceil(F.sum("n") / BLOCK_HASHES).alias("k"))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("count"), F.ceil(F.greatest(F.sum("n") / BLOCK_HASHES, F.count("*") / BLOCK_ROWS)).alias("k"))
     calls = max(1, (members.agg(F.sum("n")).first()[0] or 0) // CALL_HASHES)
     members = materialize(skewed_join(members, materialize(sizes, "cluster-sizes"), "cluster", "count"), "members")
 
