@@ -103,6 +103,13 @@ def epoch_of(c: Column) -> Column:
     return F.when(c.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.unix_micros(F.try_to_timestamp(c)) / 1_000_000)
 
 
+def event_epoch(c: Column) -> Column:
+    """Seconds of an ISO 8601 time or date; without a zone it is read in the session's
+    zone (``spark.sql.session.timeZone``). Null for null and for other texts."""
+    naive = c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?)?$")
+    return F.coalesce(epoch_of(c), F.when(naive, F.unix_micros(F.try_to_timestamp(F.replace(c, F.lit(","), F.lit(".")))) / 1_000_000))
+
+
 def time_key(c: Column) -> Column:
     """Order of times: those with a zone by instant, then the others by text."""
     e = epoch_of(c)

@@ -10,20 +10,26 @@ from talespark.functions.text import ancestors, normalize_path
 
 def within_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """(path columns, project) of each path equal to or below a root: ancestors are
-    listed, so the test is an equi-join."""
-    up = paths.withColumn("_root", F.explode(ancestors(normalize_path(F.col("path")))))
+    listed, so the test is an equi-join. Null paths and roots, and those that are empty
+    or only slashes, contain and are in nothing."""
+    up = paths.withColumn("_root", F.explode(ancestors(normalize_path(F.col("path"))))).filter("_root <> ''")
     return up.join(roots.select(normalize_path(F.col("root")).alias("_root"), "project"), "_root").drop("_root")
 
 
-def membership(threads: DataFrame, projectless: DataFrame, owners: DataFrame) -> DataFrame:
-    """(thread, kind, project): projectless, explicit, inferred (one owner), ambiguous
-    or unmatched, in this precedence. ``threads`` has (thread, assigned)."""
+def membership(threads: DataFrame, projectless: DataFrame, owners: DataFrame, state: bool = True) -> DataFrame:
+    """(thread, kind, project, candidates): projectless, explicit, inferred (one owner),
+    ambiguous or unmatched, in this precedence; all state-unavailable without the app's
+    ``state``. ``threads`` has (thread, assigned); ``owners`` (thread, project) may repeat.
+    ``candidates`` are the sorted owners of an ambiguous thread, else empty."""
     found = owners.groupBy("thread").agg(F.sort_array(F.collect_set("project")).alias("found"))
     t = threads.join(projectless.select("thread", F.lit(True).alias("none")).distinct(), "thread", "left").join(found, "thread", "left")
     n = F.coalesce(F.size("found"), F.lit(0))
     kind = F.when(F.col("none"), "projectless").when(F.col("assigned").isNotNull(), "explicit").when(n == 1, "inferred").when(n > 1, "ambiguous").otherwise("unmatched")
     project = F.when(kind == "explicit", F.col("assigned")).when(kind == "inferred", F.element_at("found", 1))
-    return t.select("thread", kind.alias("kind"), project.alias("project"))
+    if not state:
+        kind, project = F.lit("state-unavailable"), F.lit(None).cast(dict(threads.dtypes)["assigned"])
+    candidates = F.when(kind == "ambiguous", F.col("found")).otherwise(F.array().cast(dict(found.dtypes)["found"]))
+    return t.select("thread", kind.alias("kind"), project.alias("project"), candidates.alias("candidates"))
 
 
 def double_assignments(assignments: DataFrame) -> DataFrame:
@@ -32,14 +38,37 @@ def double_assignments(assignments: DataFrame) -> DataFrame:
 
 
 def unknown_projects(assignments: DataFrame, projects: DataFrame) -> DataFrame:
+    """Assignments to projects that are not known; a null project is unknown."""
     return assignments.join(projects, "project", "left_anti")
 
 
+def foreign_threads(notes: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(thread, project, owner) of notes kept by one project whose thread is assigned to
+    another one. Columns: notes thread, project; assignments thread, project."""
+    return notes.join(assignments.select("thread", F.col("project").alias("owner")), "thread").filter("project <> owner").select("thread", "project", "owner").distinct()
+
+
 def round_robin(candidates: DataFrame) -> DataFrame:
     """``turn`` in which each candidate is served: one of each project at a time."""
     return candidates.withColumn("turn", F.row_number().over(Window.partitionBy("project").orderBy("started_at", "thread")))
 
 
 def first_served(candidates: DataFrame, n: int) -> DataFrame:
-    """The budget: the first n of the fair order."""
-    return round_robin(candidates).orderBy("turn", "project").limit(n)
+    """The budget: the first n of the fair order. No project has more than n turns in it,
+    so each task keeps n rows of a project."""
+    return round_robin(candidates).filter(F.col("turn") <= n).orderBy("turn", "project").limit(n)
+
+
+def last_served(candidates: DataFrame, n: int) -> DataFrame:
+    """The budget of a backfill: the last n of the fair order."""
+    return round_robin(candidates).orderBy(F.desc("turn"), F.desc("project")).limit(n)
+
+
+def apply_limit(plan: DataFrame, n: int, order: list[str], work: str = "generate") -> DataFrame:
+    """``plan`` in which all but the first ``n`` rows of status ``work``, in the given order
+    over all sources, are deferred for the limit. ``n`` is the caller's budget, so its keys
+    are few; ``order`` must tell the rows apart."""
+    first = plan.filter(F.col("status") == work).orderBy(*order).limit(n).select(*order, F.lit(True).alias("_first"))
+    x = plan.join(F.broadcast(first), order, "left")
+    rest = (F.col("status") == work) & F.col("_first").isNull()
+    return x.withColumn("reason", F.when(rest, "limit").otherwise(F.col("reason"))).withColumn("status", F.when(rest, "deferred").otherwise(F.col("status"))).drop("_first")

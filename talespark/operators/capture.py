@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 def with_digest(captures: DataFrame) -> DataFrame:
+    """Adds sha256 and byte_count of ``content``; null content has neither."""
     return captures.withColumn("sha256", F.sha2("content", 256)).withColumn("byte_count", F.octet_length("content").cast("long"))
 
 
@@ -16,18 +17,64 @@ def latest_manifest(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def diff_captures(current: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(source_id, source_ref, status): captured, unchanged or bronze-only. Both sides
-    carry digests, never contents."""
-    a = current.select("source_id", "source_ref", F.col("sha256").alias("now"))
-    b = latest_manifest(manifest).select("source_id", "source_ref", F.col("sha256").alias("before"))
-    status = F.when(F.col("now").isNull(), "bronze-only").when(F.col("before").eqNullSafe(F.col("now")), "unchanged").otherwise("captured")
+def diff_captures(current: DataFrame, manifest: DataFrame, failed: DataFrame | None = None, dry_run: bool = False, schema_version: int | None = None) -> DataFrame:
+    """(source_id, source_ref, status): captured (new, changed, or registered under another
+    schema version; planned in a dry run), unchanged, deferred (its read failed) or
+    bronze-only (the original is gone). All sides carry digests, never contents; a
+    reference occurs once in ``current`` and ``failed``, and the manifest's last row counts.
+    The manifest's ``schema_version`` is compared where one is asked for."""
+    a = current.select("source_id", "source_ref", F.col("sha256").alias("now"), F.lit(False).alias("bad"))
+    if failed is not None:
+        stop = failed.select("source_id", "source_ref").distinct()
+        a = a.join(stop, ["source_id", "source_ref"], "left_anti").unionByName(stop.withColumn("now", F.lit(None).cast("string")).withColumn("bad", F.lit(True)))
+    same_schema = F.lit(True) if schema_version is None else F.col("schema_version").eqNullSafe(F.lit(schema_version))
+    b = latest_manifest(manifest).select("source_id", "source_ref", F.col("sha256").alias("before"), same_schema.alias("same_schema"))
+    status = (
+        F.when(F.col("bad"), "deferred").when(F.col("now").isNull(), "bronze-only").when(F.col("before").eqNullSafe(F.col("now")) & F.col("same_schema"), "unchanged")
+        .otherwise("planned" if dry_run else "captured")
+    )
     return a.join(b, ["source_id", "source_ref"], "full_outer").select("source_id", "source_ref", status.alias("status"))
 
 
-def capture_report(diff: DataFrame) -> DataFrame:
+def merge_manifest(manifest: DataFrame, current: DataFrame, diff: DataFrame) -> DataFrame:
+    """The manifest after a capture: captured references with their rows of ``current`` (the
+    manifest's columns), all others with their latest row."""
+    key = ["source_id", "source_ref"]
+    new = diff.filter("status = 'captured'").select(*key)
+    kept = latest_manifest(manifest).join(new, key, "left_anti")
+    return kept.unionByName(current.join(new, key, "left_semi").select(*kept.columns))
+
+
+def capture_report(diff: DataFrame, stored: DataFrame | None = None, current: DataFrame | None = None) -> DataFrame:
+    """Per source: references discovered (bronze-only ones are not), available for the next
+    step, of each status, failed reads, and files created: captured ones whose ``stored``
+    copy (source_id, source_ref, sha256) is missing or differs from ``current``. Without
+    these two tables every captured file counts as created."""
+    key = ["source_id", "source_ref"]
+    made = F.col("status") == "captured"
+    if stored is not None and current is not None:
+        have = stored.join(current, [*key, "sha256"], "left_semi").select(*key, F.lit(True).alias("have"))
+        diff, made = diff.join(have, key, "left"), made & F.col("have").isNull()
     count = lambda s: F.count_if(F.col("status") == s).alias(s.replace("-", "_"))
-    return diff.groupBy("source_id").agg(F.count("*").alias("discovered"), count("captured"), count("unchanged"), count("bronze-only"))
+    return diff.groupBy("source_id").agg(
+        F.count_if(F.col("status") != "bronze-only").alias("discovered"), F.count_if(F.col("status") != "deferred").alias("available"), count("captured"), count("planned"),
+        count("unchanged"), count("bronze-only"), F.count_if(made).alias("created"), F.count_if(F.col("status") == "deferred").alias("failed"),
+    )
+
+
+def group_threads(captures: DataFrame, failed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(threads, failures) of captures (source_id, source_ref, capture_ref, thread_id,
+    error). A thread has its references and captures, sorted, without repeats. A capture
+    with an error, or without a thread id, is a failure of the stage normalize; ``failed``
+    (source_id, source_ref, error) are those of the stage raw."""
+    bad = F.col("error").isNotNull()
+    nameless = ~bad & (F.coalesce("thread_id", F.lit("")) == "")
+    ok = captures.filter(~bad & ~nameless)
+    threads = ok.groupBy("source_id", "thread_id").agg(F.sort_array(F.collect_set("source_ref")).alias("source_refs"), F.sort_array(F.collect_set("capture_ref")).alias("capture_refs"))
+    reason = F.when(nameless, "missing-thread-metadata").alias("reason")
+    failures = captures.filter(bad | nameless).select("source_id", "source_ref", F.lit("normalize").alias("stage"), reason, "error")
+    raw = failed.select("source_id", "source_ref", F.lit("raw").alias("stage"), F.lit(None).cast("string").alias("reason"), "error")
+    return threads, raw.unionByName(failures)
 
 
 def collapse_exact(captures: DataFrame) -> DataFrame:

@@ -21,6 +21,14 @@ BOUNDARY = r"\n|[。！？]\s*|\s+"
 KEYS = {"id": "local_id", "kind": "kind", "actor": "actor", "name": "name", "text": "text", "timestamp": "timestamp", "turnId": "turn_id"}
 
 
+#: Keys that events of a conversation with several branches have too.
+BRANCH_KEYS = {"branchId": "branch_id", "rawRef": "raw_ref"}
+
+
+def has_branches(events: DataFrame) -> bool:
+    return "branch_id" in events.columns
+
+
 def prepare_events(events: DataFrame) -> DataFrame:
     """Secrets go before anything is cut, so no part boundary can show one; no folders."""
     return events.withColumn("text", redact(F.col("text"))).drop("cwd", "thread_cwd")
@@ -32,11 +40,15 @@ def json_chars(c: Column) -> Column:
     return F.length(c) + 2 + F.regexp_count(c, F.lit(r'["\\\n\r\t\x08\x0C]')) + 5 * F.regexp_count(c, F.lit(r"[\x00-\x07\x0B\x0E-\x1F]"))
 
 
-def event_size() -> Column:
-    """Characters of an event's JSON, one space behind colons and commas."""
+def event_size(branches: bool = False) -> Column:
+    """Characters of an event's JSON, one space behind colons and commas. With
+    ``branches``, events that have a branch_id carry it and their raw_ref."""
     size = F.lit(2 + 2 * (len(KEYS) - 1))
     for key, col in KEYS.items():
         size = size + json_chars(F.col(col)) + len(key) + 4
+    if branches:
+        more = sum((json_chars(F.col(col)) + len(key) + 6 for key, col in BRANCH_KEYS.items()), F.lit(0))
+        size = size + F.when(F.coalesce("branch_id", F.lit("")) != "", more).otherwise(0)
     return size
 
 
@@ -58,9 +70,10 @@ def cut(text: str, budget: int) -> list[tuple[int, int]]:
 
 
 def split_events(prepared: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Events with ``part`` of ``parts``, ``start``, ``end`` and ``size``; those beyond the
-    budget in gapless parts. A budget too small for an event's metadata is an error."""
-    sized = prepared.withColumn("size", event_size())
+    """Events with ``part`` of ``parts``, ``start``, ``end``, ``full_chars`` and ``size``; those
+    beyond the budget in gapless parts. A budget too small for an event's metadata is an
+    error. Null texts are empty; branch_id and raw_ref count where there are such columns."""
+    sized = prepared.withColumn("size", event_size(has_branches(prepared))).withColumn("full_chars", F.length(F.coalesce("text", F.lit(""))))
     whole = sized.filter(F.col("size") + 2 <= budget)
     n = F.length("text")
     fits = whole.withColumns({"part": F.lit(1), "parts": F.lit(1), "start": F.lit(0), "end": n})
@@ -105,6 +118,7 @@ def chunk_events(split: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 def input_manifest(chunks: DataFrame) -> DataFrame:
+    """One row per part: where its text lies in the event, and its digest."""
     return chunks.select("thread", "local_id", "chunk", "part", "parts", "start", "end", F.sha2("text", 256).alias("sha256"))
 
 
@@ -123,14 +137,37 @@ def input_metrics(chunks: DataFrame) -> DataFrame:
 
 
 def render_requests(chunks: DataFrame, head: str, tail: str = "") -> DataFrame:
-    """(thread, chunk, request): the template's text around one array of events. A chunk
-    is bounded by the budget."""
-    cols = [F.concat(F.lit(f'"{k}": '), json_string(F.coalesce(F.col(c), F.lit("")))) for k, c in KEYS.items()]
+    """(thread, chunk, request): the template's text around one array of events, parts of
+    split events with their offsets, events of branches with these. A chunk is bounded by
+    the budget."""
+    text = lambda k, c: F.concat(F.lit(f'"{k}": '), json_string(F.coalesce(F.col(c), F.lit(""))))
+    cols = [text(k, c) for k, c in KEYS.items()]
+    if has_branches(chunks):
+        cols += [F.when(F.coalesce("branch_id", F.lit("")) != "", text(k, c)) for k, c in BRANCH_KEYS.items()]
+    place = {"index": "part", "count": "parts", "start": "start", "end": "end", "fullTextCharacters": "full_chars"}
+    part = F.concat_ws(", ", *(F.concat(F.lit(f'"{k}": '), F.col(c).cast("string")) for k, c in place.items()))
+    cols.append(F.when(F.col("parts") > 1, F.concat(F.lit('"textPart": {'), part, F.lit("}"))))
     row = F.struct("ord", "part", F.concat(F.lit("{"), F.concat_ws(", ", *cols), F.lit("}")).alias("json"))
     parts = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["json"])
     return chunks.groupBy("thread", "chunk").agg(F.concat(F.lit(head), F.lit("["), F.array_join(parts, ", "), F.lit("]"), F.lit(tail)).alias("request"))
 
 
+def render_reduction(partials: DataFrame, head: str, tail: str = "") -> DataFrame:
+    """(thread, chunk, request) that asks for one summary of a thread's partial results
+    (thread, chunk, result), an array in the order of the chunks; chunk is 0. Failed
+    parts (null results) are left out."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "result"))), lambda x: x["result"])
+    asked = partials.filter("result IS NOT NULL").groupBy("thread").agg(F.concat(F.lit(head), F.lit("["), F.array_join(parts, ", "), F.lit("]"), F.lit(tail)).alias("request"))
+    return asked.select("thread", F.lit(0).alias("chunk"), "request")
+
+
+def render_repair(results: DataFrame, faults: DataFrame, head: str, tail: str = "") -> DataFrame:
+    """(thread, chunk, request) for results (thread, chunk, result) that have faults (thread,
+    fault): the faults, sorted, as lines behind ``head``, then the result."""
+    said = faults.groupBy("thread").agg(F.array_join(F.sort_array(F.collect_set("fault")), "\n- ").alias("said"))
+    return results.join(said, "thread").select("thread", "chunk", F.concat(F.lit(head), F.lit("\n- "), "said", F.lit("\n"), F.coalesce("result", F.lit("")), F.lit(tail)).alias("request"))
+
+
 def summarize(requests: DataFrame, fn: Callable[[str], str]) -> DataFrame:
     """(thread, chunk, result, error): a model call for each request; a failed call is a
     row with its error and stops no other."""

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talespark.functions.text import epoch_of
+from talespark.functions.text import event_epoch
 
 
 def generator_fingerprint(settings: dict[str, Any]) -> str:
@@ -36,9 +36,10 @@ def note_is_current(candidates: DataFrame, notes: DataFrame, values: dict[str, s
 
 
 def time_filter(threads: DataFrame, watermark: str, now: str, idle_minutes: int = 30, backfill: bool = False) -> DataFrame:
-    """Idle threads that end at or after the watermark; with ``backfill``, before it."""
-    last, mark = epoch_of(F.col("last_event_at")), epoch_of(F.lit(watermark))
-    idle = last <= epoch_of(F.lit(now)) - idle_minutes * 60
+    """Idle threads that end at or after the watermark; with ``backfill``, before it. Times
+    without a zone are local; threads without a readable time are left out."""
+    last, mark = event_epoch(F.col("last_event_at")), event_epoch(F.lit(watermark))
+    idle = last <= event_epoch(F.lit(now)) - idle_minutes * 60
     return threads.filter(idle & ((last < mark) if backfill else (last >= mark)))
 
 
@@ -70,6 +71,7 @@ def scan_candidates(threads: DataFrame, project: Any = None) -> tuple[DataFrame,
 
 
 def duplicate_threads(candidates: DataFrame) -> DataFrame:
+    """(thread, rows) of threads with more than one candidate."""
     return candidates.groupBy("thread").agg(F.count("*").alias("rows")).filter("rows > 1")
 
 
@@ -102,6 +104,11 @@ def update_ledger(ledger: DataFrame, results: DataFrame) -> DataFrame:
 
 def revalidate(candidates: DataFrame, captures: DataFrame) -> DataFrame:
     """(thread, valid): every capture that a thread's note rests on is still there with
-    its digest. Columns: thread, source_ref, sha256."""
-    now = captures.select("source_ref", F.col("sha256").alias("now"))
-    return candidates.join(now, "source_ref", "left").groupBy("thread").agg(F.bool_and(F.coalesce(F.col("now") == F.col("sha256"), F.lit(False))).alias("valid"))
+    its digest and, where both sides have them, its event fingerprint and last event.
+    Columns: thread, source_ref, sha256 and maybe fingerprint, last_event_at."""
+    checks = ["sha256", *(c for c in ("fingerprint", "last_event_at") if c in candidates.columns and c in captures.columns)]
+    now = captures.select("source_ref", *(F.col(c).alias(f"now_{c}") for c in checks))
+    same = F.col("now_sha256").isNotNull()
+    for c in checks:
+        same = same & F.col(f"now_{c}").eqNullSafe(F.col(c))
+    return candidates.join(now, "source_ref", "left").groupBy("thread").agg(F.bool_and(same).alias("valid"))

@@ -44,9 +44,10 @@ def append_history(previous: DataFrame, observed: DataFrame) -> DataFrame:
 
 def select_for_roots(events: DataFrame, roots: DataFrame, explicit: DataFrame) -> DataFrame:
     """Events below the roots, and all events of explicitly assigned threads; an event
-    without a folder takes its thread's. Folders are compared once each."""
+    without a folder takes its thread's. Folders are compared once each; empty roots and
+    those of slashes only hold nothing."""
     at = events.withColumn("_path", normalize_path(F.when(F.coalesce("cwd", F.lit("")) != "", F.col("cwd")).otherwise(F.col("thread_cwd"))))
-    up = at.select("_path").distinct().withColumn("_root", F.explode(ancestors(F.col("_path"))))
+    up = at.select("_path").distinct().withColumn("_root", F.explode(ancestors(F.col("_path")))).filter("_root <> ''")
     inside = up.join(roots.select(normalize_path(F.col("root")).alias("_root")), "_root", "left_semi").select("_path").distinct()
     assigned = explicit.select("thread").distinct()
     mine = at.join(assigned, "thread", "left_semi")

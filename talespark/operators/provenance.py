@@ -14,32 +14,83 @@ def relations(used: DataFrame, generated: DataFrame) -> DataFrame:
     return u.join(g, "activity").withColumn("src", F.explode("src")).select("activity", "src", F.explode("dst").alias("dst"))
 
 
-def run_totals(entries: DataFrame, source: str, status: str) -> DataFrame:
-    """Counts by source and status with totals."""
-    return entries.rollup(source, status).agg(F.count("*").alias("n"))
+def run_totals(entries: DataFrame, source: str | list[str], status: str) -> DataFrame:
+    """Counts by source (one column, or provider and source) and status with totals."""
+    return entries.rollup(*([source] if isinstance(source, str) else source), status).agg(F.count("*").alias("n"))
+
+
+def run_summary(entries: DataFrame, failures: DataFrame, dry_run: bool = False, builds: bool = True) -> DataFrame:
+    """(source_id, threads, generated, ok, complete) of each source with entries (source_id,
+    status, generated) or failures (source_id): ok if nothing failed or is blocked;
+    complete if ok, every entry is current or excluded, and the run was a real one of a
+    mode that ``builds`` notes. A source with failures only is neither."""
+    faults = failures.groupBy("source_id").agg(F.count("*").alias("faults"))
+    counted = entries.groupBy("source_id").agg(
+        F.count("*").alias("threads"), F.count_if("generated").alias("generated"), F.count_if(F.col("status").isin("failed", "blocked")).alias("bad"),
+        F.count_if(~F.col("status").isin("current", "excluded")).alias("open"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    ok = (zero("faults") == 0) & (zero("bad") == 0)
+    x = counted.join(faults, "source_id", "full_outer")
+    return x.select("source_id", zero("threads").alias("threads"), zero("generated").alias("generated"), ok.alias("ok"), (ok & (zero("open") == 0) & F.lit(builds and not dry_run)).alias("complete"))
 
 
-def last_run(reports: DataFrame, source: str, finished: str, run: str, status: str) -> DataFrame:
-    """The last report of each source; of equal times the larger run id."""
+def last_run(reports: DataFrame, source: str, finished: str, run: str, status: str, ok: str = "ok") -> DataFrame:
+    """The last report of each source; of equal times the larger run id. ``all_ok``: the
+    status of all of them is ``ok``."""
     top = F.max(F.struct(F.col(finished), F.col(run), F.col(status))).alias("m")
-    return reports.groupBy(source).agg(top, F.bool_and(F.col(status) == "F").alias("all_ok")).select(source, f"m.{finished}", f"m.{run}", f"m.{status}", "all_ok")
+    return reports.groupBy(source).agg(top, F.bool_and(F.col(status) == ok).alias("all_ok")).select(source, f"m.{finished}", f"m.{run}", f"m.{status}", "all_ok")
 
 
-def publish_index(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """(id, source, version, status): current rows active; earlier rows of the same
-    sources that are not current inactive; other sources' rows as they were."""
-    touched = current.select("source").distinct()
+def publish_index(previous: DataFrame, current: DataFrame, source: str | None = None) -> DataFrame:
+    """(id, source, version, status): the rows of ``current`` as they are; earlier rows that
+    are not current, inactive if they are of ``source`` (any source, if None), else as they
+    were. A source that publishes nothing has all its rows inactive. Ids that
+    ``index_faults`` names are errors of the caller."""
     gone = previous.join(current.select("id"), "id", "left_anti")
-    inactive = gone.join(touched, "source", "left_semi").withColumn("status", F.lit("inactive"))
-    kept = gone.join(touched, "source", "left_anti")
-    return current.withColumn("status", F.lit("active")).unionByName(inactive.select("id", "source", "version", "status")).unionByName(kept.select("id", "source", "version", "status"))
-
-
-def plan_notes(notes: DataFrame) -> DataFrame:
-    """State of each note: current, blocked or to be made. ``force`` does not unlock
-    edited or reviewed notes. Columns: fresh, exists, edited, reviewed (booleans)."""
-    state = F.when(F.col("exists") & F.col("fresh"), "current").when(F.col("exists") & F.col("reviewed"), "reviewed-blocked").when(F.col("exists") & F.col("edited"), "edited-blocked").otherwise("pending")
-    return notes.withColumn("state", state)
+    own = F.lit(True) if source is None else F.col("source").eqNullSafe(F.lit(source))
+    rest = gone.withColumn("status", F.when(own, "inactive").otherwise(F.col("status")))
+    return current.select("id", "source", "version", "status").unionByName(rest.select("id", "source", "version", "status"))
+
+
+def index_faults(previous: DataFrame, current: DataFrame, source: str | None = None) -> DataFrame:
+    """(id, fault) that forbid ``publish_index``: ids that repeat in ``current``, and ids
+    that an earlier row of another source owns."""
+    again = current.groupBy("id").count().filter("count > 1").select("id", F.lit("duplicate-id").alias("fault"))
+    if source is None:
+        return again
+    others = previous.filter(~F.col("source").eqNullSafe(F.lit(source))).select("id").distinct()
+    return again.unionByName(current.select("id").distinct().join(others, "id", "left_semi").select("id", F.lit("foreign-owner").alias("fault")))
+
+
+def index_complete(runs: DataFrame, source: str, complete: bool) -> DataFrame:
+    """(sources, complete) of the index after a run of ``source``: its flag replaces the
+    earlier one, and all sources' flags (source, complete) must hold."""
+    now = runs.filter(~F.col("source").eqNullSafe(F.lit(source))).select("source", "complete")
+    one = runs.sparkSession.range(1).select(F.lit(source).alias("source"), F.lit(complete).alias("complete"))
+    return now.unionByName(one).agg(F.count("*").alias("sources"), F.bool_and("complete").alias("complete"))
+
+
+def plan_notes(notes: DataFrame, force: bool = False, generate: bool = True, allow_edited: bool = False, dry_run: bool = False) -> DataFrame:
+    """Adds ``status`` and ``reason`` of each note, by the first rule that holds:
+    deferred ones stay so; one that exists and is fresh is current, unless it is selected
+    and ``force`` is set; unselected ones, and all without ``generate``, are pending; a
+    reviewed one is blocked; an edited one too, unless ``allow_edited`` or an interrupted
+    run left it (``recoverable``); the rest is generate (planned in a dry run).
+
+    Boolean columns: fresh, exists, edited, reviewed, and if there are any: deferred,
+    recoverable (absent: false), selected (absent: true). Nulls count as false.
+    """
+    flag = lambda c, absent=False: F.coalesce(F.col(c), F.lit(False)) if c in notes.columns else F.lit(absent)
+    exists, selected = flag("exists"), flag("selected", True)
+    current = exists & flag("fresh") & ~(F.lit(force) & selected)
+    waits = ~selected | F.lit(not generate)
+    reviewed = exists & flag("reviewed")
+    edited = exists & flag("edited") & ~flag("recoverable") & F.lit(not allow_edited)
+    status = F.when(flag("deferred"), "deferred").when(current, "current").when(waits, "pending").when(reviewed | edited, "blocked").otherwise("planned" if dry_run else "generate")
+    build = "session-note-needs-build"
+    reason = F.when(flag("deferred") | current, None).when(waits, build).when(reviewed, "reviewed-session-note").when(edited, "edited-session-note").otherwise(build)
+    return notes.withColumn("status", status).withColumn("reason", reason)
 
 
 def make_entities(rows: DataFrame) -> DataFrame:
@@ -57,6 +108,26 @@ def used_entities(captures: DataFrame, events: DataFrame, metadata: DataFrame, l
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).distinct()
 
 
+def validate_index(artifacts: DataFrame, activities: DataFrame, files: DataFrame, version: int) -> DataFrame:
+    """(id, fault) of index rows and activities: another schema version, current artifacts
+    whose file (ref, sha256) is gone or changed, ids that are no UUID. Columns: artifacts
+    id, schema_version, status, ref, sha256; activities id, schema_version, run_id."""
+    f = files.select("ref", F.col("sha256").alias("now"))
+    wrong = ~F.col("schema_version").eqNullSafe(F.lit(version))
+    changed = (F.col("status") == "current") & ~F.col("now").eqNullSafe(F.col("sha256"))
+    a = artifacts.join(f, "ref", "left").select("id", F.when(wrong, "schema-version").when(changed, "artifact-changed").alias("fault"))
+    uuid = lambda c: F.coalesce(F.col(c).rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), F.lit(False))
+    b = activities.select("id", F.when(wrong, "schema-version").when(~(uuid("id") & uuid("run_id")), "identity").alias("fault"))
+    return a.unionByName(b).filter("fault IS NOT NULL")
+
+
+def index_counts(artifacts: DataFrame, activities: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row: artifacts, activities, and distinct snapshots (snapshot_ref, sha256)."""
+    one = artifacts.agg(F.count("*").alias("artifacts")), activities.agg(F.count("*").alias("activities")), entities.select("snapshot_ref", "sha256").distinct().agg(F.count("*").alias("snapshots"))
+    keyed = [x.withColumn("_k", F.lit(1)) for x in one]
+    return keyed[0].join(keyed[1], "_k").join(keyed[2], "_k").drop("_k")
+
+
 def validate_entities(entities: DataFrame, snapshots: DataFrame) -> DataFrame:
     """(id, fault) of entities whose digest, version or snapshot is wrong, and of ids that
     repeat. Snapshots (snapshot_ref, sha256, byte_count) are joined by name, once each."""

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talespark.functions.text import clean_user_text, normalize_text, strip
+from talespark.functions.text import clean_user_text, event_epoch, normalize_text, strip
 
 # Record and payload types.
 RECORD_TYPES = ["session_meta", "turn_context", "response_item", "event_msg", "compacted", "world_state", "token_usage_record", "message", "reasoning", "function_call", "function_call_output"]
@@ -172,6 +172,13 @@ def diagnostics(parsed: DataFrame, key: str) -> DataFrame:
     )
 
 
+def thread_diagnostics(files: DataFrame) -> DataFrame:
+    """(thread, invalid_lines, unknown_types, metadata_ids) of a thread: what ``diagnostics``
+    found in any of its files, sorted, without repeats. Null arrays count as empty."""
+    union = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return files.groupBy("thread").agg(*(union(c) for c in ("invalid_lines", "unknown_types", "metadata_ids")))
+
+
 def thread_flags(messages: DataFrame, metadata: DataFrame, key: str, review_prefix: str, internal_sources: list[str]) -> DataFrame:
     """(key, approval_review, internal_source, has_user_message) of each key of
     ``metadata``. Messages (key, role, text) are those of all versions of a thread: it is
@@ -189,14 +196,13 @@ def thread_flags(messages: DataFrame, metadata: DataFrame, key: str, review_pref
 
 def classify_threads(threads: DataFrame, now: str, idle_minutes: int = 30) -> DataFrame:
     """(status, reason) by fixed precedence. Columns: thread_id, invalid_lines,
-    metadata_ids, internal, user_messages, started_at, last_event_at."""
-    from talespark.functions.text import epoch_of
-
-    last = epoch_of(F.col("last_event_at"))
+    metadata_ids, internal, user_messages, started_at, last_event_at. A time without a
+    zone is local (``event_epoch``); null or unreadable times fail."""
+    last = event_epoch(F.col("last_event_at"))
     bad = (F.size("invalid_lines") > 0) | ~F.col("metadata_ids").eqNullSafe(F.array("thread_id"))
     reason = (
         F.when(bad, "invalid-jsonl").when(F.col("internal"), "approval-or-internal").when(F.col("user_messages") == 0, "without-user-message")
-        .when(last.isNull() | epoch_of(F.col("started_at")).isNull(), "without-event-time").when(last > epoch_of(F.lit(now)) - idle_minutes * 60, "active-conversation")
+        .when(last.isNull() | event_epoch(F.col("started_at")).isNull(), "without-event-time").when(last > event_epoch(F.lit(now)) - idle_minutes * 60, "active-conversation")
     )
     status = F.when(reason.isNull(), "pending").when(reason.isin("invalid-jsonl", "without-event-time"), "failed").when(reason == "active-conversation", "deferred").otherwise("excluded")
     return threads.withColumn("status", status).withColumn("reason", reason)

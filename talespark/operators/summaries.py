@@ -10,9 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talespark.functions.text import epoch_of, local_time, strip
+from talespark.functions.text import epoch_of, local_time, slugify, strip
 
-# Tentative wordings, the label they contradict, and supported versions of artefacts.
+# Where text is cut into lines, what a literal path is, quoted or not, tentative wordings, the label they contradict, and supported versions of artefacts.
+LINE_END = "\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+QUOTED = r"`([^`\n]+)`"
+LITERAL_PATH = r"^(?:[A-Za-z]:[\\/]|\.{1,2}[\\/]|\._)"
 TENTATIVE = ["方向を示した", "イメージを示した", "気がしている"]
 DECISION = "Explicit Decision"
 NOTE_VERSIONS = ["3", "4", "5", "6"]
@@ -84,9 +87,12 @@ def validate_summary(summaries: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def _ends(items: DataFrame, events: DataFrame) -> DataFrame:
+    """Items with the events that they start and end at; events without a branch_id
+    column have no branch."""
+    branch = F.coalesce("branch_id", F.lit("")) if "branch_id" in events.columns else F.lit("")
     w = Window.partitionBy("thread").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    e = events.withColumn("users", F.sum(F.when(F.col("actor") == "user", 1).otherwise(0)).over(w))
-    end = lambda p: e.select("thread", F.col("local_id").alias(f"{p}_id"), F.struct("ord", "kind", "actor", "turn_id", "timestamp", "users").alias(p))
+    e = events.withColumn("users", F.sum(F.when(F.col("actor") == "user", 1).otherwise(0)).over(w)).withColumn("branch_id", branch)
+    end = lambda p: e.select("thread", F.col("local_id").alias(f"{p}_id"), F.struct("ord", "kind", "actor", "turn_id", "branch_id", "timestamp", "users").alias(p))
     return items.join(end("start"), ["thread", "start_id"], "left").join(end("end"), ["thread", "end_id"], "left")
 
 
@@ -97,7 +103,7 @@ def validate_timeline(items: DataFrame, events: DataFrame) -> DataFrame:
     x = _ends(items, events)
     s, e = F.col("start"), F.col("end")
     day = lambda c: local_time(c["timestamp"], "day")
-    unlike = (s["actor"] != e["actor"]) | (s["kind"] != e["kind"]) | (s["turn_id"] != e["turn_id"]) | s["kind"].isin("user_message", "assistant_message")
+    unlike = (s["actor"] != e["actor"]) | (s["kind"] != e["kind"]) | (s["turn_id"] != e["turn_id"]) | (s["branch_id"] != e["branch_id"]) | s["kind"].isin("user_message", "assistant_message")
     times = epoch_of(s["timestamp"]).isNull() | epoch_of(e["timestamp"]).isNull() | (day(s) != day(e)) | (epoch_of(s["timestamp"]) > epoch_of(e["timestamp"]))
     uncited = ~(F.array_contains("event_ids", F.col("start_id")) & F.array_contains("event_ids", F.col("end_id")))
     fault = (
@@ -106,7 +112,7 @@ def validate_timeline(items: DataFrame, events: DataFrame) -> DataFrame:
     )
     bad = x.withColumn("fault", fault).filter("fault IS NOT NULL").select("thread", "pos", "fault")
     slash = lambda c: F.lower(F.replace(F.replace(c, F.lit("\\\\"), F.lit("\\")), F.lit("\\"), F.lit("/")))
-    quoted = items.select("thread", "pos", "event_ids", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"`([^`\n]+)`"), 1))).alias("lit")).filter(F.col("lit").rlike(r"^([A-Za-z]:[\\/]|\.{1,2}[\\/]|\._)"))
+    quoted = items.select("thread", "pos", "event_ids", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(QUOTED), 1))).alias("lit")).filter(F.col("lit").rlike(LITERAL_PATH))
     cited = quoted.withColumn("local_id", F.explode("event_ids")).join(events.select("thread", "local_id", F.col("text").alias("source")), ["thread", "local_id"], "left")
     shown = cited.groupBy("thread", "pos", "lit").agg(F.coalesce(F.bool_or(F.contains(slash(F.col("source")), F.lower(F.replace("lit", F.lit("\\"), F.lit("/"))))), F.lit(False)).alias("ok"))
     paths = shown.filter("NOT ok").select("thread", "pos", F.lit("path-not-in-source").alias("fault")).distinct()
@@ -116,20 +122,24 @@ def validate_timeline(items: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def render_timeline(items: DataFrame, events: DataFrame, notice: str) -> DataFrame:
-    """(thread, timeline): items in source order below a heading for each new day, with
-    times at +09:00 or Unknown, actor, label, text, range and sources without repeats."""
+    """(thread, timeline): items in source order below a heading for each new day, and one
+    for each new branch if there are branches, with times at +09:00 or Unknown, actor,
+    label, text, range and sources without repeats."""
     x = _ends(items, events)
     day = F.coalesce(local_time(F.col("start.timestamp"), "day"), F.lit("Unknown date"))
-    x = x.withColumn("day", day).withColumn("before", F.lag("day").over(Window.partitionBy("thread").orderBy("start.ord", "pos")))
+    w = Window.partitionBy("thread").orderBy("start.ord", "pos")
+    x = x.withColumn("day", day).withColumn("before", F.lag("day").over(w)).withColumn("branch", F.nullif("start.branch_id", F.lit("")))
+    x = x.withColumn("new", F.col("branch").isNotNull() & ~F.last("branch", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).eqNullSafe(F.col("branch")))
     clock = F.coalesce(local_time(F.col("start.timestamp"), "clock"), F.lit("Unknown"))
     until = F.when(F.col("start_id") != F.col("end_id"), F.concat(F.lit(" - "), local_time(F.col("end.timestamp"), "clock")))
     actor = F.col("start.actor")
     for k, v in ACTORS.items():
         actor = F.when(F.col("start.actor") == k, v).otherwise(actor)
-    text = F.regexp_replace(F.regexp_replace(strip(F.col("text")), "\r\n|\r", "\n"), "\n(?=[^\n])", "\n    ")
-    heading = F.when(F.col("before").eqNullSafe(F.col("day")), "").otherwise(F.concat(F.lit("### "), F.col("day"), F.lit("\n\n")))
+    text = F.regexp_replace(F.regexp_replace(strip(F.col("text")), LINE_END, "\n"), "\n(?=[^\n])", "\n    ")
+    history = F.when(F.col("new"), F.concat(F.lit("### History "), F.col("branch"), F.lit("\n\n"))).otherwise("")
+    heading = F.when(F.col("before").eqNullSafe(F.col("day")) & ~F.col("new"), "").otherwise(F.concat(F.when(F.col("branch").isNotNull(), "#### ").otherwise("### "), F.col("day"), F.lit("\n\n")))
     block = F.concat(
-        heading, F.lit("- **"), clock, F.coalesce(until, F.lit("")), F.lit("**\n  - Actor: "), actor, F.lit("\n  - Type: "), F.col("label"), F.lit("\n  - Text: "), text,
+        history, heading, F.lit("- **"), clock, F.coalesce(until, F.lit("")), F.lit("**\n  - Actor: "), actor, F.lit("\n  - Type: "), F.col("label"), F.lit("\n  - Text: "), text,
         F.lit("\n  - EventRange: "), F.col("start_id"), F.lit(" -> "), F.col("end_id"), F.lit("\n  - Sources: "), F.array_join(F.array_distinct("event_ids"), ", "),
     )
     blocks = F.array_sort(F.collect_list(F.struct(F.col("start.ord").alias("ord"), "pos", block.alias("b"))))
@@ -154,6 +164,21 @@ def render_notes(notes: DataFrame, template: str) -> DataFrame:
     return notes.withColumn("note", F.concat(*out))
 
 
+def note_names(notes: DataFrame, existing: DataFrame) -> DataFrame:
+    """Adds ``name``, the file of a new note: the thread's start at +09:00, then the title if
+    it is a slug, else its slug. Where ``existing`` (name) has that file, or a note of a
+    smaller thread gets it, up to 8 letters and digits of the thread's id follow.
+    Columns: thread, started_at, title. Notes without a readable start have no name."""
+    at, title = F.col("started_at"), F.coalesce("title", F.lit(""))
+    slug = F.when(title.rlike(r"\A[a-z0-9]+(-[a-z0-9]+)*\z"), title).otherwise(slugify(title))
+    stamp = F.concat(F.replace(local_time(at, "day"), F.lit("-")), F.lit("T"), F.replace(local_time(at, "clock"), F.lit(":")), F.lit("+0900"))
+    x = notes.withColumn("_base", F.concat(stamp, F.lit("-"), slug)).join(existing.select(F.regexp_replace("name", r"[.]md$", "").alias("_base"), F.lit(True).alias("_taken")).distinct(), "_base", "left")
+    later = F.row_number().over(Window.partitionBy("_base").orderBy("thread")) > 1
+    short = F.substring(F.regexp_replace(F.col("thread").cast("string"), "[^A-Za-z0-9]", ""), 1, 8)
+    suffix = F.when(F.coalesce("_taken", F.lit(False)) | later, F.concat(F.lit("-"), F.coalesce(F.nullif(short, F.lit("")), F.lit("thread")))).otherwise("")
+    return x.withColumn("name", F.concat("_base", suffix, F.lit(".md"))).drop("_base", "_taken")
+
+
 def validate_notes(notes: DataFrame, headings: list[str]) -> DataFrame:
     """Adds ``fault`` to notes (meta map, body): version, ids, state or a heading."""
     m = lambda k: F.coalesce(F.col("meta")[k], F.lit(""))

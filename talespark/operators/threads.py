@@ -35,6 +35,12 @@ def thread_summary(events: DataFrame, title_chars: int = 100) -> DataFrame:
     return out.withColumn("title", F.coalesce("title", F.lit("Untitled"))).withColumn("status", F.when(F.col("user_messages") > 0, "pending").otherwise("without-user-message"))
 
 
+def messages_by_role(events: DataFrame) -> DataFrame:
+    """(thread, role, messages, characters): a thread's messages of each role; a null
+    role is empty, a null text has no characters."""
+    return events.groupBy("thread", F.coalesce("role", F.lit("")).alias("role")).agg(F.count("*").alias("messages"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("characters"))
+
+
 def fill_context(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """The last value given so far, in order."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -126,7 +126,7 @@ def timeline_faults(spark, d):
 
 
 def timelines(spark, d):
-    good = _items(spark, d).withColumn("end_id", F.col("start_id")).withColumn("text", F.lit("a\nb"))
+    good = _items(spark, d).withColumn("end_id", F.col("start_id")).withColumn("text", F.coalesce(F.nullif(T.strip(F.substring("text", 1, 400)), F.lit("")), F.lit("none")))
     t = summaries.render_timeline(good, _events(spark, d), "Times at +09:00.")
     return t.select("thread", F.md5(F.col("timeline").cast("binary")).alias("timeline_md5"))
 
@@ -286,6 +286,10 @@ _KINDS = """t AS (SELECT c_custkey AS thread, CASE WHEN c_custkey % 3 = 0 THEN c
 o AS (SELECT o_custkey AS thread, count(DISTINCT o_orderkey % 25) AS n FROM orders WHERE o_orderkey % 25 < 3 GROUP BY 1),
 k AS (SELECT thread, CASE WHEN thread % 10 = 0 THEN 'projectless' WHEN assigned IS NOT NULL THEN 'explicit' WHEN n = 1 THEN 'inferred' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS kind FROM t LEFT JOIN o USING (thread))"""
 
+_STRIPPED = f"regexp_replace(regexp_replace(CASE WHEN n % 6 = 0 THEN 'see `./missing/x` ' ELSE '' END || substr(text, 1, 40), '^{_SPACE}', ''), '{_SPACE}$', '')"
+_ENDS = r"\r\n|[\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+_LINES = f"regexp_replace(regexp_replace(coalesce(nullif({_STRIPPED}, ''), 'none'), '{_ENDS}', chr(10), 'g'), '\\n([^\\n])', chr(10) || '    \\1', 'g')"
+
 ORACLE_SQL = {
     "log_events": f"""WITH {_NUM}, m AS (SELECT conv_id, n, 4 * n AS line, role || '_message' AS kind, role AS actor, '' AS name, {_STRIP} AS t FROM e WHERE role IN ('user', 'assistant') AND {_STRIP} <> ''
  UNION ALL SELECT conv_id, n, 4 * n + 2, CASE role WHEN 'assistant' THEN 'tool_call' ELSE 'tool_result' END, CASE role WHEN 'assistant' THEN 'assistant' ELSE 'tool' END, CASE role WHEN 'assistant' THEN 'look' ELSE 'task_complete' END,
@@ -306,9 +310,9 @@ SELECT thread, doc_id, (row_number() OVER (PARTITION BY thread ORDER BY u, tm, s
     "timeline_faults": f"""WITH {_EV}, i AS (SELECT thread, n, CASE WHEN n % 5 = 0 THEN n + 1 ELSE n END AS z FROM v WHERE conv_id % 4 <> 3 OR n <> 2),
 f AS (SELECT i.thread, i.n::INTEGER AS pos, CASE WHEN b.n IS NULL THEN 'unknown-endpoint' WHEN i.n <> i.z THEN 'range' WHEN i.n % 6 = 0 THEN 'path-not-in-source' END AS fault FROM i LEFT JOIN v b ON b.thread = i.thread AND b.n = i.z)
 SELECT * FROM f WHERE fault IS NOT NULL UNION ALL SELECT DISTINCT thread, NULL::INTEGER, 'user-message-missing' FROM v WHERE conv_id % 4 = 3 AND n = 2 AND kind = 'user_message'""",
-    "timelines": f"""WITH {_EV}, i AS (SELECT *, strptime(tm, '%Y-%m-%dT%H:%M:%SZ') + INTERVAL 9 HOUR AS j FROM v WHERE conv_id % 4 <> 3 OR n <> 2), p AS (SELECT *, lag(j::DATE) OVER (PARTITION BY thread ORDER BY n) AS before FROM i),
+    "timelines": f"""WITH {_EV}, i AS (SELECT *, {_LINES} AS x, strptime(tm, '%Y-%m-%dT%H:%M:%SZ') + INTERVAL 9 HOUR AS j FROM v WHERE conv_id % 4 <> 3 OR n <> 2), p AS (SELECT *, lag(j::DATE) OVER (PARTITION BY thread ORDER BY n) AS before FROM i),
 b AS (SELECT thread, n, CASE WHEN before IS NOT DISTINCT FROM j::DATE THEN '' ELSE '### ' || j::DATE || chr(10) || chr(10) END || replace('- **' || strftime(j, '%H:%M:%S') || '**|  - Actor: ' || CASE actor WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'AI' ELSE 'Tool' END
- || '|  - Type: Note|  - Text: a|    b|  - EventRange: ' || id || ' -> ' || id || '|  - Sources: ' || id || CASE WHEN n % 5 = 0 THEN ', L' || lpad((n + 1)::VARCHAR, 6, '0') ELSE '' END, '|', chr(10)) AS block FROM p)
+ || '|  - Type: Note|  - Text: ', '|', chr(10)) || x || replace('|  - EventRange: ' || id || ' -> ' || id || '|  - Sources: ' || id || CASE WHEN n % 5 = 0 THEN ', L' || lpad((n + 1)::VARCHAR, 6, '0') ELSE '' END, '|', chr(10)) AS block FROM p)
 SELECT thread, md5('Times at +09:00.' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY n)) AS timeline_md5 FROM b GROUP BY thread""",
     "summary_faults": """SELECT DISTINCT conv_id::VARCHAR AS thread, CASE WHEN conv_id % 6 = 0 THEN 'done-but-open' WHEN conv_id % 7 = 0 THEN 'state-without-source' WHEN conv_id % 8 = 0 THEN 'item-without-source' WHEN conv_id % 9 = 0 THEN 'unknown-event' END AS fault FROM conversations""",
     "note_front_matter": r"""SELECT doc_id, doc_id::VARCHAR AS id, coalesce(lang, '') AS last_source, '' AS tags, 3::INTEGER AS keys, md5(regexp_replace(coalesce(text, ''), '\r\n|\r', chr(10), 'g')) AS body_md5 FROM documents""",

@@ -8,6 +8,8 @@ for activities and entities.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,9 @@ def capture_status(spark, d):
 
 
 def capture_report(spark, d):
-    return capture.capture_report(capture_status(spark, d))
+    c = capture.with_digest(_captures(spark, d))
+    diff = capture.diff_captures(c, _manifest(spark, d), c.filter("doc_id % 5 = 1"))
+    return capture.capture_report(diff, c.filter("doc_id % 4 = 0").select("source_id", "source_ref", "sha256"), c)
 
 
 def exact_copies(spark, d):
@@ -52,14 +56,15 @@ def exact_copies(spark, d):
 
 
 def prefix_versions(spark, d):
-    c = _captures(spark, d).select(F.concat("thread", F.lit("-"), "source_id").alias("thread"), "content").distinct()
+    c = _captures(spark, d).select(F.concat("thread", F.lit("-"), F.floor(F.col("doc_id") / 10).cast("string")).alias("thread"), "content").distinct()
     halves = c.withColumn("content", F.substring(F.col("content").cast("string"), F.lit(1), F.length(F.col("content").cast("string")) / 2).cast("binary"))
     versions = capture.with_digest(c.unionByName(halves).distinct())
     return capture.collapse_prefixes(versions).select("thread", "sha256", "byte_count")
 
 
 def source_sets(spark, d):
-    c = capture.with_digest(_captures(spark, d)).groupBy("source_id").agg(F.collect_set("sha256").alias("digests"))
+    """A set for each thread: copies and versions of one conversation, here ten documents."""
+    c = capture.with_digest(_captures(spark, d)).withColumn("source_id", F.concat_ws("-", "source_id", F.floor(F.col("doc_id") / 10).cast("string"))).groupBy("source_id").agg(F.collect_set("sha256").alias("digests"))
     return c.select("source_id", F.size("digests").alias("n"), capture.set_digest(F.col("digests")).alias("source_set_sha256"))
 
 
@@ -83,7 +88,7 @@ def page_paths(spark, d):
 
 def page_projects(spark, d):
     p = _t(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^https?://", "/"), "[?#].*$", "").alias("path"))
-    roots = p.select(F.regexp_extract("path", "^(/[^/]+)", 1).alias("root")).union(p.select(F.regexp_extract("path", "^(/[^/]+/[a-z]+)", 1))).distinct().filter("root <> ''")
+    roots = p.select(F.regexp_extract("path", "^(/[^/]+)", 1).alias("root")).union(p.select(F.regexp_extract("path", "^(/[^/]+/[a-z]+)", 1))).union(p.select(F.repeat(F.lit("/"), F.col("page_id").cast("int") % 3))).distinct()
     return attribution.within_roots(p, roots.withColumn("project", F.col("root"))).groupBy("page_id").agg(F.count("*").alias("projects"), F.max("project").alias("deepest"))
 
 
@@ -91,7 +96,7 @@ def memberships(spark, d):
     c = _t(spark, d, "customer")
     t = c.select(F.col("c_custkey").alias("thread"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey")).alias("assigned"))
     o = _t(spark, d, "orders").select(F.col("o_custkey").alias("thread"), F.pmod(F.col("o_orderkey"), F.lit(25)).cast("int").alias("project")).filter("project < 3")
-    return attribution.membership(t, t.filter("thread % 10 = 0"), o)
+    return attribution.membership(t, t.filter("thread % 10 = 0"), o).select("thread", "kind", "project", F.array_join("candidates", ",").alias("candidates"))
 
 
 def assignment_faults(spark, d):
@@ -132,20 +137,24 @@ def run_totals(spark, d):
 
 
 def last_runs(spark, d):
-    r = provenance.last_run(_t(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
+    r = provenance.last_run(_t(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus", "F")
     return r.select("o_custkey", F.date_format("o_orderdate", _TIME).alias("finished_at"), "o_orderkey", "o_orderstatus", "all_ok")
 
 
 def published_index(spark, d):
     p = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.md5(F.col("text").cast("binary")).alias("version"))
-    before = p.filter("id % 2 = 0").withColumn("status", F.lit("active"))
-    return provenance.publish_index(before, p.filter("id % 4 <> 0 AND source <> 'src1'"))
+    before = p.filter("id % 2 = 0").withColumn("status", F.when(F.col("id") % 10 == 0, "inactive").otherwise("current"))
+    first = provenance.publish_index(before, p.filter("id % 4 <> 0 AND source = 'src2'").withColumn("status", F.lit("current")), "src2")
+    return provenance.publish_index(first, p.filter("false").withColumn("status", F.lit("current")), "src1")
 
 
 def planned_notes(spark, d):
     x = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left")
     notes = x.select("doc_id", (F.col("doc_id") % 3 == 0).alias("fresh"), F.col("quality").isNotNull().alias("exists"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("reviewed"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("edited"))
-    return provenance.plan_notes(notes).select("doc_id", "state")
+    flags = notes.withColumns({"deferred": F.col("doc_id") % 17 == 3, "selected": F.col("doc_id") % 11 != 5, "recoverable": F.col("doc_id") % 13 == 2})
+    runs = {"plain": {}, "force": {"force": True}, "edited": {"allow_edited": True}, "scan": {"generate": False}, "dry": {"dry_run": True}}
+    plans = [provenance.plan_notes(flags, **options).select("doc_id", F.lit(run).alias("run"), "status", "reason") for run, options in runs.items()]
+    return reduce(DataFrame.unionByName, plans)
 
 
 QUERIES = {
@@ -174,11 +183,14 @@ ORACLE_SQL = {
 SELECT thread, count(*) AS events, count(*) FILTER (role = 'user') AS user_messages, count(*) FILTER ({_HITS} > 0) AS with_secrets, sum(length({_REDACT}))::BIGINT AS redacted_chars,
  coalesce(arg_min(substr({_NORMAL}, 1, 100), turn) FILTER (role = 'user'), 'Untitled') AS title, CASE WHEN count(*) FILTER (role = 'user') > 0 THEN 'pending' ELSE 'without-user-message' END AS status FROM f GROUP BY thread""",
     "capture_status": f"WITH {_STATUS} SELECT * FROM s",
-    "capture_report": f"WITH {_STATUS} SELECT source_id, count(*) AS discovered, count(*) FILTER (status = 'captured') AS captured, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'bronze-only') AS bronze_only FROM s GROUP BY 1",
+    "capture_report": f"""WITH {_STATUS}, r AS (SELECT s.*, s.source_ref IN (SELECT source_ref FROM c WHERE doc_id % 5 = 1) AS bad, s.source_ref IN (SELECT source_ref FROM c WHERE doc_id % 4 = 0) AS have FROM s),
+t AS (SELECT source_id, have, CASE WHEN bad THEN 'deferred' ELSE status END AS status FROM r)
+SELECT source_id, count(*) FILTER (status <> 'bronze-only') AS discovered, count(*) FILTER (status <> 'deferred') AS available, count(*) FILTER (status = 'captured') AS captured, 0::BIGINT AS planned, count(*) FILTER (status = 'unchanged') AS unchanged,
+ count(*) FILTER (status = 'bronze-only') AS bronze_only, count(*) FILTER (status = 'captured' AND NOT have) AS created, count(*) FILTER (status = 'deferred') AS failed FROM t GROUP BY 1""",
     "exact_copies": f"WITH {_CAPTURES} SELECT thread, sha256, min(source_ref) AS source_ref FROM c GROUP BY 1, 2",
-    "prefix_versions": """WITH v AS (SELECT DISTINCT lang || '-' || source AS thread, text AS t FROM documents UNION SELECT DISTINCT lang || '-' || source, substr(text, 1, length(text) // 2) FROM documents),
+    "prefix_versions": """WITH v AS (SELECT DISTINCT lang || '-' || doc_id // 10 AS thread, text AS t FROM documents UNION SELECT DISTINCT lang || '-' || doc_id // 10, substr(text, 1, length(text) // 2) FROM documents),
 n AS (SELECT *, lead(t) OVER (PARTITION BY thread ORDER BY t) AS nx FROM v) SELECT thread, sha256(t) AS sha256, strlen(t)::BIGINT AS byte_count FROM n WHERE nx IS NULL OR NOT starts_with(nx, t)""",
-    "source_sets": """WITH g AS (SELECT source AS source_id, list_sort(list(DISTINCT sha256(text))) AS l FROM documents GROUP BY 1) SELECT source_id, len(l)::INTEGER AS n, sha256('["' || array_to_string(l, '","') || '"]') AS source_set_sha256 FROM g""",
+    "source_sets": """WITH g AS (SELECT concat_ws('-', source, doc_id // 10) AS source_id, list_sort(list(DISTINCT sha256(text))) AS l FROM documents GROUP BY 1) SELECT source_id, len(l)::INTEGER AS n, sha256('["' || array_to_string(l, '","') || '"]') AS source_set_sha256 FROM g""",
     "redacted_texts": f"SELECT doc_id, ({_HITS})::INTEGER AS hits, md5({_REDACT}) AS redacted_md5 FROM documents",
     "normalized_texts": f"SELECT doc_id, md5({_NORMAL}) AS text_md5, CASE WHEN s = '' THEN 'session-note' ELSE s END AS slug FROM (SELECT *, trim(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)",
     "thread_keys": """WITH h AS (SELECT c_custkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('thread:' || c_custkey)) AS h FROM customer)
@@ -189,9 +201,9 @@ SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h,
 r AS (SELECT DISTINCT root FROM (SELECT regexp_extract(path, '^(/[^/]+)', 1) AS root FROM p UNION SELECT regexp_extract(path, '^(/[^/]+/[a-z]+)', 1) FROM p) WHERE root <> '')
 SELECT page_id, count(*) AS projects, max(root) AS deepest FROM p JOIN r ON lower(rtrim(path, '/')) = lower(root) OR starts_with(lower(path), lower(root) || '/') GROUP BY 1""",
     "memberships": """WITH t AS (SELECT c_custkey AS thread, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS assigned FROM customer),
-o AS (SELECT o_custkey AS thread, count(DISTINCT o_orderkey % 25) AS n, min(o_orderkey % 25) AS p FROM orders WHERE o_orderkey % 25 < 3 GROUP BY 1),
-k AS (SELECT thread, assigned, p, CASE WHEN thread % 10 = 0 THEN 'projectless' WHEN assigned IS NOT NULL THEN 'explicit' WHEN n = 1 THEN 'inferred' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS kind FROM t LEFT JOIN o USING (thread))
-SELECT thread, kind, (CASE kind WHEN 'explicit' THEN assigned WHEN 'inferred' THEN p END)::INTEGER AS project FROM k""",
+o AS (SELECT o_custkey AS thread, count(DISTINCT o_orderkey % 25) AS n, min(o_orderkey % 25) AS p, array_to_string(list_sort(list(DISTINCT o_orderkey % 25)), ',') AS l FROM orders WHERE o_orderkey % 25 < 3 GROUP BY 1),
+k AS (SELECT thread, assigned, p, l, CASE WHEN thread % 10 = 0 THEN 'projectless' WHEN assigned IS NOT NULL THEN 'explicit' WHEN n = 1 THEN 'inferred' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS kind FROM t LEFT JOIN o USING (thread))
+SELECT thread, kind, (CASE kind WHEN 'explicit' THEN assigned WHEN 'inferred' THEN p END)::INTEGER AS project, CASE kind WHEN 'ambiguous' THEN l ELSE '' END AS candidates FROM k""",
     "assignment_faults": """WITH a AS (SELECT c_custkey AS thread, c_nationkey AS project FROM customer UNION ALL SELECT s_suppkey, s_nationkey FROM supplier)
 SELECT thread, 'two-projects' AS fault FROM a GROUP BY 1 HAVING count(DISTINCT project) > 1 UNION ALL SELECT thread, 'unknown-project' FROM a WHERE project NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2)""",
     "fair_order": "SELECT o_orderkey AS thread, o_custkey % 25 AS project, row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY o_orderdate, o_orderkey)::INTEGER AS turn FROM orders",
@@ -203,7 +215,10 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED P
 SELECT dst AS supplier, count(*) AS edges, count(DISTINCT src) AS sources FROM u JOIN g USING (a) GROUP BY 1""",
     "run_totals": "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)",
     "last_runs": """SELECT o_custkey, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S.%f') AS finished_at, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus, bool_and(o_orderstatus = 'F') AS all_ok FROM orders GROUP BY 1""",
-    "published_index": """WITH p AS (SELECT doc_id AS id, source, md5(text) AS version FROM documents), cur AS (SELECT * FROM p WHERE id % 4 <> 0 AND source <> 'src1'), t AS (SELECT DISTINCT source FROM cur)
-SELECT *, 'active' AS status FROM cur UNION ALL SELECT *, CASE WHEN source IN (FROM t) THEN 'inactive' ELSE 'active' END FROM p WHERE id % 2 = 0 AND id NOT IN (SELECT id FROM cur)""",
-    "planned_notes": """SELECT doc_id, CASE WHEN quality IS NOT NULL AND doc_id % 3 = 0 THEN 'current' WHEN quality = 1 THEN 'reviewed-blocked' WHEN quality IS NOT NULL AND toxic = 1 THEN 'edited-blocked' ELSE 'pending' END AS state FROM documents LEFT JOIN labels USING (doc_id)""",
+    "published_index": """WITH p AS (SELECT doc_id AS id, source, md5(text) AS version FROM documents), cur AS (SELECT * FROM p WHERE id % 4 <> 0 AND source = 'src2')
+SELECT *, 'current' AS status FROM cur UNION ALL SELECT *, CASE WHEN source IN ('src1', 'src2') OR id % 10 = 0 THEN 'inactive' ELSE 'current' END FROM p WHERE id % 2 = 0 AND id NOT IN (SELECT id FROM cur)""",
+    "planned_notes": """WITH n AS (SELECT doc_id, run, doc_id % 11 <> 5 AS sel, CASE WHEN doc_id % 17 = 3 THEN 'deferred' WHEN quality IS NOT NULL AND doc_id % 3 = 0 AND NOT (run = 'force' AND doc_id % 11 <> 5) THEN 'current'
+ WHEN run = 'scan' OR doc_id % 11 = 5 THEN 'pending' WHEN quality = 1 THEN 'reviewed' WHEN quality IS NOT NULL AND toxic = 1 AND doc_id % 13 <> 2 AND run <> 'edited' THEN 'edited' WHEN run = 'dry' THEN 'planned' ELSE 'generate' END AS s
+ FROM documents LEFT JOIN labels USING (doc_id), (VALUES ('plain'), ('force'), ('edited'), ('scan'), ('dry')) r(run))
+SELECT doc_id, run, CASE WHEN s IN ('reviewed', 'edited') THEN 'blocked' ELSE s END AS status, CASE WHEN s IN ('reviewed', 'edited') THEN s || '-session-note' WHEN s IN ('pending', 'planned', 'generate') THEN 'session-note-needs-build' END AS reason FROM n""",
 }
