@@ -197,10 +197,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     splits = got.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("total"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = got.join(splits.hint("merge"), ["file", "block"]).withColumn("off", F.col("base") + F.col("start") - len(MAGIC))
+    # until the chains are known, only places and lengths are carried along
+    placed = got.select("file", "block", "i", "start", "head", "length").join(splits.hint("merge"), ["file", "block"]).withColumn("off", F.col("base") + F.col("start") - len(MAGIC))
     placed = placed.filter("off >= 0").withColumn("succ", F.when(F.col("length").isNotNull(), F.col("off") + len(MAGIC) + F.col("head") + F.col("length") + 4).otherwise(F.lit(DEAD)))
-    placed = materialize(placed.drop("base", "start"), "placed")
-    records = materialize(placed.join(reachable(placed.select("file", "block", "off", "succ")).hint("merge"), ["file", "off"]).filter("length IS NOT NULL"), "records")
+    placed = materialize(placed.select("file", "block", "i", "off", "succ"), "placed")
+    chained = materialize(placed.join(reachable(placed.select("file", "block", "off", "succ")).hint("merge"), ["file", "off"]).filter(F.col("succ") != DEAD), "chained")
+    records = materialize(got.drop("start", "size").join(chained.hint("merge"), ["file", "block", "i"]), "records")
+    discard(got)
     out = ["file", F.col("off").alias("offset"), "length", "type", "id", "refers", "url", "declared"]
     whole = records.filter("whole").select(*out, "payload_bytes", "payload_digest", F.lit(True).alias("complete"))
     if not records.filter("NOT whole").limit(1).count():
