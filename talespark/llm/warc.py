@@ -54,7 +54,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     owner = materialize(narrow.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).filter("n > 1"), "owners")
     again = skewed_join(narrow, owner, "digest", "n").filter("NOT page_id <=> owner").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "owner").distinct()
     again = materialize(again, "revisits")
-    rows = rows.join(again.hint("merge"), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    # a written table: where few pages are copies Spark broadcasts it, by its size, and no payload is shuffled
+    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     revisit = F.col("_digest").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("bytes").cast("string"), F.lit(EOL + EOL))
     block = F.when(revisit, http).otherwise(F.concat(http, "html"))
