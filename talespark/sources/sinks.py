@@ -31,6 +31,7 @@ def append_new(df: DataFrame, path: str, keys: list[str], digest: str | None = N
 
 
 def write_events(df: DataFrame, path: str) -> None:
+    """Events by source, each once; an event that is there with another digest is an error."""
     append_new(df, path, ["thread_key", "canonical_sha256", "local_id"], "event_sha256", ["source_id"])
 
 
@@ -46,9 +47,12 @@ def write_notes(df: DataFrame, path: str) -> None:
 
 
 def write_provenance(entities: DataFrame, activities: DataFrame, path: str) -> None:
+    """Entities by their key and activities by their id, each once; a second run adds
+    nothing, empty tables add nothing."""
     append_new(entities, f"{path}/entities", ["entity_key"])
     append_new(activities, f"{path}/activities", ["activity"])
 
 
 def write_run_report(df: DataFrame, path: str) -> None:
+    """One JSON line per row, added to those of earlier runs."""
     df.write.mode("append").json(path)
