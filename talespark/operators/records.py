@@ -157,12 +157,13 @@ def thread_metadata(parsed: DataFrame, key: str) -> DataFrame:
 
 def diagnostics(parsed: DataFrame, key: str) -> DataFrame:
     """Per file: lines that are no JSON object, unknown record types, ids in headers, and
-    the last record's time (in old files: the last one given after the header)."""
+    the last record's time (in old files: the header's, or the last one given after it).
+    A file has one row, in whichever order its lines come; nulls count as empty."""
     record, meta = F.col("state") == "object", F.col("type") == "session_meta"
     known = F.col("type").isin(RECORD_TYPES) | F.col("header") | ((F.col("type") == "") & (F.col("record_type") != ""))
     header_at = F.min(F.when(F.col("header"), F.col("line_no"))).over(Window.partitionBy(key))
     timed = parsed.withColumn("_old", header_at)
-    counts = record & (F.col("_old").isNull() | (F.col("line_no") < F.col("_old")) | (F.col("timestamp") != ""))
+    counts = record & (F.col("_old").isNull() | (F.col("line_no") <= F.col("_old")) | (F.col("timestamp") != ""))
     ids = F.when(meta, F.coalesce(_given(F.col("p_id")), _given(F.col("p_session_id")))).when(F.col("header"), F.col("id"))
     return timed.groupBy(key).agg(
         F.sort_array(F.collect_list(F.when(~record, F.col("line_no")))).alias("invalid_lines"),

@@ -181,7 +181,7 @@ def scan_counts(spark, d):
 
 
 def registry_refresh(spark, d):
-    n = _t(spark, d, "nation")
+    n = _t(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("n_nationkey"), F.col("c_name").alias("n_name"))
     k = F.col("n_nationkey").cast("int")
     root = F.concat(F.lit("/work/"), F.lower("n_name"))
     reg = n.filter(k % 5 != 0).select(k.alias("project"), F.concat(F.lit("old "), "n_name").alias("name"), F.array(root).alias("roots"), F.array(F.upper(root), F.lit("/was/")).alias("aliases"), _json(note=F.col("n_name")).alias("extra"))
@@ -321,7 +321,7 @@ SELECT thread, md5('Times at +09:00.' || chr(10) || chr(10) || string_agg(block,
     "verified_captures": """WITH f AS (SELECT doc_id AS source_ref, CASE WHEN doc_id % 11 = 0 THEN 'blocked' WHEN doc_id % 5 = 0 OR text IS NULL THEN 'missing' WHEN doc_id % 7 = 0 THEN 'digest' END AS fault FROM documents) SELECT * FROM f WHERE fault IS NOT NULL""",
     "scan_counts": f"""WITH {_KINDS} SELECT CASE WHEN thread % 4 = 1 THEN 'time' WHEN thread % 9 = 2 THEN 'approval-or-internal' WHEN thread % 6 = 0 THEN 'without-user-message' WHEN kind IN ('projectless', 'ambiguous', 'unmatched') THEN kind
  WHEN kind = 'inferred' AND thread % 2 = 0 THEN 'without-project-user-message' ELSE 'candidate' END AS reason, count(*) AS threads FROM k GROUP BY 1""",
-    "registry_refresh": """WITH n AS (SELECT n_nationkey::INTEGER AS k, n_name, '/work/' || lower(n_name) AS root, n_nationkey % 5 <> 0 AS r, n_nationkey % 4 <> 0 AS p FROM nation WHERE n_nationkey % 20 <> 0)
+    "registry_refresh": """WITH n AS (SELECT n_nationkey::INTEGER AS k, n_name, '/work/' || lower(n_name) AS root, n_nationkey % 5 <> 0 AS r, n_nationkey % 4 <> 0 AS p FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer) WHERE n_nationkey % 20 <> 0)
 SELECT k AS project, CASE WHEN p THEN n_name ELSE 'old ' || n_name END AS name, CASE WHEN p AND k % 2 = 1 THEN '/new' ELSE root END AS roots, CASE WHEN NOT r THEN '' WHEN p AND k % 2 = 0 THEN '/was/' ELSE upper(root) || '|/was/' END AS aliases,
  CASE WHEN r THEN '{"note":"' || n_name || '"}' END AS extra, CASE WHEN p THEN 'bound' ELSE 'inactive' END AS status, CASE WHEN p AND NOT r THEN 'new' WHEN p THEN 'project-id' END AS method FROM n""",
     "membership_history": """WITH g AS (SELECT o_custkey AS thread, min(o_orderkey % 3) AS a, max(o_orderkey % 3) AS b FROM orders GROUP BY 1 HAVING o_custkey % 5 <> 0 OR o_custkey % 7 <> 0)
