@@ -67,6 +67,14 @@ def normalize_repo_url(c: Column) -> Column:
     return F.lower(F.regexp_replace(u, "/+$", ""))
 
 
+def normalize_git_remote(c: Column) -> Column:
+    """The other form of a repository's URL: ``ssh://git@`` reads as https, and ``.git`` goes
+    whatever its case, behind slashes too. Null stays null."""
+    u = F.regexp_replace(F.replace(strip(c), F.lit("\\"), F.lit("/")), r"\Agit@([^:]*):", "https://$1/")
+    u = F.regexp_replace(F.regexp_replace(u, r"(?i)\Assh://git@", "https://"), r"/+\z", "")
+    return F.lower(F.regexp_replace(u, r"(?i)\.git\z", ""))
+
+
 def name_uuid(name: Column, namespace: str = URL_NAMESPACE) -> Column:
     """Version 5 UUID of a name."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace)), name.cast("binary")))

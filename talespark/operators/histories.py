@@ -10,10 +10,23 @@ from talespark.functions.text import epoch_of, normalize_path, normalize_text, t
 BRANCH_DIGITS = 16
 
 
-def history_branches(captures: DataFrame) -> DataFrame:
+def canonical_ids(events: DataFrame) -> DataFrame:
+    """Adds ``canonical_id``, unique over all threads and captures, and ``raw_locator``.
+    Columns: thread_key, sha256, local_id, capture_ref and, in threads of several branches,
+    event_id (else null), which then takes local_id's place in the id. Nulls are empty."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    own = F.coalesce("event_id", "local_id", F.lit("")) if "event_id" in events.columns else text("local_id")
+    joined = F.concat(text("thread_key"), F.lit(":"), text("sha256"), F.lit(":"), own)
+    return events.withColumn("canonical_id", joined).withColumn("raw_locator", F.concat(text("capture_ref"), F.lit("#"), text("local_id")))
+
+
+def history_branches(captures: DataFrame, bases: DataFrame | None = None) -> DataFrame:
     """Retained versions (thread, sha256, started_at, ...) with ``branch`` (position from
     1 by start time, then digest) and ``branch_id``: H and 16 hex digits, or the whole
-    digest in threads where those collide. Threads with one version get no branch id."""
+    digest in threads where those collide. Threads with one version get no branch id.
+    ``bases`` (sha256, history_base) adds that column, null where a version has none."""
+    if bases is not None:
+        captures = captures.join(bases.groupBy("sha256").agg(F.min("history_base").alias("history_base")), "sha256", "left")
     short = F.substring("sha256", 1, BRANCH_DIGITS)
     sizes = captures.groupBy("thread").agg(F.count("*").alias("_n"), F.countDistinct(short).alias("_short"))
     w = Window.partitionBy("thread").orderBy(time_key(F.col("started_at")), "sha256")

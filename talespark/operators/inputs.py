@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talespark.functions.text import redact
+from talespark.functions.text import epoch_of, redact
 from talespark.operators.histories import json_string
 
 # Characters of one serialised array of events, and where texts may be cut.
@@ -130,9 +130,12 @@ def check_coverage(chunks: DataFrame, prepared: DataFrame) -> DataFrame:
 
 
 def input_metrics(chunks: DataFrame) -> DataFrame:
+    """One row per thread: chunks, split events, all parts and those of split events,
+    characters submitted, and characters of the prepared events (each counted once)."""
     split = F.col("parts") > 1
     return chunks.groupBy("thread").agg(
-        F.max("chunk").alias("chunks"), F.count_if(split & (F.col("part") == 1)).alias("split_events"), F.count_if(split).alias("text_parts"), F.sum(F.length("text")).alias("characters")
+        F.max("chunk").alias("chunks"), F.count_if(split & (F.col("part") == 1)).alias("split_events"), F.count_if(split).alias("text_parts"), F.sum(F.length("text")).alias("characters"),
+        F.count("*").alias("input_parts"), F.sum(F.when(F.col("part") == 1, F.col("full_chars"))).alias("prepared_characters"),
     )
 
 
@@ -186,7 +189,20 @@ def summarize(requests: DataFrame, fn: Callable[[str], str]) -> DataFrame:
     return requests.select("thread", "chunk", "request").mapInPandas(run, f"thread {kind}, chunk int, result string, error string")
 
 
-def merge_partials(partials: DataFrame) -> DataFrame:
-    """Chunks' timelines one after another, limitations without repeats."""
-    ordered = F.array_sort(F.collect_list(F.struct("chunk", "timeline", "limitations")))
-    return partials.groupBy("thread").agg(ordered.alias("p")).select("thread", F.flatten("p.timeline").alias("timeline"), F.array_distinct(F.flatten("p.limitations")).alias("limitations"))
+# How a note names events whose time or zone is unknown, by language.
+UNKNOWN_TIMES = {"en": "Events with an unknown timestamp or time zone: ", "ja": "日時またはタイムゾーンが確認できないイベント："}
+
+
+def merge_partials(partials: DataFrame, events: DataFrame | None = None, language: str = "en") -> DataFrame:
+    """(thread, timeline, limitations): chunks' timelines one after another, limitations
+    without repeats. With ``events`` (thread, ord, local_id, timestamp), threads with events
+    whose time is unreadable or has no zone get one more limitation that lists them in
+    order. Null arrays are empty."""
+    given = lambda c: F.coalesce(F.col(c), F.array().cast(dict(partials.dtypes)[c])).alias(c)
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", given("timeline"), given("limitations"))))
+    x = partials.groupBy("thread").agg(ordered.alias("p")).select("thread", F.flatten("p.timeline").alias("timeline"), F.flatten("p.limitations").alias("limitations"))
+    if events is not None:
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("ord", "local_id"))), lambda e: e["local_id"])
+        unknown = events.filter(epoch_of(F.col("timestamp")).isNull()).groupBy("thread").agg(F.concat(F.lit(UNKNOWN_TIMES[language]), F.array_join(ids, ", ")).alias("_unknown"))
+        x = x.join(unknown, "thread", "left").withColumn("limitations", F.when(F.col("_unknown").isNull(), F.col("limitations")).otherwise(F.array_append("limitations", F.col("_unknown")))).drop("_unknown")
+    return x.withColumn("limitations", F.array_distinct("limitations"))

@@ -53,21 +53,65 @@ def classify_change(candidates: DataFrame, state: DataFrame) -> DataFrame:
     return candidates.join(s, "thread", "left").withColumn("change", change).drop("p_fingerprint", "p_capture_sha256", "p_generation")
 
 
+def _optional(threads: DataFrame, col: str, default: Any) -> Column:
+    return F.coalesce(F.col(col), F.lit(default)) if col in threads.columns else F.lit(default)
+
+
+def _excluded(x: DataFrame, listed: Column, single: str) -> DataFrame:
+    """Excluded rows with the reason and the ids of the projects that it concerns."""
+    none = F.array().cast(dict(x.dtypes)["candidates"])
+    ids = F.when(F.col("reason") == single, F.array("project")).when(F.col("reason") == "ambiguous-project", F.col("candidates")).otherwise(none)
+    return x.filter(F.col("reason").isNotNull() & listed).select("thread", "reason", ids.alias("candidates"))
+
+
 def scan_candidates(threads: DataFrame, project: Any = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidates, counts by reason, excluded rows). Columns: thread, in_time, internal,
-    user_messages, kind and project of ``membership``, project_user_messages. The first
-    reason that holds counts; with ``project``, threads of others are left out too."""
-    kind = F.col("kind")
+    """(candidates, counts, excluded) of threads: candidates are eligible or have a stale
+    generator; counts are one row of twelve; excluded are (thread, reason, candidates), where
+    the first reason that holds counts. Threads outside the time window and those not
+    selected are counted as ignored only. Columns: thread, in_time, internal, user_messages,
+    kind, project and candidates of ``membership``, project_user_messages, and maybe has_time,
+    foreign (assigned to a project that is not scanned), selected, change (of
+    ``classify_change``). With ``project``, threads of others are foreign too."""
+    kind, foreign = F.col("kind"), _optional(threads, "foreign", False)
+    if project is not None:
+        foreign = foreign | ((kind == "explicit") & ~F.col("project").eqNullSafe(F.lit(project)))
     reason = (
-        F.when(~F.col("in_time"), "time").when(F.col("internal"), "approval-or-internal").when(F.col("user_messages") == 0, "without-user-message")
-        .when(kind.isin("projectless", "ambiguous", "unmatched"), kind).when(F.col("project").isNull(), "unmatched")
+        F.when(~_optional(threads, "has_time", True), "without-event-time").when(~F.col("in_time"), "time").when(F.col("internal"), "approval-or-internal")
+        .when(F.col("user_messages") == 0, "without-user-message").when(kind == "projectless", "projectless").when(foreign, "assigned-to-other-project")
+        .when(kind == "ambiguous", "ambiguous-project").when(F.col("project").isNull(), "unmatched-project")
+        .when(F.lit(False) if project is None else F.col("project") != F.lit(project), "unmatched-project")
+        .when((kind == "inferred") & (F.col("project_user_messages") == 0), "without-project-user-message").when(~_optional(threads, "selected", True), "not-selected")
     )
-    if project is not None:
-        reason = reason.when(F.col("project") != F.lit(project), "assigned-elsewhere")
-    reason = reason.when((kind == "inferred") & (F.col("project_user_messages") == 0), "without-project-user-message")
-    x = threads.withColumn("reason", reason)
-    counts = x.groupBy(F.coalesce("reason", F.lit("candidate")).alias("reason")).agg(F.count("*").alias("threads"))
-    return x.filter("reason IS NULL").drop("reason"), counts, x.filter("reason IS NOT NULL")
+    x = threads.withColumn("reason", reason).withColumn("change", F.when(reason.isNull(), _optional(threads, "change", "eligible")))
+    n = F.count_if
+    is_ = lambda *r: F.coalesce(F.col("reason").isin(*r), F.lit(False))
+    early = is_("without-event-time", "time", "approval-or-internal", "without-user-message", "projectless", "assigned-to-other-project")
+    counts = x.agg(
+        F.count("*").alias("files"), n(F.col("change").isin("eligible", "stale-generator")).alias("eligible"), n(F.col("change") == "unchanged").alias("unchanged"), n(F.col("change") == "stale-generator").alias("stale_generator"),
+        n(F.col("reason").isNotNull()).alias("ignored"), n(is_("without-event-time")).alias("without_event_time"), n(is_("approval-or-internal")).alias("approval_or_internal"), n(is_("without-user-message")).alias("without_user_message"),
+        n((kind == "explicit") & ~early).alias("assigned"), n(is_("ambiguous-project")).alias("ambiguous"), n(is_("projectless")).alias("projectless"), n(is_("unmatched-project", "assigned-to-other-project")).alias("unmatched"),
+    )
+    return x.filter("reason IS NULL AND change <> 'unchanged'").drop("reason"), counts, _excluded(x, ~F.col("reason").isin("time", "not-selected"), "without-project-user-message")
+
+
+def scan_rebuild(threads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, counts, excluded) of a rebuild of one project: here the project is looked
+    at first. Columns: thread, project, kind, foreign, project_events, internal,
+    user_messages, project_user_messages. Files without a thread (null) are counted only."""
+    reason = (
+        F.when(F.col("thread").isNull(), "without-thread").when(F.col("kind") == "projectless", "projectless").when(_optional(threads, "foreign", False), "assigned-to-other-project")
+        .when(F.col("project_events") == 0, "unmatched-project").when(F.col("internal"), "approval-or-internal")
+        .when((F.col("user_messages") == 0) | (F.col("project_user_messages") == 0), "without-project-user-message")
+    )
+    x = threads.withColumn("reason", reason).withColumn("candidates", F.array("project"))
+    other = F.coalesce(F.col("reason").isin("without-thread", "projectless", "assigned-to-other-project", "unmatched-project"), F.lit(False))
+    n = F.count_if
+    counts = x.agg(
+        F.count("*").alias("files"), n(~other).alias("matched_project"), n(F.col("reason").isNull()).alias("eligible"), n(F.col("reason") == "approval-or-internal").alias("approval_or_internal"),
+        n(F.col("reason") == "without-project-user-message").alias("without_user_message"), n(other).alias("unmatched_project"),
+    )
+    ids = F.when(F.col("reason").isin("approval-or-internal", "without-project-user-message"), F.col("candidates")).otherwise(F.array().cast(dict(x.dtypes)["candidates"]))
+    return x.filter("reason IS NULL").drop("reason", "candidates"), counts, x.filter("reason IS NOT NULL AND reason <> 'without-thread'").select("thread", "reason", ids.alias("candidates"))
 
 
 def duplicate_threads(candidates: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,24 @@ def last_run(reports: DataFrame, source: str, finished: str, run: str, status: s
     return reports.groupBy(source).agg(top, F.bool_and(F.col(status) == ok).alias("all_ok")).select(source, f"m.{finished}", f"m.{run}", f"m.{status}", "all_ok")
 
 
+def source_status(sources: DataFrame, reports: DataFrame) -> DataFrame:
+    """One row for each source (provider, source_id, initialized, migration_required) with
+    its last report (provider, source_id, finished_at, run, mode, complete): as_of, last_mode,
+    complete. Of equal times the larger run counts; a source without a report is incomplete."""
+    keys = ["provider", "source_id"]
+    last = reports.groupBy(*keys).agg(F.max_by(F.struct("finished_at", "mode", "complete"), F.struct("finished_at", "run")).alias("r"))
+    return sources.join(last, keys, "left").select(
+        *keys, "initialized", "migration_required", F.col("r.finished_at").alias("as_of"), F.col("r.mode").alias("last_mode"), F.coalesce("r.complete", F.lit(False)).alias("complete")
+    )
+
+
+def overall_status(status: DataFrame) -> DataFrame:
+    """One row over ``source_status``: all initialized, any migration required, all complete.
+    Without sources nothing is required and the rest holds."""
+    flag = lambda f, c, none: F.coalesce(f(c), F.lit(none)).alias(c)
+    return status.agg(F.count("*").alias("sources"), flag(F.bool_and, "initialized", True), flag(F.bool_or, "migration_required", False), flag(F.bool_and, "complete", True))
+
+
 def publish_index(previous: DataFrame, current: DataFrame, source: str | None = None) -> DataFrame:
     """(id, source, version, status): the rows of ``current`` as they are; earlier rows that
     are not current, inactive if they are of ``source`` (any source, if None), else as they
@@ -162,6 +180,29 @@ def relocate_store(artifacts: DataFrame, activities: DataFrame, entities: DataFr
     return own.withColumn("status", status), acts, entities.join(reach, "entity", "left_semi")
 
 
+# A folder's earlier and present name.
+RENAMED = ("thread-notes", "session-notes")
+
+
+def rewrite_locator(c: Column, moved: dict[str, str], own_prefix: str | None = None) -> Column:
+    """A locator after a move: ``own_prefix`` (of the source) is cut to its scheme, the old
+    folder's name at its head is replaced, then the longest of the ``moved`` places that is
+    the locator or holds it gives way to the new one, in which the old folder's name goes
+    too. Other texts and nulls stay."""
+    before, now = RENAMED
+    if own_prefix is not None:
+        scheme = own_prefix[: own_prefix.index("/") + 1]
+        c = F.when(c.startswith(own_prefix), F.concat(F.lit(scheme), F.substring(c, len(own_prefix) + 1, 2**31 - 1))).otherwise(c)
+    head = f"data:/{before}/"
+    c = F.when(c.startswith(head), F.concat(F.lit(f"data:/{now}/"), F.substring(c, len(head) + 1, 2**31 - 1))).otherwise(c)
+    out = None
+    for old in sorted(moved, key=len, reverse=True):
+        inside = (c == old) | c.startswith(old if old.endswith("/") else f"{old}/") | c.startswith(f"{old}\\")
+        new = F.replace(F.concat(F.lit(moved[old]), F.substring(c, len(old) + 1, 2**31 - 1)), F.lit(before), F.lit(now))
+        out = F.when(inside, new) if out is None else out.when(inside, new)
+    return c if out is None else out.otherwise(c)
+
+
 def verify_copy(source: DataFrame, copy: DataFrame) -> DataFrame:
     """(path, state) of two file lists (path, sha256): same, conflict, to-copy, extra."""
     x = source.select("path", F.col("sha256").alias("a")).join(copy.select("path", F.col("sha256").alias("b")), "path", "full_outer")

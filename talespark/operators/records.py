@@ -23,7 +23,11 @@ DROPPED_KEYS = ["type", "last_agent_message"]
 #: Labels read from a record and, with the prefix p_, from its payload.
 LABELS = ["type", "timestamp", "role", "id", "cwd"]
 PAYLOAD_LABELS = ["type", "timestamp", "role", "id", "session_id", "cwd", "turn_id", "phase", "name", "call_id", "message", "originator", "source", "thread_source"]
-PARSED = [*LABELS, *(f"p_{x}" for x in PAYLOAD_LABELS), "content", "input", "output", "whole", "repository_url", "record_type"]
+PARSED = [*LABELS, *(f"p_{x}" for x in PAYLOAD_LABELS), "content", "input", "output", "whole", "repository_url", "record_type", "history_base"]
+
+# How a review of an approval starts, and the sources of internal threads.
+APPROVAL_MARKER = "The following is the Codex agent history"
+INTERNAL_SOURCES = ["approval_review", "subagent"]
 
 
 def stable_json(value: Any) -> str:
@@ -42,10 +46,10 @@ def joined_content(content: Any) -> str:
 
 
 def fields(raw: str) -> dict[str, Any]:
-    """State (object, other, bad) of one line and the fields that later steps name.
+    """State (object, other, bad; null is bad) of one line and the fields that later steps name.
     Of repeated keys the last counts."""
     try:
-        record = json.loads(raw)
+        record = json.loads(raw or "")
     except (ValueError, RecursionError):
         return {"state": "bad"}
     if not isinstance(record, dict):
@@ -62,6 +66,7 @@ def fields(raw: str) -> dict[str, Any]:
         "whole": stable_json(shown) if shown else "",
         "repository_url": str(git.get("repository_url") or "") if isinstance(git, dict) else "",
         "record_type": str(record.get("record_type") or ""),
+        "history_base": stable_json(inner.get("history_base")),
     }
 
 
@@ -87,21 +92,24 @@ def _given(c: Column) -> Column:
 
 
 def fill_context(parsed: DataFrame, key: str) -> DataFrame:
-    """Adds ``turn_id``, ``thread_cwd`` and ``cwd`` as of each line: two passes over one
-    partitioning. A header sets the thread's folder and resets the turn's; a turn
-    without a folder takes the thread's at that point."""
+    """Adds ``turn_id``, ``thread_cwd``, ``cwd`` and ``header_at`` as of each line: two passes
+    over one partitioning. A header sets the thread's folder and resets the turn's; a turn
+    without a folder takes the thread's at that point. ``header_at`` is the time in the last
+    session_meta, else in the first old header, so far, else empty."""
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     meta, turn = F.col("type") == "session_meta", F.col("type") == "turn_context"
     thread = parsed.withColumn("thread_cwd", F.coalesce(F.last(F.when(meta, _given(F.col("p_cwd"))).when(F.col("header"), _given(F.col("cwd"))), True).over(w), F.lit("")))
     at = F.when(meta | F.col("header"), F.col("thread_cwd")).when(turn, F.coalesce(_given(F.col("p_cwd")), "thread_cwd"))
     turn_cwd = _given(F.last(at, True).over(w))
     turn_id = F.coalesce(F.last(F.when(turn, F.col("p_turn_id")), True).over(w), F.lit(""))
-    return thread.withColumn("turn_id", turn_id).withColumn("cwd", F.coalesce(turn_cwd, "thread_cwd"))
+    header_at = F.coalesce(F.last(F.when(meta, F.col("p_timestamp")), True).over(w), F.first(F.when(F.col("header"), F.col("timestamp")), True).over(w), F.lit(""))
+    return thread.withColumn("turn_id", turn_id).withColumn("cwd", F.coalesce(turn_cwd, "thread_cwd")).withColumn("header_at", header_at)
 
 
 def classify_records(filled: DataFrame, key: str) -> DataFrame:
-    """(key, line_no, kind, actor, name, text, timestamp, turn_id, cwd) of the lines that
-    are events with a text."""
+    """(key, line_no, kind, actor, name, text, timestamp, turn_id, cwd, said_at) of the lines
+    that are events with a text. ``said_at`` is the time of a message: an old one without a
+    time has its header's, an event has none but its own."""
     item, note, t = F.col("type") == "response_item", F.col("type") == "event_msg", F.col("p_type")
     old, role = F.col("type") == "message", F.when(F.col("type") == "message", F.col("role")).otherwise(F.col("p_role"))
     spoken = (old | (item & t.isin("", "message"))) & role.isin("user", "assistant")
@@ -117,7 +125,8 @@ def classify_records(filled: DataFrame, key: str) -> DataFrame:
         .when(call, F.coalesce(_given(F.col("p_name")), t)).when(output, F.coalesce(_given(F.col("p_name")), _given(F.col("p_call_id")), t)).otherwise(t)
     )
     text = F.when(spoken, F.col("content")).when(mirrored, F.col("p_message")).when(call, F.col("input")).when(output, F.col("output")).otherwise(F.col("whole"))
-    out = filled.select(key, "line_no", kind.alias("kind"), actor.alias("actor"), name.alias("name"), text.alias("text"), "timestamp", "turn_id", "cwd")
+    said_at = F.when(old & (F.coalesce("timestamp", F.lit("")) == ""), F.col("header_at")).otherwise(F.col("timestamp"))
+    out = filled.select(key, "line_no", kind.alias("kind"), actor.alias("actor"), name.alias("name"), text.alias("text"), "timestamp", "turn_id", "cwd", said_at.alias("said_at"))
     raw = F.col("text")
     clean = F.when(F.col("actor") == "user", clean_user_text(raw)).otherwise(strip(raw))
     return out.filter("kind IS NOT NULL").withColumn("text", clean).filter("text <> ''")
@@ -139,7 +148,20 @@ def with_event_ids(events: DataFrame) -> DataFrame:
 def log_events(lines: DataFrame, key: str) -> DataFrame:
     """All steps from lines to identified events. The key's partitioning is used by the
     context windows; de-duplication shuffles digests with the events."""
-    return with_event_ids(dedupe_events(classify_records(fill_context(parse_lines(lines), key), key), key))
+    return with_event_ids(dedupe_events(classify_records(fill_context(parse_lines(lines), key), key), key)).drop("said_at")
+
+
+def thread_messages(lines: DataFrame, key: str) -> DataFrame:
+    """(key, line_no, role, text, timestamp, turn_id): the users' and assistants' messages,
+    without mirrored ones. Lines that are null or no record give none."""
+    e = dedupe_events(classify_records(fill_context(parse_lines(lines), key), key), key)
+    return e.filter(F.col("kind").isin("user_message", "assistant_message")).select(key, "line_no", F.col("actor").alias("role"), "text", F.col("said_at").alias("timestamp"), "turn_id")
+
+
+def history_bases(parsed: DataFrame, key: str) -> DataFrame:
+    """(key, history_base) of each file with a session_meta: what the first one names as the
+    history that it goes on from, JSON if it is no string, empty if it names none."""
+    return parsed.filter("type = 'session_meta'").groupBy(key).agg(F.min_by("history_base", "line_no").alias("history_base"))
 
 
 def thread_metadata(parsed: DataFrame, key: str) -> DataFrame:
@@ -180,7 +202,7 @@ def thread_diagnostics(files: DataFrame) -> DataFrame:
     return files.groupBy("thread").agg(*(union(c) for c in ("invalid_lines", "unknown_types", "metadata_ids")))
 
 
-def thread_flags(messages: DataFrame, metadata: DataFrame, key: str, review_prefix: str, internal_sources: list[str]) -> DataFrame:
+def thread_flags(messages: DataFrame, metadata: DataFrame, key: str, review_prefix: str = APPROVAL_MARKER, internal_sources: list[str] = INTERNAL_SOURCES) -> DataFrame:
     """(key, approval_review, internal_source, has_user_message) of each key of
     ``metadata``. Messages (key, role, text) are those of all versions of a thread: it is
     a review if any user message starts with the prefix after leading white space, and

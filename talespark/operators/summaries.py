@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talespark.functions.text import epoch_of, local_time, slugify, strip
+from talespark.operators.capture import set_digest
 
 # Where text is cut into lines, what a literal path is, quoted or not, tentative wordings, the label they contradict, and supported versions of artefacts.
 LINE_END = "\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -18,7 +19,14 @@ QUOTED = r"`([^`\n]+)`"
 LITERAL_PATH = r"^(?:[A-Za-z]:[\\/]|\.{1,2}[\\/]|\._)"
 TENTATIVE = ["方向を示した", "イメージを示した", "気がしている"]
 DECISION = "Explicit Decision"
+AVOIDABLE = ["actual execution", "supplied events"]
 NOTE_VERSIONS = ["3", "4", "5", "6"]
+WORK_STATE = r"(?m)^- Work State: (in-progress|blocked|waiting-for-user|done)\b"
+NOTE_VALUES = {"reviewStatus": "unreviewed", "sourceType": "codexChat", "automatedValidation": "passed"}
+HEADINGS = ["# Session Note", "## Summary", "## Timeline", "## Last Known State"]
+OLD_HEADINGS = {"# Session Note": (6, "# Thread Note"), "## Timeline": (5, "## Key Developments")}
+UUID4 = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+SLUG = r"\A[a-z0-9]+(-[a-z0-9]+)*\z"
 ACTORS = {"user": "User", "assistant": "AI", "tool": "Tool"}
 
 KINDS = {"object": dict, "array": list, "string": str, "boolean": bool}
@@ -67,10 +75,11 @@ def validate_schema(texts: Column, schema: dict[str, Any]) -> Column:
     return check(texts)
 
 
-def validate_summary(summaries: DataFrame, allowed: DataFrame) -> DataFrame:
+def validate_summary(summaries: DataFrame, allowed: DataFrame, phrases: list[str] | None = None) -> DataFrame:
     """(thread, fault): the first rule that a summary breaks, else null. Columns: thread,
     state (work_state, unresolved, continuation, event_ids) and items (text, label,
-    event_ids, start_id, end_id); ``allowed`` has (thread, event_ids)."""
+    event_ids, start_id, end_id); ``allowed`` has (thread, event_ids). ``phrases`` are those
+    that no text of the summary may hold, whatever the case: ``AVOIDABLE`` for Japanese."""
     s = summaries.join(allowed.select("thread", F.col("event_ids").alias("allowed")), "thread", "left")
     items = F.col("items")
     cited = F.concat(F.col("state.event_ids"), F.flatten(F.transform(items, lambda i: i["event_ids"])))
@@ -83,6 +92,8 @@ def validate_summary(summaries: DataFrame, allowed: DataFrame) -> DataFrame:
         .when(tentative, "tentative-decision").when(ends, "endpoint-not-cited")
         .when(F.size(F.array_except(cited, F.coalesce("allowed", F.array().cast("array<string>")))) > 0, "unknown-event")
     )
+    for phrase in phrases or ():
+        fault = fault.when(F.lower(F.to_json(F.struct("state", "items"))).contains(phrase), "avoidable-phrase")
     return s.select("thread", fault.alias("fault"))
 
 
@@ -170,7 +181,7 @@ def note_names(notes: DataFrame, existing: DataFrame) -> DataFrame:
     smaller thread gets it, up to 8 letters and digits of the thread's id follow.
     Columns: thread, started_at, title. Notes without a readable start have no name."""
     at, title = F.col("started_at"), F.coalesce("title", F.lit(""))
-    slug = F.when(title.rlike(r"\A[a-z0-9]+(-[a-z0-9]+)*\z"), title).otherwise(slugify(title))
+    slug = F.when(title.rlike(SLUG), title).otherwise(slugify(title))
     stamp = F.concat(F.replace(local_time(at, "day"), F.lit("-")), F.lit("T"), F.replace(local_time(at, "clock"), F.lit(":")), F.lit("+0900"))
     x = notes.withColumn("_base", F.concat(stamp, F.lit("-"), slug)).join(existing.select(F.regexp_replace("name", r"[.]md$", "").alias("_base"), F.lit(True).alias("_taken")).distinct(), "_base", "left")
     later = F.row_number().over(Window.partitionBy("_base").orderBy("thread")) > 1
@@ -179,23 +190,93 @@ def note_names(notes: DataFrame, existing: DataFrame) -> DataFrame:
     return x.withColumn("name", F.concat("_base", suffix, F.lit(".md"))).drop("_base", "_taken")
 
 
-def validate_notes(notes: DataFrame, headings: list[str]) -> DataFrame:
-    """Adds ``fault`` to notes (meta map, body): version, ids, state or a heading."""
-    m = lambda k: F.coalesce(F.col("meta")[k], F.lit(""))
-    fault = F.when(~F.coalesce(F.nullif(m("schemaVersion"), F.lit("")), F.lit("1")).isin(NOTE_VERSIONS), "version")
-    fault = fault.when(~m("id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"), "id").when(m("threadId") == "", "thread").when((m("captureRef") == "") != (m("captureSha256") == ""), "capture-pair").when((m("captureSha256") != "") & ~m("captureSha256").rlike("^[0-9a-f]{64}$"), "capture-digest")
-    for h in headings:
-        fault = fault.when(~F.col("body").rlike(rf"(?m)^{re.escape(h)}[ \t]*$"), f"heading {h}")
-    return notes.withColumn("fault", fault)
+def _meta(key: str) -> Column:
+    return F.coalesce(F.col("meta")[key], F.lit(""))
 
 
-def validate_staged(notes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(thread, fault) of a staged set: no note, more than one, no candidate, or a note
-    whose fingerprint is not the candidate's."""
-    n = notes.groupBy("thread").agg(F.count("*").alias("n"), F.min("fingerprint").alias("noted"))
-    x = candidates.select("thread", F.col("fingerprint").alias("wanted"), F.lit(True).alias("known")).join(n, "thread", "full_outer")
-    fault = F.when(F.col("n").isNull(), "missing").when(F.col("known").isNull(), "unexpected").when(F.col("n") > 1, "repeated").when(~F.col("noted").eqNullSafe(F.col("wanted")), "fingerprint")
-    return x.select("thread", fault.alias("fault")).filter("fault IS NOT NULL")
+def _is_uuid(c: Column) -> Column:
+    """32 hexadecimal digits, with or without hyphens, braces and a urn prefix."""
+    bare = F.regexp_replace(F.replace(F.replace(c, F.lit("urn:")), F.lit("uuid:")), r"^[{}]+|[{}]+$", "")
+    return F.replace(bare, F.lit("-")).rlike("^[0-9a-fA-F]{32}$")
+
+
+def _any(c: Column, rule: Any) -> Column:
+    """Whether the rule holds for an item; a null item counts as empty."""
+    return F.exists(c, lambda x: rule(F.coalesce(x, F.lit(""))))
+
+
+def _state_fault() -> tuple[Column, Column]:
+    """(the note's work state, '' if it names none, and whether ``status`` differs from it)."""
+    named = F.regexp_extract("body", WORK_STATE, 1)
+    return named, _meta("status") != named
+
+
+def validate_notes(notes: DataFrame) -> DataFrame:
+    """Adds ``fault`` to notes, null or the first rule that one breaks: version, a required
+    value, id, capture (both fields or none), captures (several, with their set's digest),
+    a generator's field, source, heading, work state and status. Columns: meta (map), body,
+    and the lists thread_ids, source_refs, capture_refs, capture_digests. Nulls are empty."""
+    lists = ("thread_ids", "source_refs", "capture_refs", "capture_digests")
+    x = notes.withColumns({f"_{c}": F.coalesce(c, F.array().cast("array<string>")) for c in lists}).withColumn("body", F.coalesce("body", F.lit("")))
+    version = F.coalesce(F.nullif(_meta("schemaVersion"), F.lit("")), F.lit("1"))
+    n = _meta("schemaVersion").try_cast("int")
+    fault = F.when(~version.isin(NOTE_VERSIONS), "version").when(_meta("type") != F.when(n >= 6, "sessionNote").otherwise("threadNote"), "type")
+    for key, value in NOTE_VALUES.items():
+        fault = fault.when(_meta(key) != value, key)
+    digest = "^[0-9a-f]{64}$"
+    ref, sha, refs, shas = _meta("sourceCaptureRef"), _meta("sourceCaptureSha256"), F.col("_capture_refs"), F.col("_capture_digests")
+    one = ((ref == "") != (sha == "")) | ((ref != "") & ~(ref.startswith("raw:/") & sha.rlike(digest)))
+    several = (F.size(refs) > 0) | (F.size(shas) > 0) | (_meta("sourceSetSha256") != "")
+    unlike = (
+        (F.size(refs) < 2) | (F.size(refs) != F.size(shas)) | (F.size(F.array_distinct(shas)) != F.size(shas)) | _any(refs, lambda x: ~x.startswith("raw:/")) | _any(shas, lambda x: ~x.rlike(digest))
+        | (_meta("sourceSetSha256") != set_digest(shas)) | (ref != F.coalesce(F.get(refs, F.lit(0)), F.lit(""))) | (sha != F.coalesce(F.get(shas, F.lit(0)), F.lit("")))
+    )
+    fault = fault.when((n >= 4) & ~_meta("id").rlike(UUID4), "id").when((n >= 4) & one, "capture").when(several & unlike, "captures")
+    for kind in ("prompt", "template"):
+        fault = fault.when(~_is_uuid(_meta(f"{kind}Id")), f"{kind}Id").when(_meta(f"{kind}Version") == "", f"{kind}Version")
+    fault = fault.when(~_meta("outputSchemaSha256").rlike(digest), "outputSchemaSha256").when((F.size("_thread_ids") != 1) | (F.size("_source_refs") != 1), "source").when(_meta("sourceFingerprint") == "", "sourceFingerprint")
+    for h in HEADINGS:
+        since, old = OLD_HEADINGS.get(h, (0, h))
+        fault = fault.when(~F.contains("body", F.when(n >= since, h).otherwise(old)), f"heading {h}")
+    named, differs = _state_fault()
+    fault = fault.when(named == "", "work-state").when(differs, "status")
+    return x.withColumn("fault", fault).drop(*(f"_{c}" for c in lists))
+
+
+def validate_staged(notes: DataFrame, candidates: DataFrame, settings: dict[str, str]) -> DataFrame:
+    """(name, thread, fault) of a staged set, one fault for each pair of note and thread:
+    what is wrong with the note itself, repeated (several notes of the thread), what differs
+    from its candidate (source-refs, session-note-id, date, at +09:00, and for ``strict``
+    ones the generator's ``settings``, fingerprint, capture and file-slug), and, without a
+    name, missing (a candidate without a note). Columns: notes name, meta, body, thread_ids,
+    source_refs; candidates thread (one row each), source_ref, started_at, fingerprint,
+    capture_ref, capture_sha256, strict. A candidate without a readable start has no faults
+    of time. Nulls are empty; notes without threads are no fault by that."""
+    of = notes.select("name", "meta", F.coalesce("body", F.lit("")).alias("body"), F.coalesce("source_refs", F.array().cast("array<string>")).alias("source_refs"), F.explode_outer("thread_ids").alias("thread"))
+    named, differs = _state_fault()
+    backed = F.col("thread").isNotNull()
+    fault = F.when(_meta("schemaVersion") != NOTE_VERSIONS[-1], "version").when(~_meta("id").rlike(UUID4), "id").when(_meta("type") != "sessionNote", "type")
+    fault = fault.when(backed & (_meta("reviewStatus") != NOTE_VALUES["reviewStatus"]), "reviewStatus").when(backed & ((_meta("sourceType") != NOTE_VALUES["sourceType"]) | (F.size("source_refs") == 0)), "provenance")
+    for h in HEADINGS:
+        fault = fault.when(~F.contains("body", F.lit(h)), f"heading {h}")
+    fault = fault.when((named != "") & differs, "status")
+    again = of.filter(backed).groupBy("thread").agg(F.count("*").alias("_n")).filter("_n > 1")
+    want = candidates.select("thread", F.struct("source_ref", "started_at", "fingerprint", "capture_ref", "capture_sha256", "strict").alias("c"))
+    x = of.join(again, "thread", "left").join(want, "thread", "left")
+    day, clock = local_time(F.col("c.started_at"), "day"), local_time(F.col("c.started_at"), "clock")
+    note_id = F.concat(F.replace(day, F.lit("-")), F.lit("T"), F.replace(clock, F.lit(":")), F.lit("+0900"))
+    fault = fault.when(F.col("_n").isNotNull(), "repeated").when(F.col("c").isNotNull() & ~F.col("source_refs").eqNullSafe(F.array("c.source_ref")), "source-refs")
+    fault = fault.when((_meta("sessionNoteId") != note_id) | ~F.startswith("name", F.concat(note_id, F.lit("-"))), "session-note-id").when(_meta("date") != F.concat(day, F.lit("T"), clock, F.lit("+09:00")), "date")
+    strict = F.coalesce(F.col("c.strict"), F.lit(False))
+    for key, value in (settings | {"automatedValidation": NOTE_VALUES["automatedValidation"]}).items():
+        fault = fault.when(strict & (_meta(key) != value), key)
+    for key, col, always in (("sourceFingerprint", "fingerprint", True), ("sourceCaptureRef", "capture_ref", False), ("sourceCaptureSha256", "capture_sha256", False)):
+        value = F.coalesce(F.col(f"c.{col}"), F.lit(""))
+        fault = fault.when(strict & (F.lit(always) | (value != "")) & (_meta(key) != value), key)
+    fault = fault.when(strict & (~_meta("fileSlug").rlike(SLUG) | (F.col("name") != F.concat(note_id, F.lit("-"), _meta("fileSlug"), F.lit(".md")))), "file-slug")
+    wrong = x.select("name", "thread", fault.alias("fault")).filter("fault IS NOT NULL")
+    missing = candidates.join(of.filter(backed).select("thread"), "thread", "left_anti").select(F.lit(None).cast("string").alias("name"), "thread", F.lit("missing").alias("fault"))
+    return wrong.unionByName(missing)
 
 
 def check_artifact_version(rows: DataFrame, supported: dict[str, list[str]]) -> DataFrame:

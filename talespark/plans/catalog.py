@@ -1,6 +1,6 @@
 """All registered queries of the library's own operators, with their SQL."""
 
-from talespark.plans import evidence, registry, workflow
+from talespark.plans import checks, evidence, registry, workflow
 
-QUERIES = registry.QUERIES | evidence.QUERIES | workflow.QUERIES
-ORACLE_SQL = registry.ORACLE_SQL | evidence.ORACLE_SQL | workflow.ORACLE_SQL
+QUERIES = registry.QUERIES | evidence.QUERIES | workflow.QUERIES | checks.QUERIES
+ORACLE_SQL = registry.ORACLE_SQL | evidence.ORACLE_SQL | workflow.ORACLE_SQL | checks.ORACLE_SQL

@@ -111,7 +111,7 @@ def input_chunks(spark, d):
 def input_metrics(spark, d):
     """Split events and characters follow from sizes alone; chunks are counted by brute
     force in the tests."""
-    return inputs.input_metrics(_chunks(spark, d)).select("thread", "split_events", "characters")
+    return inputs.input_metrics(_chunks(spark, d)).select("thread", "split_events", "characters", "prepared_characters")
 
 
 def _items(spark, d):
@@ -170,14 +170,21 @@ def verified_captures(spark, d):
     return capture.verify_captures(m, c.filter("source_ref % 5 <> 0").select("source_ref", "sha256"), c.filter("source_ref % 11 = 0"))
 
 
-def scan_counts(spark, d):
+def scanned(spark, d):
+    """Customers as threads with what a scan asks of each."""
     c = _t(spark, d, "customer")
     k = F.col("c_custkey")
     t = c.select(k.alias("thread"), F.when(k % 3 == 0, F.col("c_nationkey")).alias("assigned"))
     o = _t(spark, d, "orders").select(F.col("o_custkey").alias("thread"), F.pmod("o_orderkey", F.lit(25)).cast("int").alias("project")).filter("project < 3")
     m = attribution.membership(t, t.filter("thread % 10 = 0"), o)
-    x = m.withColumns({"in_time": F.col("thread") % 4 != 1, "internal": F.col("thread") % 9 == 2, "user_messages": F.col("thread") % 6, "project_user_messages": F.col("thread") % 2})
-    return planning.scan_candidates(x)[1]
+    k = F.col("thread")
+    change = F.when(k % 8 == 2, "unchanged").when(k % 8 == 3, "stale-generator").otherwise("eligible")
+    more = {"in_time": k % 4 != 1, "internal": k % 9 == 2, "user_messages": k % 6, "project_user_messages": k % 2, "has_time": k % 16 != 7, "foreign": k % 23 == 8, "selected": k % 29 != 4, "change": change, "project_events": k % 7}
+    return m.withColumns(more)
+
+
+def scan_counts(spark, d):
+    return planning.scan_candidates(scanned(spark, d))[1]
 
 
 def registry_refresh(spark, d):
@@ -286,6 +293,8 @@ _KINDS = """t AS (SELECT c_custkey AS thread, CASE WHEN c_custkey % 3 = 0 THEN c
 o AS (SELECT o_custkey AS thread, count(DISTINCT o_orderkey % 25) AS n FROM orders WHERE o_orderkey % 25 < 3 GROUP BY 1),
 k AS (SELECT thread, CASE WHEN thread % 10 = 0 THEN 'projectless' WHEN assigned IS NOT NULL THEN 'explicit' WHEN n = 1 THEN 'inferred' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS kind FROM t LEFT JOIN o USING (thread))"""
 
+SCANNED = f"""{_KINDS}, s AS (SELECT thread, kind, CASE WHEN thread % 16 = 7 THEN 'without-event-time' WHEN thread % 4 = 1 THEN 'time' WHEN thread % 9 = 2 THEN 'approval-or-internal' WHEN thread % 6 = 0 THEN 'without-user-message'
+ WHEN kind = 'projectless' THEN kind WHEN thread % 23 = 8 THEN 'assigned-to-other-project' WHEN kind IN ('ambiguous', 'unmatched') THEN kind || '-project' WHEN kind = 'inferred' AND thread % 2 = 0 THEN 'without-project-user-message' WHEN thread % 29 = 4 THEN 'not-selected' END AS reason FROM k)"""
 _STRIPPED = f"regexp_replace(regexp_replace(CASE WHEN n % 6 = 0 THEN 'see `./missing/x` ' ELSE '' END || substr(text, 1, 40), '^{_SPACE}', ''), '{_SPACE}$', '')"
 _ENDS = r"\r\n|[\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 _LINES = f"regexp_replace(regexp_replace(coalesce(nullif({_STRIPPED}, ''), 'none'), '{_ENDS}', chr(10), 'g'), '\\n([^\\n])', chr(10) || '    \\1', 'g')"
@@ -306,7 +315,7 @@ a AS (SELECT *, doc_id % 5 = 0 AS u, CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELS
 SELECT thread, doc_id, (row_number() OVER (PARTITION BY thread ORDER BY u, tm, s))::INTEGER AS branch, CASE WHEN n > 1 THEN 'H' || substr(s, 1, 16) END AS branch_id FROM a""",
     "event_sizes": f"""WITH {_EV} SELECT thread, id AS local_id, length('{{"id": "' || id || '", "kind": "' || kind || '", "actor": "' || actor || '", "name": "", "text": ' || to_json(text)::VARCHAR || ', "timestamp": "' || tm || '", "turnId": "t' || n || '"}}')::INTEGER AS size FROM v""",
     "input_metrics": f"""WITH {_EV}, r AS (SELECT *, {_REDACT} AS x FROM v) SELECT thread, count(*) FILTER (length('{{"id": "' || id || '", "kind": "' || kind || '", "actor": "' || actor || '", "name": "", "text": ' || to_json(x)::VARCHAR || ', "timestamp": "' || tm || '", "turnId": "t' || n || '"}}') + 2 > {BUDGET}) AS split_events,
- sum(length(x))::BIGINT AS characters FROM r GROUP BY thread""",
+ sum(length(x))::BIGINT AS characters, sum(length(x))::BIGINT AS prepared_characters FROM r GROUP BY thread""",
     "timeline_faults": f"""WITH {_EV}, i AS (SELECT thread, n, CASE WHEN n % 5 = 0 THEN n + 1 ELSE n END AS z FROM v WHERE conv_id % 4 <> 3 OR n <> 2),
 f AS (SELECT i.thread, i.n::INTEGER AS pos, CASE WHEN b.n IS NULL THEN 'unknown-endpoint' WHEN i.n <> i.z THEN 'range' WHEN i.n % 6 = 0 THEN 'path-not-in-source' END AS fault FROM i LEFT JOIN v b ON b.thread = i.thread AND b.n = i.z)
 SELECT * FROM f WHERE fault IS NOT NULL UNION ALL SELECT DISTINCT thread, NULL::INTEGER, 'user-message-missing' FROM v WHERE conv_id % 4 = 3 AND n = 2 AND kind = 'user_message'""",
@@ -319,8 +328,10 @@ SELECT thread, md5('Times at +09:00.' || chr(10) || chr(10) || string_agg(block,
     "manifest_faults": """WITH f AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'schema-version' WHEN doc_id % 19 = 0 THEN 'source-id' WHEN doc_id % 11 = 0 THEN 'digest' WHEN doc_id % 23 = 0 OR n_chars IS NULL THEN 'size' WHEN doc_id % 17 = 0 THEN 'capture-ref' END AS fault FROM documents) SELECT * FROM f WHERE fault IS NOT NULL""",
     "revalidated": """SELECT source || '-' || (doc_id % 50) AS thread, bool_and(text IS NOT NULL AND doc_id % 97 <> 5 AND doc_id % 101 <> 7) AS valid FROM documents GROUP BY 1""",
     "verified_captures": """WITH f AS (SELECT doc_id AS source_ref, CASE WHEN doc_id % 11 = 0 THEN 'blocked' WHEN doc_id % 5 = 0 OR text IS NULL THEN 'missing' WHEN doc_id % 7 = 0 THEN 'digest' END AS fault FROM documents) SELECT * FROM f WHERE fault IS NOT NULL""",
-    "scan_counts": f"""WITH {_KINDS} SELECT CASE WHEN thread % 4 = 1 THEN 'time' WHEN thread % 9 = 2 THEN 'approval-or-internal' WHEN thread % 6 = 0 THEN 'without-user-message' WHEN kind IN ('projectless', 'ambiguous', 'unmatched') THEN kind
- WHEN kind = 'inferred' AND thread % 2 = 0 THEN 'without-project-user-message' ELSE 'candidate' END AS reason, count(*) AS threads FROM k GROUP BY 1""",
+    "scan_counts": f"""WITH {SCANNED} SELECT count(*) AS files, count(*) FILTER (reason IS NULL AND thread % 8 <> 2) AS eligible, count(*) FILTER (reason IS NULL AND thread % 8 = 2) AS unchanged, count(*) FILTER (reason IS NULL AND thread % 8 = 3) AS stale_generator,
+ count(*) FILTER (reason IS NOT NULL) AS ignored, count(*) FILTER (reason = 'without-event-time') AS without_event_time, count(*) FILTER (reason = 'approval-or-internal') AS approval_or_internal, count(*) FILTER (reason = 'without-user-message') AS without_user_message,
+ count(*) FILTER (kind = 'explicit' AND coalesce(reason IN ('not-selected', 'without-project-user-message'), true)) AS assigned, count(*) FILTER (reason = 'ambiguous-project') AS ambiguous, count(*) FILTER (reason = 'projectless') AS projectless,
+ count(*) FILTER (reason IN ('unmatched-project', 'assigned-to-other-project')) AS unmatched FROM s""",
     "registry_refresh": """WITH n AS (SELECT n_nationkey::INTEGER AS k, n_name, '/work/' || lower(n_name) AS root, n_nationkey % 5 <> 0 AS r, n_nationkey % 4 <> 0 AS p FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer) WHERE n_nationkey % 20 <> 0)
 SELECT k AS project, CASE WHEN p THEN n_name ELSE 'old ' || n_name END AS name, CASE WHEN p AND k % 2 = 1 THEN '/new' ELSE root END AS roots, CASE WHEN NOT r THEN '' WHEN p AND k % 2 = 0 THEN '/was/' ELSE upper(root) || '|/was/' END AS aliases,
  CASE WHEN r THEN '{"note":"' || n_name || '"}' END AS extra, CASE WHEN p THEN 'bound' ELSE 'inactive' END AS status, CASE WHEN p AND NOT r THEN 'new' WHEN p THEN 'project-id' END AS method FROM n""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talespark.functions.text import WHITESPACE, let, strip
@@ -102,6 +102,38 @@ def check_registry(rows: DataFrame, versions: tuple[int, ...] = (1,)) -> DataFra
     return n.select("project", fault.alias("fault")).filter("fault IS NOT NULL")
 
 
+# Version and kind of projects in a registry file.
+REGISTRY_VERSION = 2
+REGISTRY_KIND = "codexAppLocalProject"
+
+
+def registry_rows(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, faults) of registry files (content): rows (line_no, project, name, roots,
+    record) of lines that are sound; faults (line_no, project, fault): a line that is no JSON
+    object, has no id, repeats an earlier line's id, has roots that are no list of objects,
+    or is of another version or kind. Blank lines count as lines only; null or empty files
+    have no rows. Numbers run within a file, repeats are those of all files together."""
+    raw, get = F.col("raw"), lambda k: F.get_json_object("raw", f"$.{k}")
+    lines = read_lines(captures).withColumn("project", F.coalesce(get("projectId"), F.lit("")))
+    roots = F.from_json(get("roots"), "array<struct<path string, role string, status string>>")
+    w = Window.partitionBy("project").orderBy("line_no", "raw")
+    x = lines.withColumn("_n", F.row_number().over(w)).withColumn("_roots", get("roots"))
+    listed = F.col("_roots").isNull() | F.coalesce(F.forall(F.from_json("_roots", "array<string>"), lambda r: F.json_object_keys(r).isNotNull()), F.lit(False))
+    fault = (
+        F.when(F.json_object_keys(raw).isNull(), "no-object").when(F.col("project") == "", "missing-id").when(F.col("_n") > 1, "duplicate-id").when(~listed, "roots")
+        .when(~get("schemaVersion").eqNullSafe(F.lit(str(REGISTRY_VERSION))) | ~get("identityKind").eqNullSafe(F.lit(REGISTRY_KIND)), "version")
+    )
+    x = x.withColumn("fault", fault)
+    none = F.array().cast("array<string>")
+    good = x.filter("fault IS NULL").select("line_no", "project", get("name").alias("name"), F.coalesce(F.transform(roots, lambda r: r["path"]), none).alias("roots"), raw.alias("record"))
+    return good, x.filter("fault IS NOT NULL").select("line_no", "project", "fault")
+
+
+def read_registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``registry_rows`` of a registry file."""
+    return registry_rows(spark.read.format("binaryFile").load(path).select("content"))
+
+
 def front_matter(text: Column) -> tuple[Column, Column]:
     """(map of scalar values, body) of a note. Keys are taken from unindented lines
     ``key: value`` up to the closing rule; of repeated keys the last counts; an empty
@@ -120,11 +152,16 @@ def front_matter(text: Column) -> tuple[Column, Column]:
     return meta, body
 
 
+# Lists in a note's front matter.
+NOTE_LISTS = {"thread_ids": "sourceThreadIds", "source_refs": "sourceRefs", "capture_refs": "sourceCaptureRefs", "capture_digests": "sourceCaptureSha256s"}
+
+
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, meta, body) of markdown notes."""
+    """(path, meta, body) of markdown notes, and their lists of sources."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
     meta, body = front_matter(F.col("value"))
-    return files.select(F.input_file_name().alias("path"), meta.alias("meta"), body.alias("body"))
+    lists = (front_matter_list(F.col("value"), key).alias(name) for name, key in NOTE_LISTS.items())
+    return files.select(F.input_file_name().alias("path"), meta.alias("meta"), body.alias("body"), *lists)
 
 
 def front_matter_list(text: Column, key: str) -> Column:

@@ -140,11 +140,6 @@ def test_notes(spark, tmp_path):
     assert got == {"a.md": ({"refs": "", "id": "y", "empty": ""}, "body\n---\n"), "b.md": ({}, "no rule: here\n"), "c.md": ({}, "")}
     text = spark.read.text(str(tmp_path / "n" / "a.md"), wholetext=True)
     assert text.select(logs.front_matter_list(F.col("value"), "refs")).first()[0] == ["one", "two"]
-    meta = spark.createDataFrame([("a", {"schemaVersion": "6", "id": "0" * 8 + "-0000-4000-8000-" + "0" * 12, "threadId": "t"}, "# H\n"), ("b", {}, "# H")], "k string, meta map<string,string>, body string")
-    assert rows(summaries.validate_notes(meta, ["# H"]).select("k", "fault")) == [("a", None), ("b", "version")]
-    staged = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "1"), ("c", "9")], "thread string, fingerprint string")
-    wanted = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("d", "1")], "thread string, fingerprint string")
-    assert rows(summaries.validate_staged(staged, wanted)) == [("b", "repeated"), ("c", "fingerprint"), ("d", "missing")]
 
 
 def test_files_and_sinks(spark, tmp_path):
