@@ -151,13 +151,13 @@ def staged_faults(spark, d):
 
 
 def registry_projects(spark, d):
-    """Customers as projects, one registry file for each nation."""
+    """Customers as projects, one registry file for each hundred."""
     k = F.col("c_custkey")
     path = F.concat(F.lit("/w/"), k)
     roots = F.when(k % 10 == 7, '"x"').when(k % 10 == 8, "null").otherwise(F.concat(F.lit('[{"path": "'), path, F.lit('", "status": "active"}]')))
     row = F.concat(F.lit('{"schemaVersion": '), F.when(k % 10 == 6, "1").otherwise("2"), F.lit(', "identityKind": "codexAppLocalProject", "projectId": '), F.when(k % 10 == 5, "null").otherwise(F.concat(F.lit('"p'), k, F.lit('"'))), F.lit(', "name": "'), F.col("c_name"), F.lit('", "roots": '), roots, F.lit("}"))
     row = F.when(k % 10 == 3, F.concat(row, F.lit("\n\n"), row)).when(k % 10 == 4, "[1]").when(k % 10 == 9, F.lit('{"projectId": ')).otherwise(row)
-    files = _t(spark, d, "customer").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, row.alias("r")))), lambda x: x["r"]), "\n").cast("binary").alias("content"))
+    files = _t(spark, d, "customer").groupBy(F.floor(k / 100).alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, row.alias("r")))), lambda x: x["r"]), "\n").cast("binary").alias("content"))
     good, bad = logs.registry_rows(files)
     return good.select("project", "name", F.array_join("roots", ",").alias("roots"), F.lit(None).cast("string").alias("fault")).unionByName(bad.select("project", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("roots"), "fault"))
 
