@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP11_SQL, op11_chat_formatting
 from .contamination import OP2_SQL, op2_decontamination
 from .langid import op1_language_id
 from .lm import op9_lm_score
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_lm_score": op9_lm_score,
     "op10_simhash": op10_simhash,
+    "op11_chat_formatting": op11_chat_formatting,
 }
 
-ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op3_sharding": OP3_SQL, "op6_warc": OP6_SQL}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op3_sharding": OP3_SQL, "op6_warc": OP6_SQL, "op11_chat_formatting": OP11_SQL}
