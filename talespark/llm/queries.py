@@ -11,6 +11,7 @@ from .quality import op4_quality
 from .rules import op5_quality_rules
 from .sharding import OP3_SQL, op3_sharding
 from .simhash import op10_simhash
+from .spelling import OP12_SQL, op12_spelling_variants
 from .url_filter import op7_url_filter
 from .warc import OP6_SQL, op6_warc
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_lm_score": op9_lm_score,
     "op10_simhash": op10_simhash,
     "op11_chat_formatting": op11_chat_formatting,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
-ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op3_sharding": OP3_SQL, "op6_warc": OP6_SQL, "op11_chat_formatting": OP11_SQL}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op3_sharding": OP3_SQL, "op6_warc": OP6_SQL, "op11_chat_formatting": OP11_SQL, "op12_spelling_variants": OP12_SQL}
