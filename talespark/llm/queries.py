@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP11_SQL, op11_chat_formatting
 from .contamination import OP2_SQL, op2_decontamination
+from .divergence import OP13_SQL, op13_source_divergence
 from .langid import op1_language_id
 from .lm import op9_lm_score
 from .packing import op8_packing
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_chat_formatting": op11_chat_formatting,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op3_sharding": OP3_SQL, "op6_warc": OP6_SQL, "op11_chat_formatting": OP11_SQL, "op12_spelling_variants": OP12_SQL}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op3_sharding": OP3_SQL, "op6_warc": OP6_SQL, "op11_chat_formatting": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_source_divergence": OP13_SQL}
