@@ -38,33 +38,31 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return texts.join(copies, ["lang", "digest"]).select("lang", "text", F.col("s.source").alias("sources"), F.col("s.count").alias("copies"), "docs")
 
 
-COUNTED = "lang string, term string, source string, n long, docs long"
+COUNTED = "lang string, term string, sources array<string>, n array<long>"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted counts (source set) and document frequencies (source null) of a task's texts."""
-    counts, docs, held = defaultdict(dict), defaultdict(dict), 0
+    """A term's weighted count in each source, and for the source null its document
+    frequency, over a task's texts."""
+    kept, held = defaultdict(dict), 0
 
     def rows() -> pa.RecordBatch:
-        out = [(*k, t, n, 0) for k, d in counts.items() for t, n in d.items()] + [(k, None, t, 0, n) for k, d in docs.items() for t, n in d.items()]
-        lang, source, term, n, df = zip(*out)
-        counts.clear(), docs.clear()
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(term, pa.string()), pa.array(source, pa.string()), pa.array(n, pa.int64()), pa.array(df, pa.int64())], names=["lang", "term", "source", "n", "docs"])
+        out = [(lang, t, list(c), list(c.values())) for lang, terms in kept.items() for t, c in terms.items()]
+        kept.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())))], names=["lang", "term", "sources", "n"])
 
     for b in batches:
         for lang, text, sources, copies, total in zip(*(b.column(i).to_pylist() for i in range(5))):
-            terms = Counter(TERM.findall(text.encode().lower().decode()))  # bytes: only A to Z
-            into = docs[lang]
-            held -= len(into)
-            for t in terms:
-                into[t] = into.get(t, 0) + total
-            held += len(into)
-            for source, k in zip(sources, copies):
-                into = counts[lang, source]
-                held -= len(into)
-                for t, n in terms.items():
-                    into[t] = into.get(t, 0) + n * k
-                held += len(into)
+            into = kept[lang]
+            for t, n in Counter(TERM.findall(text.encode().lower().decode())).items():  # bytes: only A to Z
+                c = into.get(t)
+                if c is None:
+                    c = into[t] = {None: 0}
+                held -= len(c)
+                c[None] += total
+                for source, k in zip(sources, copies):
+                    c[source] = c.get(source, 0) + n * k
+                held += len(c)
             if held > HELD:
                 yield rows()
                 held = 0
@@ -76,9 +74,10 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term, n, s): terms in at least ``min_docs`` documents of the language, with
     their count there and, in ``s``, (source, n) for each source that holds them."""
     parts = distinct_texts(docs).mapInArrow(_count, COUNTED).repartition("lang", "term")
-    sums = parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    held = F.collect_list(F.when(F.col("source").isNotNull(), F.struct("source", "n")))
-    out = sums.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), held.alias("s"))
+    parts = parts.select("lang", "term", F.explode(F.arrays_zip("sources", "n")).alias("s")).select("lang", "term", F.col("s.sources").alias("source"), F.col("s.n").alias("n"))
+    held = F.col("source").isNotNull()
+    out = parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n")).groupBy("lang", "term")
+    out = out.agg(F.sum(F.when(held, F.col("n"))).alias("n"), F.sum(F.when(~held, F.col("n"))).alias("docs"), F.collect_list(F.when(held, F.struct("source", "n"))).alias("s"))
     return out.filter(F.col("docs") >= min_docs).select("lang", "term", "n", "s")
 
 
