@@ -23,7 +23,7 @@ from .common import materialize, pick, read
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 MIN_DOCS, TOP_TERMS = 3, 200
 #: Entries that a task holds before it emits them; sums do not depend on it.
-HELD = 400_000
+HELD = 800_000
 GROUP = ["lang", "source"]
 
 
@@ -44,25 +44,29 @@ COUNTED = "lang string, term string, sources array<string>, n array<long>"
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A term's weighted count in each source, and for the source null its document
     frequency, over a task's texts."""
-    kept, held = defaultdict(dict), 0
+    counts, docs, held = defaultdict(dict), defaultdict(dict), 0
 
     def rows() -> pa.RecordBatch:
-        out = [(lang, t, list(c), list(c.values())) for lang, terms in kept.items() for t, c in terms.items()]
-        kept.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())))], names=["lang", "term", "sources", "n"])
+        out = {(lang, t): ([None], [n]) for lang, d in docs.items() for t, n in d.items()}
+        docs.clear()
+        for (lang, source), d in counts.items():
+            for t, n in d.items():
+                at = out[lang, t]
+                at[0].append(source)
+                at[1].append(n)
+        counts.clear()
+        lang, term, sources, n = (*zip(*out), *zip(*out.values()))
+        kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((lang, term, sources, n), kinds)], names=["lang", "term", "sources", "n"])
 
     for b in batches:
         for lang, text, sources, copies, total in zip(*(b.column(i).to_pylist() for i in range(5))):
-            into = kept[lang]
-            for t, n in Counter(TERM.findall(text.encode().lower().decode())).items():  # bytes: only A to Z
-                c = into.get(t)
-                if c is None:
-                    c = into[t] = {None: 0}
-                held -= len(c)
-                c[None] += total
-                for source, k in zip(sources, copies):
-                    c[source] = c.get(source, 0) + n * k
-                held += len(c)
+            terms = Counter(TERM.findall(text.encode().lower().decode()))  # bytes: only A to Z
+            for into, once, k in ((docs[lang], True, total), *((counts[lang, s], False, k) for s, k in zip(sources, copies))):
+                held -= len(into)
+                for t, n in terms.items():
+                    into[t] = into.get(t, 0) + (k if once else n * k)
+                held += len(into)
             if held > HELD:
                 yield rows()
                 held = 0
