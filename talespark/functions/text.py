@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from talespark.functions import times
+from talespark.functions.basic import let  # noqa: F401
+from talespark.functions.times import epoch_of
+
 # The white space characters that text is trimmed of and split at.
 WHITESPACE = r"[\u0009-\u000D\u001C-\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
@@ -106,16 +108,9 @@ def clean_user_text(c: Column) -> Column:
     return strip(whole)
 
 
-def epoch_of(c: Column) -> Column:
-    """Seconds of a time that names its zone; null for other texts."""
-    return F.when(c.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.unix_micros(F.try_to_timestamp(c)) / 1_000_000)
-
-
 def event_epoch(c: Column) -> Column:
-    """Seconds of an ISO 8601 time or date; without a zone it is read in the session's
-    zone (``spark.sql.session.timeZone``). Null for null and for other texts."""
-    naive = c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?)?$")
-    return F.coalesce(epoch_of(c), F.when(naive, F.unix_micros(F.try_to_timestamp(F.replace(c, F.lit(","), F.lit(".")))) / 1_000_000))
+    """:func:`times.event_epoch` of the text without white space at its ends."""
+    return times.event_epoch(strip(c))
 
 
 def time_key(c: Column) -> Column:
@@ -134,8 +129,3 @@ def local_time(c: Column, pattern: str, zone_hours: int = 9) -> Column:
     if pattern == "day":
         return day.cast("string")
     return F.when(s.isNotNull(), F.concat_ws(":", part(F.floor(s / 3600)), part(F.pmod(F.floor(s / 60), F.lit(60))), part(F.pmod(s, F.lit(60)))))
-
-
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with the value computed once however often f names it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
