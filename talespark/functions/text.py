@@ -129,3 +129,9 @@ def local_time(c: Column, pattern: str, zone_hours: int = 9) -> Column:
     if pattern == "day":
         return day.cast("string")
     return F.when(s.isNotNull(), F.concat_ws(":", part(F.floor(s / 3600)), part(F.pmod(F.floor(s / 60), F.lit(60))), part(F.pmod(s, F.lit(60)))))
+
+
+def is_uuid(c: Column) -> Column:
+    """32 hexadecimal digits, with or without hyphens, braces and a urn prefix."""
+    bare = F.regexp_replace(F.replace(F.replace(c, F.lit("urn:")), F.lit("uuid:")), r"^[{}]+|[{}]+$", "")
+    return F.replace(bare, F.lit("-")).rlike("^[0-9a-fA-F]{32}$")

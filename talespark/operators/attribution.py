@@ -66,9 +66,8 @@ def last_served(candidates: DataFrame, n: int) -> DataFrame:
 
 def apply_limit(plan: DataFrame, n: int, order: list[str], work: str = "generate") -> DataFrame:
     """``plan`` in which all but the first ``n`` rows of status ``work``, in the given order
-    over all sources, are deferred for the limit. ``n`` is the caller's budget, so its keys
-    are few; ``order`` must tell the rows apart."""
+    over all sources, are deferred for the limit. ``order`` must tell the rows apart."""
     first = plan.filter(F.col("status") == work).orderBy(*order).limit(n).select(*order, F.lit(True).alias("_first"))
-    x = plan.join(F.broadcast(first), order, "left")
+    x = plan.join(first, order, "left")
     rest = (F.col("status") == work) & F.col("_first").isNull()
     return x.withColumn("reason", F.when(rest, "limit").otherwise(F.col("reason"))).withColumn("status", F.when(rest, "deferred").otherwise(F.col("status"))).drop("_first")

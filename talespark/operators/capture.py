@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,15 +86,43 @@ def collapse_exact(captures: DataFrame) -> DataFrame:
     return captures.groupBy("thread", "sha256").agg(F.min("source_ref").alias("source_ref"))
 
 
+def _prefix_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each content, the digests of its first bytes at every length in ``cuts`` that is
+    shorter: one pass over the content, whatever the number of lengths."""
+    for b in batches:
+        out = []
+        for thread, cuts, content in zip(b.column("thread"), b.column("cuts"), b.column("content")):
+            data, digest, at = memoryview(content.as_buffer()), hashlib.sha256(), 0
+            for cut in sorted(cuts.as_py()):
+                if cut >= len(data):
+                    break
+                digest.update(data[at:cut])
+                at = cut
+                out.append((thread, cut, digest.copy().hexdigest()))
+        thread, size, sha = zip(*out) if out else ((), (), ())
+        kind = b.schema.field("thread").type
+        yield pa.RecordBatch.from_arrays([pa.array([t.as_py() for t in thread], kind), pa.array(size, pa.int64()), pa.array(sha, pa.string())], names=["thread", "size", "sha256"])
+
+
+def prefix_versions(captures: DataFrame) -> DataFrame:
+    """(thread, sha256) of versions whose bytes begin a longer version of the thread.
+
+    A thread's lengths, and the digests of every version's first bytes at these, are compared
+    by equality; contents are read, but neither sorted nor compared, and leave their tasks
+    only where the table of lengths is too large for Spark to broadcast. Null contents begin
+    none; an empty content begins every other one.
+    """
+    sized = captures.filter("content IS NOT NULL").select("thread", "sha256", F.octet_length("content").cast("long").alias("size"))
+    versions = sized.groupBy("thread", "sha256").agg(F.first("size").alias("size"))
+    cuts = versions.groupBy("thread").agg(F.collect_set("size").alias("cuts")).filter(F.size("cuts") > 1)
+    kind = dict(captures.dtypes)["thread"]
+    begun = captures.filter("content IS NOT NULL").select("thread", "content").join(cuts, "thread").mapInArrow(_prefix_digests, f"thread {kind}, size long, sha256 string")
+    return versions.join(begun, ["thread", "size", "sha256"], "left_semi").select("thread", "sha256")
+
+
 def collapse_prefixes(captures: DataFrame) -> DataFrame:
-    """Drop versions whose bytes begin another version of the thread. In byte order the
-    extensions of a content follow it, so its successor alone decides. Only threads
-    with several digests need their contents compared."""
-    many = captures.groupBy("thread").agg(F.countDistinct("sha256").alias("n")).filter("n > 1")
-    w = Window.partitionBy("thread").orderBy("content")
-    ordered = captures.join(many.select("thread"), "thread", "left_semi").withColumn("_next", F.lead("content").over(w))
-    kept = ordered.filter(F.col("_next").isNull() | ~F.startswith("_next", "content")).drop("_next")
-    return kept.unionByName(captures.join(many.select("thread"), "thread", "left_anti"))
+    """Drop versions whose bytes begin a longer version of the thread."""
+    return captures.join(prefix_versions(captures), ["thread", "sha256"], "left_anti").select(*captures.columns)
 
 
 def set_digest(digests: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talespark.functions.text import epoch_of, normalize_path, normalize_text, time_key
+from talespark.functions.text import epoch_of, normalize_path, normalize_repo_url, normalize_text, time_key
 
 BRANCH_DIGITS = 16
 
@@ -56,41 +56,73 @@ def json_string(c: Column) -> Column:
     return F.substring(quoted, F.lit(1), F.length(quoted) - 1)
 
 
-def event_json(branched: bool = False) -> Column:
-    """An event's normalised JSON with keys in order, for digests."""
-    parts = {"actor": F.col("actor"), "cwd": normalize_path(F.col("cwd")), "id": F.col("local_id"), "kind": F.col("kind"), "name": F.col("name"), "text": normalize_text(F.col("text")), "timestamp": F.col("timestamp"), "turnId": F.col("turn_id")}
-    if branched:
-        parts = {"actor": parts.pop("actor"), "branchId": F.col("branch_id")} | parts
-    pairs = [F.concat(F.lit(f'"{k}":'), json_string(F.coalesce(v, F.lit("")))) for k, v in parts.items()]
-    return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
+def _object(parts: dict[str, Column]) -> Column:
+    """A JSON object of texts; null texts are empty, a null of another kind leaves its key out."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), v) for k, v in parts.items())), F.lit("}"))
 
 
-def fingerprint_events(events: DataFrame, source_ref: Column, branched: bool = False) -> DataFrame:
-    """(thread, fingerprint): SHA-256 of the ordered events. Sorted rows are hashed as they
-    stream through a task, so a thread of any length needs one batch of memory."""
+def _text(c: Column) -> Column:
+    return json_string(F.coalesce(c, F.lit("")))
+
+
+def event_json(branches: bool = False) -> Column:
+    """An event's normalised JSON with keys in order, for digests. With ``branches``, events
+    that have a branch_id carry it, row by row."""
+    parts = {"actor": _text(F.col("actor"))}
+    if branches:
+        parts["branchId"] = F.when(F.coalesce("branch_id", F.lit("")) != "", _text(F.col("branch_id")))
+    rest = {"cwd": normalize_path(F.col("cwd")), "id": F.col("local_id"), "kind": F.col("kind"), "name": F.col("name"), "text": normalize_text(F.col("text")), "timestamp": F.col("timestamp"), "turnId": F.col("turn_id")}
+    return _object(parts | {k: _text(v) for k, v in rest.items()})
+
+
+def _digests(rows: DataFrame) -> DataFrame:
+    """(thread, fingerprint): SHA-256 of ``head``, a thread's ``j`` in order of ``ord`` with
+    commas between, and ``tail``; a null ``j`` is no item. Sorted rows are hashed as they stream
+    through a task, so a thread of any length needs one batch of memory."""
     import hashlib
     from collections.abc import Iterator
 
     import pandas as pd
 
-    rows = events.select("thread", "ord", json_string(source_ref).alias("ref"), json_string(F.col("thread")).alias("id"), event_json(branched).alias("j"))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, digest, tail = None, None, ""
+        now, digest, tail, comma = None, None, "", False
         for pdf in batches:
             done = []
-            for thread, ref, name, j in zip(pdf["thread"], pdf["ref"], pdf["id"], pdf["j"]):
+            for thread, head, j, end in zip(pdf["thread"], pdf["head"], pdf["j"], pdf["tail"]):
                 if digest is None or thread != now:
                     if digest is not None:
                         digest.update(tail.encode())
                         done.append((now, digest.hexdigest()))
-                    now, digest, tail = thread, hashlib.sha256(b'{"events":['), f'],"id":{name},"sourceRef":{ref}}}'
-                    digest.update(j.encode())
-                else:
-                    digest.update(b"," + j.encode())
+                    now, digest, tail, comma = thread, hashlib.sha256(head.encode()), end, False
+                if isinstance(j, str):
+                    digest.update(b"," * comma + j.encode())
+                    comma = True
             yield pd.DataFrame(done, columns=["thread", "fingerprint"])
         if digest is not None:
             digest.update(tail.encode())
             yield pd.DataFrame([(now, digest.hexdigest())], columns=["thread", "fingerprint"])
 
     return rows.repartition("thread").sortWithinPartitions("thread", "ord").mapInPandas(run, "thread string, fingerprint string")
+
+
+def fingerprint_events(events: DataFrame, source_ref: Column) -> DataFrame:
+    """(thread, fingerprint): SHA-256 of a thread's ordered events. Events with a branch_id,
+    where there is such a column, carry it. Null texts are empty; ``ord`` tells events apart."""
+    tail = F.concat(F.lit('],"id":'), _text(F.col("thread")), F.lit(',"sourceRef":'), _text(source_ref), F.lit("}"))
+    return _digests(events.select("thread", "ord", F.lit('{"events":[').alias("head"), event_json("branch_id" in events.columns).alias("j"), tail.alias("tail")))
+
+
+def fingerprint_threads(threads: DataFrame, messages: DataFrame) -> DataFrame:
+    """(thread, fingerprint): SHA-256 of a thread's header and ordered messages. Columns:
+    threads thread, started_at, repository_url, source_ref, cwd, one row each; messages
+    thread, ord, role, text, turn_id, timestamp, cwd (empty: the thread's). A thread
+    without messages has a fingerprint too; messages of no thread have none."""
+    t = threads.select("thread", "started_at", "repository_url", "source_ref", F.col("cwd").alias("thread_cwd"))
+    x = t.join(messages.select("thread", "ord", "role", "text", "turn_id", "timestamp", "cwd"), "thread", "left")
+    cwd = normalize_path(F.coalesce(F.nullif("cwd", F.lit("")), "thread_cwd"))
+    parts = {"cwd": cwd, "role": F.col("role"), "text": normalize_text(F.col("text")), "timestamp": F.col("timestamp"), "turnId": F.col("turn_id")}
+    j = F.when(F.col("ord").isNotNull(), _object({k: _text(v) for k, v in parts.items()}))
+    head = F.concat(F.lit('{"id":'), _text(F.col("thread")), F.lit(',"messages":['))
+    tail = {"repositoryUrl": normalize_repo_url(F.col("repository_url")), "sourceRef": F.col("source_ref"), "timestamp": F.col("started_at")}
+    tail = F.concat(F.lit("],"), F.substring(_object({k: _text(v) for k, v in tail.items()}), 2, 2**31 - 1))
+    return _digests(x.select("thread", "ord", head.alias("head"), j.alias("j"), tail.alias("tail")))

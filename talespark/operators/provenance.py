@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talespark.functions.text import is_uuid
+
 
 def relations(used: DataFrame, generated: DataFrame) -> DataFrame:
     """(activity, src, dst): every generated entity derives from every used one of its
@@ -134,7 +136,7 @@ def validate_index(artifacts: DataFrame, activities: DataFrame, files: DataFrame
     wrong = ~F.col("schema_version").eqNullSafe(F.lit(version))
     changed = (F.col("status") == "current") & ~F.col("now").eqNullSafe(F.col("sha256"))
     a = artifacts.join(f, "ref", "left").select("id", F.when(wrong, "schema-version").when(changed, "artifact-changed").alias("fault"))
-    uuid = lambda c: F.coalesce(F.col(c).rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), F.lit(False))
+    uuid = lambda c: F.coalesce(is_uuid(F.col(c)), F.lit(False))
     b = activities.select("id", F.when(wrong, "schema-version").when(~(uuid("id") & uuid("run_id")), "identity").alias("fault"))
     return a.unionByName(b).filter("fault IS NOT NULL")
 
@@ -146,26 +148,37 @@ def index_counts(artifacts: DataFrame, activities: DataFrame, entities: DataFram
     return keyed[0].join(keyed[1], "_k").join(keyed[2], "_k").drop("_k")
 
 
-def validate_entities(entities: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """(id, fault) of entities whose digest, version or snapshot is wrong, and of ids that
-    repeat. Snapshots (snapshot_ref, sha256, byte_count) are joined by name, once each."""
+def validate_entities(entities: DataFrame, snapshots: DataFrame, schema_version: int | None = None) -> DataFrame:
+    """(id, fault) of entities, in an index or an activity, by the first rule that they break:
+    another ``schema_version`` (where one is asked for), an empty id, a wrong digest, version or
+    snapshot. Snapshots (snapshot_ref, sha256, byte_count) are joined by name, once each.
+    Entities may repeat; only an index's artifacts must not (:func:`repeated_artifacts`)."""
     s = snapshots.select("snapshot_ref", F.col("sha256").alias("s_sha"), F.col("byte_count").alias("s_bytes"))
+    other = F.lit(False) if schema_version is None else ~F.col("schema_version").eqNullSafe(F.lit(schema_version))
     fault = (
-        F.when(~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), "digest").when(~F.col("version").eqNullSafe(F.concat(F.lit("sha256:"), "sha256")), "version")
+        F.when(other, "schema-version").when(F.coalesce(F.col("id").cast("string"), F.lit("")) == "", "identity")
+        .when(~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), "digest").when(~F.col("version").eqNullSafe(F.concat(F.lit("sha256:"), "sha256")), "version")
         .when(F.col("s_sha").isNull(), "snapshot-missing").when((F.col("s_sha") != F.col("sha256")) | (F.col("s_bytes") != F.col("byte_count")), "snapshot-corrupt")
     )
-    rows = entities.join(s, "snapshot_ref", "left").select("id", fault.alias("fault")).filter("fault IS NOT NULL")
-    again = entities.groupBy("id").count().filter("count > 1").select("id", F.lit("duplicate-id").alias("fault"))
-    return rows.unionByName(again)
+    return entities.join(s, "snapshot_ref", "left").select("id", fault.alias("fault")).filter("fault IS NOT NULL")
+
+
+def repeated_artifacts(artifacts: DataFrame) -> DataFrame:
+    """(id, fault) of ids that several rows of an index have."""
+    return artifacts.groupBy("id").count().filter("count > 1").select("id", F.lit("duplicate-id").alias("fault"))
 
 
 def validate_relations(edges: DataFrame, used: DataFrame, generated: DataFrame) -> DataFrame:
     """(activity, src, dst, fault) of edges (activity, src, dst, type) whose type or ends
-    are not those of their activity."""
-    u = used.select("activity", F.col("entity").alias("src"), F.lit(True).alias("u")).distinct()
-    g = generated.select("activity", F.col("entity").alias("dst"), F.lit(True).alias("g")).distinct()
+    are not those of their activity. Where edges have src_version and dst_version, and the
+    entities a version, these must agree too. Null versions agree with none."""
+    ends = {"src": ["src"], "dst": ["dst"]}
+    if "src_version" in edges.columns:
+        ends = {"src": ["src", "src_version"], "dst": ["dst", "dst_version"]}
+    end = lambda table, name, mark: table.select("activity", *(F.col(c).alias(a) for c, a in zip(("entity", "version"), ends[name])), F.lit(True).alias(mark)).distinct()
+    u, g = end(used, "src", "u"), end(generated, "dst", "g")
     fault = F.when(F.col("type") != "derivedFrom", "type").when(F.col("g").isNull(), "unknown-generated").when(F.col("u").isNull(), "unknown-used")
-    return edges.join(u, ["activity", "src"], "left").join(g, ["activity", "dst"], "left").select("activity", "src", "dst", fault.alias("fault")).filter("fault IS NOT NULL")
+    return edges.join(u, ["activity", *ends["src"]], "left").join(g, ["activity", *ends["dst"]], "left").select("activity", *ends["src"], *ends["dst"], fault.alias("fault")).filter("fault IS NOT NULL")
 
 
 def relocate_store(artifacts: DataFrame, activities: DataFrame, entities: DataFrame, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talespark.functions.text import epoch_of, local_time, slugify, strip
+from talespark.functions.text import epoch_of, is_uuid, local_time, slugify, strip
 from talespark.operators.capture import set_digest
 
 # Where text is cut into lines, what a literal path is, quoted or not, tentative wordings, the label they contradict, and supported versions of artefacts.
@@ -110,7 +110,8 @@ def _ends(items: DataFrame, events: DataFrame) -> DataFrame:
 def validate_timeline(items: DataFrame, events: DataFrame) -> DataFrame:
     """(thread, pos, fault) of items (thread, pos, start_id, end_id, event_ids, text) that
     break a rule, and, with a null pos, of threads with a user message that no item
-    starts at. "A user event between" is a difference of running counts."""
+    starts at. Ends come first, then paths, order and ranges. "A user event between" is a
+    difference of running counts. Items of one position share what their paths lack."""
     x = _ends(items, events)
     s, e = F.col("start"), F.col("end")
     day = lambda c: local_time(c["timestamp"], "day")
@@ -126,10 +127,11 @@ def validate_timeline(items: DataFrame, events: DataFrame) -> DataFrame:
     quoted = items.select("thread", "pos", "event_ids", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(QUOTED), 1))).alias("lit")).filter(F.col("lit").rlike(LITERAL_PATH))
     cited = quoted.withColumn("local_id", F.explode("event_ids")).join(events.select("thread", "local_id", F.col("text").alias("source")), ["thread", "local_id"], "left")
     shown = cited.groupBy("thread", "pos", "lit").agg(F.coalesce(F.bool_or(F.contains(slash(F.col("source")), F.lower(F.replace("lit", F.lit("\\"), F.lit("/"))))), F.lit(False)).alias("ok"))
-    paths = shown.filter("NOT ok").select("thread", "pos", F.lit("path-not-in-source").alias("fault")).distinct()
+    first = bad.filter(F.col("fault").isin("unknown-endpoint", "endpoint-not-cited"))
+    paths = shown.filter("NOT ok").select("thread", "pos", F.lit("path-not-in-source").alias("fault")).distinct().join(first, ["thread", "pos"], "left_anti")
     left = events.filter("kind = 'user_message'").join(items.select("thread", F.col("start_id").alias("local_id")), ["thread", "local_id"], "left_anti")
     missing = left.select("thread", F.lit(None).cast(dict(items.dtypes)["pos"]).alias("pos"), F.lit("user-message-missing").alias("fault")).distinct()
-    return bad.unionByName(paths.join(bad, ["thread", "pos"], "left_anti")).unionByName(missing)
+    return bad.join(paths, ["thread", "pos"], "left_anti").unionByName(paths).unionByName(missing)
 
 
 def render_timeline(items: DataFrame, events: DataFrame, notice: str) -> DataFrame:
@@ -194,12 +196,6 @@ def _meta(key: str) -> Column:
     return F.coalesce(F.col("meta")[key], F.lit(""))
 
 
-def _is_uuid(c: Column) -> Column:
-    """32 hexadecimal digits, with or without hyphens, braces and a urn prefix."""
-    bare = F.regexp_replace(F.replace(F.replace(c, F.lit("urn:")), F.lit("uuid:")), r"^[{}]+|[{}]+$", "")
-    return F.replace(bare, F.lit("-")).rlike("^[0-9a-fA-F]{32}$")
-
-
 def _any(c: Column, rule: Any) -> Column:
     """Whether the rule holds for an item; a null item counts as empty."""
     return F.exists(c, lambda x: rule(F.coalesce(x, F.lit(""))))
@@ -233,7 +229,7 @@ def validate_notes(notes: DataFrame) -> DataFrame:
     )
     fault = fault.when((n >= 4) & ~_meta("id").rlike(UUID4), "id").when((n >= 4) & one, "capture").when(several & unlike, "captures")
     for kind in ("prompt", "template"):
-        fault = fault.when(~_is_uuid(_meta(f"{kind}Id")), f"{kind}Id").when(_meta(f"{kind}Version") == "", f"{kind}Version")
+        fault = fault.when(~is_uuid(_meta(f"{kind}Id")), f"{kind}Id").when(_meta(f"{kind}Version") == "", f"{kind}Version")
     fault = fault.when(~_meta("outputSchemaSha256").rlike(digest), "outputSchemaSha256").when((F.size("_thread_ids") != 1) | (F.size("_source_refs") != 1), "source").when(_meta("sourceFingerprint") == "", "sourceFingerprint")
     for h in HEADINGS:
         since, old = OLD_HEADINGS.get(h, (0, h))

@@ -247,7 +247,8 @@ def entity_faults(spark, d):
     s = e.groupBy("snapshot_ref").agg(F.min("sha256").alias("sha256"), F.min("byte_count").alias("byte_count"), F.min("id").alias("k"))
     kept = s.filter("k % 31 <> 3").withColumn("byte_count", F.when(F.col("k") % 37 == 5, F.col("byte_count") + 1).otherwise(F.col("byte_count")))
     bad = e.withColumn("version", F.when(F.col("id") % 41 == 1, "sha256:0").otherwise(F.col("version")))
-    return provenance.validate_entities(bad.unionByName(e.filter("id % 43 = 2")), kept)
+    found = bad.unionByName(e.filter("id % 43 = 2"))
+    return provenance.validate_entities(found, kept).unionByName(provenance.repeated_artifacts(found))
 
 
 def relation_faults(spark, d):
@@ -317,7 +318,7 @@ SELECT thread, doc_id, (row_number() OVER (PARTITION BY thread ORDER BY u, tm, s
     "input_metrics": f"""WITH {_EV}, r AS (SELECT *, {_REDACT} AS x FROM v) SELECT thread, count(*) FILTER (length('{{"id": "' || id || '", "kind": "' || kind || '", "actor": "' || actor || '", "name": "", "text": ' || to_json(x)::VARCHAR || ', "timestamp": "' || tm || '", "turnId": "t' || n || '"}}') + 2 > {BUDGET}) AS split_events,
  sum(length(x))::BIGINT AS characters, sum(length(x))::BIGINT AS prepared_characters FROM r GROUP BY thread""",
     "timeline_faults": f"""WITH {_EV}, i AS (SELECT thread, n, CASE WHEN n % 5 = 0 THEN n + 1 ELSE n END AS z FROM v WHERE conv_id % 4 <> 3 OR n <> 2),
-f AS (SELECT i.thread, i.n::INTEGER AS pos, CASE WHEN b.n IS NULL THEN 'unknown-endpoint' WHEN i.n <> i.z THEN 'range' WHEN i.n % 6 = 0 THEN 'path-not-in-source' END AS fault FROM i LEFT JOIN v b ON b.thread = i.thread AND b.n = i.z)
+f AS (SELECT i.thread, i.n::INTEGER AS pos, CASE WHEN b.n IS NULL THEN 'unknown-endpoint' WHEN i.n % 6 = 0 THEN 'path-not-in-source' WHEN i.n <> i.z THEN 'range' END AS fault FROM i LEFT JOIN v b ON b.thread = i.thread AND b.n = i.z)
 SELECT * FROM f WHERE fault IS NOT NULL UNION ALL SELECT DISTINCT thread, NULL::INTEGER, 'user-message-missing' FROM v WHERE conv_id % 4 = 3 AND n = 2 AND kind = 'user_message'""",
     "timelines": f"""WITH {_EV}, i AS (SELECT *, {_LINES} AS x, strptime(tm, '%Y-%m-%dT%H:%M:%SZ') + INTERVAL 9 HOUR AS j FROM v WHERE conv_id % 4 <> 3 OR n <> 2), p AS (SELECT *, lag(j::DATE) OVER (PARTITION BY thread ORDER BY n) AS before FROM i),
 b AS (SELECT thread, n, CASE WHEN before IS NOT DISTINCT FROM j::DATE THEN '' ELSE '### ' || j::DATE || chr(10) || chr(10) END || replace('- **' || strftime(j, '%H:%M:%S') || '**|  - Actor: ' || CASE actor WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'AI' ELSE 'Tool' END

@@ -17,6 +17,13 @@ MANIFEST_SCHEMA = "schemaVersion int, sourceProvider string, sourceId string, so
 STATE_SCHEMA = "projects map<string, struct<id: string, name: string, roots: array<string>>>, assignments map<string, string>, projectless array<string>"
 
 
+def below(path: Column, root: str) -> Column:
+    """What follows ``root`` and a slash in a file's path; null if the file lies elsewhere."""
+    tail = re.sub(r"^[a-z]+:/*", "/", root.rstrip("/")) + "/"
+    at = F.instr(path, F.lit(tail))
+    return F.when(at > 0, F.substring(path, at + len(tail), F.lit(2**31 - 1)))
+
+
 def read_captures(spark: SparkSession, source_id: str, root: str, archived: bool = False) -> DataFrame:
     """(source_id, source_ref, content) of all .jsonl files below ``sessions`` and, if
     asked for, ``archived_sessions``. A file is one row, so below 2 GB."""
@@ -24,9 +31,7 @@ def read_captures(spark: SparkSession, source_id: str, root: str, archived: bool
     for folder in ("sessions", "archived_sessions")[: 2 if archived else 1]:
         base = f"{root.rstrip('/')}/{folder}"
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(base)
-        tail = re.sub(r"^[a-z]+:/*", "/", base)
-        ref = F.concat(F.lit(folder), F.expr(f"substring(path, instr(path, '{tail}/') + {len(tail)})"))
-        rows = files.select(F.lit(source_id).alias("source_id"), ref.alias("source_ref"), "content")
+        rows = files.select(F.lit(source_id).alias("source_id"), F.concat(F.lit(f"{folder}/"), below(F.col("path"), base)).alias("source_ref"), "content")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -95,13 +100,6 @@ def app_state(documents: DataFrame, col: str = "value") -> tuple[DataFrame, Data
     return p.withColumn("fault", fault), s.select(F.explode("s.assignments").alias("thread", "project")), s.select(F.explode("s.projectless").alias("thread"))
 
 
-def check_registry(rows: DataFrame, versions: tuple[int, ...] = (1,)) -> DataFrame:
-    """(project, fault) of registry rows that lack an id, repeat one or are of another version."""
-    n = rows.groupBy("project").agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.col("version").isin(*versions), F.lit(False))).alias("other"))
-    fault = F.when(F.coalesce("project", F.lit("")) == "", "missing-id").when(F.col("n") > 1, "duplicate-id").when(F.col("other") > 0, "version")
-    return n.select("project", fault.alias("fault")).filter("fault IS NOT NULL")
-
-
 # Version and kind of projects in a registry file.
 REGISTRY_VERSION = 2
 REGISTRY_KIND = "codexAppLocalProject"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from talespark.functions import text as T
 from talespark.operators import histories, inputs, planning, projects, provenance, records, summaries
 from talespark.sources import logs, sinks
-from talespark.streaming import jobs
+from talespark.streaming import jobs, snapshots
 
 
 def rows(df):
@@ -157,8 +157,6 @@ def test_files_and_sinks(spark, tmp_path):
     state = spark.createDataFrame([(json.dumps({"projects": {"p": {"id": "p", "name": " ", "roots": ["/r"]}, "q": {"id": "q", "name": "n", "roots": ["/r"]}}, "assignments": {"t": "p"}, "projectless": ["u"]}),)], "value string")
     p, a, u = logs.app_state(state)
     assert rows(p.select("project", "fault")) == [("p", "name"), ("q", None)] and rows(a) == [("t", "p")] and rows(u) == [("u",)]
-    reg = spark.createDataFrame([("a", 1), ("b", 1), ("b", 1), ("c", 7), ("", 1)], "project string, version int")
-    assert rows(logs.check_registry(reg)) == [("", "missing-id"), ("b", "duplicate-id"), ("c", "version")]
     e = spark.createDataFrame([("s", "t", "d", "L1", "1"), ("s", "t", "d", "L1", "1"), ("s", "t", "d", "L2", "2")], "source_id string, thread_key string, canonical_sha256 string, local_id string, event_sha256 string")
     at = str(tmp_path / "events")
     sinks.write_events(e, at)
@@ -203,7 +201,7 @@ def test_streams(spark, tmp_path):
     for n in (1, 2):
         (tmp_path / "l" / "sessions" / f"{n}.jsonl").write_text(f"{n}")
         jobs.stream_captures(spark, str(tmp_path / "l"), f"{out}/man", f"{out}/c-man", "s").awaitTermination()
-    assert rows(spark.read.parquet(f"{out}/man").select("source_ref", "line_no")) == [("sessions/1.jsonl", 0), ("sessions/2.jsonl", 1)]
+    assert rows(snapshots.read_snapshot(spark, f"{out}/man/rows", jobs.MANIFEST).select("source_ref", "captured_in")) == [("sessions/1.jsonl", 0), ("sessions/2.jsonl", 1)]
     seen = []
     jobs.stream_plan(read(), lambda t: spark.read.parquet(src).join(t, "thread", "left_semi"), lambda df, n: seen.append(df.count()), f"{out}/c-plan").awaitTermination()
     assert set(seen) == {5}
