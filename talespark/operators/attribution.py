@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talespark.functions.text import ancestors, normalize_path
+from talespark.operators.ranks import key_sizes, ranked, turns_left, turns_served
 
 
 def within_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
@@ -48,20 +49,31 @@ def foreign_threads(notes: DataFrame, assignments: DataFrame) -> DataFrame:
     return notes.join(assignments.select("thread", F.col("project").alias("owner")), "thread").filter("project <> owner").select("thread", "project", "owner").distinct()
 
 
+ORDER = ["started_at", "thread"]
+
+
 def round_robin(candidates: DataFrame) -> DataFrame:
-    """``turn`` in which each candidate is served: one of each project at a time."""
-    return candidates.withColumn("turn", F.row_number().over(Window.partitionBy("project").orderBy("started_at", "thread")))
+    """``turn`` in which each candidate is served: one of each project at a time, in order of
+    started_at and thread (nulls first). A null project is one too."""
+    return ranked(candidates, ["project"], ORDER, "turn").withColumn("turn", F.col("turn").cast("int"))
 
 
 def first_served(candidates: DataFrame, n: int) -> DataFrame:
-    """The budget: the first n of the fair order. No project has more than n turns in it,
-    so each task keeps n rows of a project."""
-    return round_robin(candidates).filter(F.col("turn") <= n).orderBy("turn", "project").limit(n)
+    """The budget: the first n of the fair order. The projects' sizes tell the last turn
+    that it reaches; candidates of later turns are dropped before they are ordered."""
+    last = turns_served(key_sizes(candidates, "project")[1], n)
+    return round_robin(candidates).filter(F.col("turn") <= last).orderBy("turn", "project").limit(n)
 
 
 def last_served(candidates: DataFrame, n: int) -> DataFrame:
-    """The budget of a backfill: the last n of the fair order."""
-    return round_robin(candidates).orderBy(F.desc("turn"), F.desc("project")).limit(n)
+    """The budget of a backfill: the last n of the fair order. Projects that have no
+    candidate in its turns are dropped before candidates are ranked, earlier turns before
+    they are ordered."""
+    sizes, counts = key_sizes(candidates, "project")
+    first = turns_left(counts, n)
+    long = sizes.filter(F.col("n") > first).select(F.col("project").alias("_project"))
+    rest = candidates.join(long, F.col("project").eqNullSafe(F.col("_project")), "left_semi")
+    return round_robin(rest).filter(F.col("turn") > first).orderBy(F.desc("turn"), F.desc("project")).limit(n)
 
 
 def apply_limit(plan: DataFrame, n: int, order: list[str], work: str = "generate") -> DataFrame:
