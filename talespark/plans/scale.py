@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from talespark.functions import text as T
 from talespark.operators import histories, inputs, provenance, segments
-from talespark.plans.evidence import _EV, _digests, _events, _sql_stamp
+from talespark.plans.evidence import _EV, _digests, _events
 from talespark.plans.registry import _NORMAL, _SPACE
 from talespark.sources import lines
 from talespark.sources.tables import shared_dir, written
