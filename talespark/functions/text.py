@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,11 +53,36 @@ def slugify(c: Column, default: str = "session-note") -> Column:
     return F.when(slug == "", F.lit(default)).otherwise(slug)
 
 
+@functools.cache
+def _folds() -> dict[str, str]:
+    """Letters that full case folding turns into something else than their lower case, by its
+    rule, and the capital sigma, whose lower case depends on its place in a word."""
+    return {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c.casefold() != c.lower() or c == "\u03a3"}
+
+
+@functools.cache
+def _fold_class() -> str:
+    """A pattern for one of these letters, as ranges of neighbours."""
+    at = sorted(map(ord, _folds()))
+    first = [c for c in at if c - 1 not in set(at)]
+    last = [c for c in at if c + 1 not in set(at)]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(first, last)) + "]"
+
+
+def fold(c: Column) -> Column:
+    """Full case folding: like lower case, but one letter may become several (sharp s, ligatures),
+    and a final sigma is a sigma. Texts without such a letter, nearly all, are only lower-cased."""
+    table = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in _folds().items())), F.lit(","), F.lit(":"))
+    letters = F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), F.lower(x)))
+    special = c.rlike(r"[^\x00-\x7F]") & c.rlike(_fold_class())
+    return F.when(special, F.array_join(letters, "")).otherwise(F.lower(c))
+
+
 def normalize_path(c: Column) -> Column:
-    """Back slashes, no trailing one, mounted drives as drives, lower case."""
+    """Back slashes, no trailing one, mounted drives as drives, case folded."""
     p = F.regexp_replace(F.replace(c, F.lit("/"), F.lit("\\")), r"\\+$", "")
     drive = F.regexp_replace(F.regexp_replace(p, r"^\\mnt\\([A-Za-z])(\\|$)", "$1:\\\\"), r"\\+$", "")
-    return F.lower(F.when(p.rlike(r"^\\mnt\\[A-Za-z](\\|$)"), drive).otherwise(p))
+    return fold(F.when(p.rlike(r"^\\mnt\\[A-Za-z](\\|$)"), drive).otherwise(p))
 
 
 def ancestors(path: Column) -> Column:
@@ -66,7 +94,7 @@ def ancestors(path: Column) -> Column:
 def normalize_repo_url(c: Column) -> Column:
     u = F.replace(F.regexp_replace(c, f"^{WHITESPACE}+|{WHITESPACE}+$", ""), F.lit("\\"), F.lit("/"))
     u = F.regexp_replace(F.regexp_replace(u, r"^git@([^:]+):", "https://$1/"), r"\.git$", "")
-    return F.lower(F.regexp_replace(u, "/+$", ""))
+    return fold(F.regexp_replace(u, "/+$", ""))
 
 
 def normalize_git_remote(c: Column) -> Column:
@@ -74,7 +102,7 @@ def normalize_git_remote(c: Column) -> Column:
     whatever its case, behind slashes too. Null stays null."""
     u = F.regexp_replace(F.replace(strip(c), F.lit("\\"), F.lit("/")), r"\Agit@([^:]*):", "https://$1/")
     u = F.regexp_replace(F.regexp_replace(u, r"(?i)\Assh://git@", "https://"), r"/+\z", "")
-    return F.lower(F.regexp_replace(u, r"(?i)\.git\z", ""))
+    return fold(F.regexp_replace(u, r"(?i)\.git\z", ""))
 
 
 def name_uuid(name: Column, namespace: str = URL_NAMESPACE) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talespark.functions.text import clean_user_text, event_epoch, normalize_text, strip
+from talespark.functions.text import clean_user_text, event_epoch, fold, normalize_text, strip
 
 # Record and payload types.
 RECORD_TYPES = ["session_meta", "turn_context", "response_item", "event_msg", "compacted", "world_state", "token_usage_record", "message", "reasoning", "function_call", "function_call_output"]
@@ -211,7 +211,7 @@ def thread_flags(messages: DataFrame, metadata: DataFrame, key: str, review_pref
     user = F.col("role") == "user"
     review = F.coalesce(F.startswith(strip(F.col("text")), F.lit(review_prefix)), F.lit(False))
     said = messages.groupBy(key).agg(F.bool_or(user & review).alias("approval_review"), F.bool_or(user).alias("has_user_message"))
-    named = F.lower(F.coalesce(F.col("thread_source"), F.lit(""))).isin([x.lower() for x in internal_sources])
+    named = fold(F.coalesce(F.col("thread_source"), F.lit(""))).isin([x.casefold() for x in internal_sources])
     flags = metadata.groupBy(key).agg(F.bool_or(named).alias("internal_source")).join(said, key, "left")
     no = F.lit(False)
     return flags.select(key, F.coalesce("approval_review", no).alias("approval_review"), "internal_source", F.coalesce("has_user_message", no).alias("has_user_message"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talespark.functions.text import epoch_of, is_uuid, local_time, slugify, strip
+from talespark.functions.text import epoch_of, fold, is_uuid, local_time, slugify, strip
 from talespark.operators.capture import set_digest
 
 # Where text is cut into lines, what a literal path is, quoted or not, tentative wordings, the label they contradict, and supported versions of artefacts.
@@ -93,7 +93,7 @@ def validate_summary(summaries: DataFrame, allowed: DataFrame, phrases: list[str
         .when(F.size(F.array_except(cited, F.coalesce("allowed", F.array().cast("array<string>")))) > 0, "unknown-event")
     )
     for phrase in phrases or ():
-        fault = fault.when(F.lower(F.to_json(F.struct("state", "items"))).contains(phrase), "avoidable-phrase")
+        fault = fault.when(fold(F.to_json(F.struct("state", "items"))).contains(phrase), "avoidable-phrase")
     return s.select("thread", fault.alias("fault"))
 
 
@@ -123,10 +123,10 @@ def validate_timeline(items: DataFrame, events: DataFrame) -> DataFrame:
         .when((F.col("start_id") != F.col("end_id")) & (unlike | times | (s["users"] != e["users"])), "range")
     )
     bad = x.withColumn("fault", fault).filter("fault IS NOT NULL").select("thread", "pos", "fault")
-    slash = lambda c: F.lower(F.replace(F.replace(c, F.lit("\\\\"), F.lit("\\")), F.lit("\\"), F.lit("/")))
+    slash = lambda c: fold(F.replace(F.replace(c, F.lit("\\\\"), F.lit("\\")), F.lit("\\"), F.lit("/")))
     quoted = items.select("thread", "pos", "event_ids", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(QUOTED), 1))).alias("lit")).filter(F.col("lit").rlike(LITERAL_PATH))
     cited = quoted.withColumn("local_id", F.explode("event_ids")).join(events.select("thread", "local_id", F.col("text").alias("source")), ["thread", "local_id"], "left")
-    shown = cited.groupBy("thread", "pos", "lit").agg(F.coalesce(F.bool_or(F.contains(slash(F.col("source")), F.lower(F.replace("lit", F.lit("\\"), F.lit("/"))))), F.lit(False)).alias("ok"))
+    shown = cited.groupBy("thread", "pos", "lit").agg(F.coalesce(F.bool_or(F.contains(slash(F.col("source")), fold(F.replace("lit", F.lit("\\"), F.lit("/"))))), F.lit(False)).alias("ok"))
     first = bad.filter(F.col("fault").isin("unknown-endpoint", "endpoint-not-cited"))
     paths = shown.filter("NOT ok").select("thread", "pos", F.lit("path-not-in-source").alias("fault")).distinct().join(first, ["thread", "pos"], "left_anti")
     left = events.filter("kind = 'user_message'").join(items.select("thread", F.col("start_id").alias("local_id")), ["thread", "local_id"], "left_anti")

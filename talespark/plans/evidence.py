@@ -116,7 +116,7 @@ def input_metrics(spark, d):
 
 def _items(spark, d):
     e = _events(spark, d)
-    text = F.concat(F.when(F.col("ord") % 6 == 0, F.lit("see `./missing/x` ")).otherwise(""), F.substring("text", 1, 40))
+    text = F.concat(F.when(F.col("ord") % 6 == 0, F.lit("see `./missing/x` ")).otherwise(""), "text")
     end = F.when(F.col("ord") % 5 == 0, F.format_string("L%06d", F.col("ord") + 1)).otherwise(F.col("local_id"))
     return e.filter("thread % 4 <> 3 OR ord <> 2").select("thread", F.col("ord").alias("pos"), F.col("local_id").alias("start_id"), end.alias("end_id"), F.array("local_id", end).alias("event_ids"), text.alias("text"), F.lit("Note").alias("label"))
 
@@ -126,7 +126,7 @@ def timeline_faults(spark, d):
 
 
 def timelines(spark, d):
-    good = _items(spark, d).withColumn("end_id", F.col("start_id")).withColumn("text", F.coalesce(F.nullif(T.strip(F.substring("text", 1, 400)), F.lit("")), F.lit("none")))
+    good = _items(spark, d).withColumn("end_id", F.col("start_id")).withColumn("text", F.coalesce(F.nullif(T.strip(F.col("text")), F.lit("")), F.lit("none")))
     t = summaries.render_timeline(good, _events(spark, d), "Times at +09:00.")
     return t.select("thread", F.md5(F.col("timeline").cast("binary")).alias("timeline_md5"))
 
@@ -135,7 +135,7 @@ def summary_faults(spark, d):
     e = _events(spark, d)
     k = F.col("thread").cast("long")
     cite = F.when((k % 9 == 0) & (F.col("ord") == 1), "L999999").otherwise(F.col("local_id"))
-    item = F.struct(F.when((k % 8 == 0) & (F.col("ord") == 1), " ").otherwise("said").alias("text"), F.lit("Note").alias("label"), F.array(cite).alias("event_ids"), F.lit(None).cast("string").alias("start_id"), F.lit(None).cast("string").alias("end_id"))
+    item = F.struct(F.when((k % 8 == 0) & (F.col("ord") == 1), " ").otherwise(F.col("text")).alias("text"), F.lit("Note").alias("label"), F.array(cite).alias("event_ids"), F.lit(None).cast("string").alias("start_id"), F.lit(None).cast("string").alias("end_id"))
     state = F.struct(F.when(k % 2 == 0, "done").otherwise("open").alias("work_state"), F.when(k % 6 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("unresolved"), F.lit("").alias("continuation"), F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("L000001"))).alias("event_ids"))
     s = e.groupBy("thread").agg(F.collect_list(item).alias("items")).withColumn("state", state)
     return summaries.validate_summary(s, e.groupBy("thread").agg(F.collect_set("local_id").alias("event_ids")))
@@ -296,7 +296,7 @@ k AS (SELECT thread, CASE WHEN thread % 10 = 0 THEN 'projectless' WHEN assigned
 
 SCANNED = f"""{_KINDS}, s AS (SELECT thread, kind, CASE WHEN thread % 16 = 7 THEN 'without-event-time' WHEN thread % 4 = 1 THEN 'time' WHEN thread % 9 = 2 THEN 'approval-or-internal' WHEN thread % 6 = 0 THEN 'without-user-message'
  WHEN kind = 'projectless' THEN kind WHEN thread % 23 = 8 THEN 'assigned-to-other-project' WHEN kind IN ('ambiguous', 'unmatched') THEN kind || '-project' WHEN kind = 'inferred' AND thread % 2 = 0 THEN 'without-project-user-message' WHEN thread % 29 = 4 THEN 'not-selected' END AS reason FROM k)"""
-_STRIPPED = f"regexp_replace(regexp_replace(CASE WHEN n % 6 = 0 THEN 'see `./missing/x` ' ELSE '' END || substr(text, 1, 40), '^{_SPACE}', ''), '{_SPACE}$', '')"
+_STRIPPED = f"regexp_replace(regexp_replace(CASE WHEN n % 6 = 0 THEN 'see `./missing/x` ' ELSE '' END || text, '^{_SPACE}', ''), '{_SPACE}$', '')"
 _ENDS = r"\r\n|[\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 _LINES = f"regexp_replace(regexp_replace(coalesce(nullif({_STRIPPED}, ''), 'none'), '{_ENDS}', chr(10), 'g'), '\\n([^\\n])', chr(10) || '    \\1', 'g')"
 
@@ -324,7 +324,7 @@ SELECT * FROM f WHERE fault IS NOT NULL UNION ALL SELECT DISTINCT thread, NULL::
 b AS (SELECT thread, n, CASE WHEN before IS NOT DISTINCT FROM j::DATE THEN '' ELSE '### ' || j::DATE || chr(10) || chr(10) END || replace('- **' || strftime(j, '%H:%M:%S') || '**|  - Actor: ' || CASE actor WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'AI' ELSE 'Tool' END
  || '|  - Type: Note|  - Text: ', '|', chr(10)) || x || replace('|  - EventRange: ' || id || ' -> ' || id || '|  - Sources: ' || id || CASE WHEN n % 5 = 0 THEN ', L' || lpad((n + 1)::VARCHAR, 6, '0') ELSE '' END, '|', chr(10)) AS block FROM p)
 SELECT thread, md5('Times at +09:00.' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY n)) AS timeline_md5 FROM b GROUP BY thread""",
-    "summary_faults": """SELECT DISTINCT conv_id::VARCHAR AS thread, CASE WHEN conv_id % 6 = 0 THEN 'done-but-open' WHEN conv_id % 7 = 0 THEN 'state-without-source' WHEN conv_id % 8 = 0 THEN 'item-without-source' WHEN conv_id % 9 = 0 THEN 'unknown-event' END AS fault FROM conversations""",
+    "summary_faults": f"""WITH {_EV} SELECT thread, CASE WHEN conv_id % 6 = 0 THEN 'done-but-open' WHEN conv_id % 7 = 0 THEN 'state-without-source' WHEN conv_id % 8 = 0 OR bool_or({_STRIP} = '') THEN 'item-without-source' WHEN conv_id % 9 = 0 THEN 'unknown-event' END AS fault FROM v GROUP BY conv_id, thread""",
     "note_front_matter": r"""SELECT doc_id, doc_id::VARCHAR AS id, coalesce(lang, '') AS last_source, '' AS tags, 3::INTEGER AS keys, md5(regexp_replace(coalesce(text, ''), '\r\n|\r', chr(10), 'g')) AS body_md5 FROM documents""",
     "manifest_faults": """WITH f AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'schema-version' WHEN doc_id % 19 = 0 THEN 'source-id' WHEN doc_id % 11 = 0 THEN 'digest' WHEN doc_id % 23 = 0 OR n_chars IS NULL THEN 'size' WHEN doc_id % 17 = 0 THEN 'capture-ref' END AS fault FROM documents) SELECT * FROM f WHERE fault IS NOT NULL""",
     "revalidated": """SELECT source || '-' || (doc_id % 50) AS thread, bool_and(text IS NOT NULL AND doc_id % 97 <> 5 AND doc_id % 101 <> 7) AS valid FROM documents GROUP BY 1""",

@@ -129,7 +129,19 @@ def request_texts(spark, d):
     return r.groupBy("thread").agg(F.sum(F.length("request") - 12).alias("characters"), F.sum(F.regexp_count("request", F.lit('"turnId": "t[0-9]+"'))).alias("events"))
 
 
-QUERIES = {f.__name__: f for f in (file_lines, long_contexts, long_chunks, iso_times, mixed_fingerprints, message_fingerprints, activity_faults, version_faults, request_texts)}
+def folded_paths(spark, d):
+    """Paths and addresses with letters that only full case folding takes for their plain form."""
+    k = F.col("page_id") % 4
+    url = F.regexp_replace("url", "^https?://", "")
+    other = F.when(k == 0, F.replace(url, F.lit("s"), F.lit("\u017f"))).when(k == 1, F.replace(F.upper(url), F.lit("ST"), F.lit("\ufb06"))).when(k == 2, F.replace(F.upper(url), F.lit("K"), F.lit("\u212a"))).otherwise(url)
+    root, below = F.concat(F.lit("/mnt/C/STRA\u1e9eE/"), F.regexp_extract(other, "^[^/]+", 0)), F.concat(F.lit("c:\\Strasse\\"), url, F.lit("/\u039f\u0394\u039f\u03a3/"))
+    return _t(spark, d, "pages").select(
+        "page_id", T.normalize_path(F.concat(F.lit("/srv/\u039f\u0394\u039f\u03a3/"), other)).alias("path"), F.startswith(T.normalize_path(below), F.concat(T.normalize_path(root), F.lit("\\"))).alias("within"),
+        T.normalize_repo_url(F.concat(F.lit("git@Gro\u00df:"), other, F.lit(".git"))).alias("repository"), T.normalize_git_remote(F.concat(F.lit("SSH://git@Gro\u00df/"), other, F.lit(".GIT/"))).alias("remote"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (file_lines, long_contexts, long_chunks, iso_times, mixed_fingerprints, message_fingerprints, activity_faults, version_faults, request_texts, folded_paths)}
 
 _RECORDS = """x AS (SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'hot' ELSE l_returnflag END AS thread, l_orderkey * 8 + l_linenumber AS line_no, l_orderkey AS k, l_linenumber AS n, 'at ' || l_orderkey AS tm,
  CASE WHEN l_orderkey % 97 = 5 THEN 'session_meta' WHEN (l_orderkey + l_linenumber) % 11 = 3 THEN 'turn_context' ELSE 'response_item' END AS type, CASE WHEN l_orderkey % 5 < 2 THEN '/w/' || ((l_orderkey + l_linenumber) % 7) ELSE '' END AS cwd FROM lineitem),
@@ -144,6 +156,9 @@ def _times_sql() -> str:
 
 
 ORACLE_SQL = {
+    "folded_paths": r"""WITH u AS (SELECT page_id, lower(regexp_replace(url, '^https?://', '')) AS u FROM pages)
+SELECT page_id, '\srv\' || chr(959) || chr(948) || chr(959) || chr(963) || '\' || rtrim(replace(u, '/', '\'), '\') AS path, contains(u, '/') OR u <> '' AS within,
+ 'https://gross/' || rtrim(u, '/') AS repository, 'https://gross/' || u AS remote FROM u""",
     "file_lines": rf"""WITH f AS (SELECT doc_id // 1000 AS file, string_agg(coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN chr(13) ELSE '' END || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1),
 l AS (SELECT file, regexp_split_to_array(t, '\r\n|\r|\n') AS p FROM f), u AS (SELECT file, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS raw FROM l),
 s AS (SELECT file, line_no, regexp_replace(regexp_replace(raw, '^{_SPACE}', ''), '{_SPACE}$', '') AS raw FROM u) SELECT file, line_no, md5(raw) AS raw_md5 FROM s WHERE raw <> ''""",
