@@ -21,22 +21,25 @@ N_SHARDS = 8
 
 
 def shard_documents(
-    docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text", salts: int = 64, hex_digits: int = 3
+    docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text", salt_digits: int = 3, hex_digits: int = 3
 ) -> DataFrame:
     """All columns of ``docs`` plus ``shard`` (int) and ``slot`` (long).
 
     A document weighs the UTF-8 bytes of its text plus 1. Equal texts are never
     parted: a group goes to the shard in which its middle byte lies, so a shard
     differs from the equal target by at most the largest group at each end.
-    ``slot`` numbers a shard's rows from 0 in the global order (digest, salt, id).
+    ``slot`` numbers a shard's rows from 0 in the global order (digest, salt, id). The
+    salt is the first ``salt_digits`` hexadecimal digits of the MD5 of the id as text, so
+    ids of any type and step deal a group of equal texts to 4,096 cells alike.
 
     Null texts form one group and weigh 1 each; empty texts likewise. Rows with
-    equal id and text are kept, in neighbouring slots. Null ids sort first. Input
+    equal id and text are kept, in neighbouring slots, and are one cell; so are a
+    group's null ids, which come in the cell of salt 0, before its ids. Input
     columns named ``shard`` or ``slot`` are replaced. An empty table gives no rows.
     """
     text = plain_column(docs, text_col)
     size, key = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), F.coalesce(F.md5(text.cast("binary")), F.lit(""))
-    return shard_rows(docs, size, key, n_shards, id_col, salts, hex_digits)
+    return shard_rows(docs, size, key, n_shards, id_col, salt_digits, hex_digits)
 
 
 def plain_column(df: DataFrame, name: str) -> Column:
@@ -44,13 +47,14 @@ def plain_column(df: DataFrame, name: str) -> Column:
     return F.col(f"c{df.columns.index(name)}")
 
 
-def shard_rows(docs: DataFrame, size: Column, key: Column, n_shards: int = N_SHARDS, id_col: str = "doc_id", salts: int = 64, hex_digits: int = 3) -> DataFrame:
+def shard_rows(docs: DataFrame, size: Column, key: Column, n_shards: int = N_SHARDS, id_col: str = "doc_id", salt_digits: int = 3, hex_digits: int = 3) -> DataFrame:
     """:func:`shard_documents` of rows that need not hold their texts: ``size`` is a row's
     weight and ``key`` the hexadecimal digest of its text (empty: no text), both over
     :func:`plain_column`. Only ``key``, ids and the columns given are shuffled."""
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     cid = f"c{docs.columns.index(id_col)}"
-    rows = plain.select("*", size.alias("_size"), key.alias("_key"), F.pmod(F.coalesce(F.col(cid), F.lit(0)), F.lit(salts)).cast("int").alias("_salt"))
+    salt = F.conv(F.substring(F.md5(F.col(cid).cast("string").cast("binary")), 1, salt_digits), 16, 10).cast("int")
+    rows = plain.select("*", size.alias("_size"), key.alias("_key"), F.coalesce(salt, F.lit(0)).alias("_salt"))
     cells = rows.groupBy("_key", "_salt").agg(F.count("*").alias("_n"), F.sum("_size").alias("_bytes"))
     in_group = Window.partitionBy("_key").orderBy("_salt")
     cells = cells.select(
@@ -107,7 +111,7 @@ tbl AS (SELECT list(v ORDER BY i) AS t FROM (
   FROM (SELECT unnest(range(256)) AS i))),
 d AS (
   SELECT row_number() OVER () AS rid, doc_id, text, coalesce(strlen(text), 0) + 1 AS size, coalesce(md5(text), '') AS k,
-         ((coalesce(doc_id, 0) % 64) + 64) % 64 AS salt FROM documents),
+         coalesce(substr(md5(doc_id::VARCHAR), 1, 3), '000') AS salt FROM documents),
 hx AS (SELECT k, hex(encode(any_value(text))) AS h FROM d WHERE text IS NOT NULL GROUP BY k),
 crc AS (
   SELECT k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ((instr('0123456789ABCDEF', substr(h, i, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, i + 1, 1)) - 1)::BIGINT)),

@@ -201,6 +201,18 @@ def test_sharding_odd(spark, odd, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def test_sharding_ids_of_any_step_and_type(spark):
+    """One group of equal texts whose ids are 64 apart, or texts: its order is brute force's."""
+    for kind, ids in (("long", [64 * i for i in range(500)] + [None] * 3), ("string", [f"n{i}" for i in range(500)] + [None, "", ""])):
+        rows = [(i, "same" if k % 5 else f"other {k}") for k, i in enumerate(ids)]
+        got = sharding.shard_documents(spark.createDataFrame(rows, f"doc_id {kind}, text string"), n_shards=3).toPandas()
+        salt = lambda i: 0 if i is None else int(hashlib.md5(str(i).encode()).hexdigest()[:3], 16)
+        order = sorted(rows, key=lambda r: (hashlib.md5(r[1].encode()).hexdigest(), salt(r[0]), r[0] is not None, r[0] if r[0] is not None else 0))
+        got = got.sort_values(["shard", "slot"])
+        assert [(None if pd.isna(i) else i, t) for i, t in zip(got["doc_id"], got["text"])] == order
+        assert len({salt(i) for i, t in rows if t == "same"}) > 300
+
+
 # --- quality ----------------------------------------------------------------
 
 
