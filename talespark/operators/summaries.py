@@ -177,16 +177,16 @@ def render_notes(notes: DataFrame, template: str) -> DataFrame:
     return notes.withColumn("note", F.concat(*out))
 
 
-def note_names(notes: DataFrame, existing: DataFrame) -> DataFrame:
-    """Adds ``name``, the file of a new note: the thread's start at +09:00, then the title if
-    it is a slug, else its slug. Where ``existing`` (name) has that file, or a note of a
+def note_names(notes: DataFrame, existing: DataFrame, zone_hours: int = 9) -> DataFrame:
+    """Adds ``name``, the file of a new note: the thread's start in a zone of whole hours, then
+    the title if it is a slug, else its slug. Where ``existing`` (name) has that file, or a note of a
     smaller thread gets it, up to 8 letters and digits of the thread's id follow.
     Columns: thread, started_at, title. Notes without a readable start have no name."""
     at, title = F.col("started_at"), F.coalesce("title", F.lit(""))
     slug = F.when(title.rlike(SLUG), title).otherwise(slugify(title))
-    stamp = F.concat(F.replace(local_time(at, "day"), F.lit("-")), F.lit("T"), F.replace(local_time(at, "clock"), F.lit(":")), F.lit("+0900"))
+    stamp = F.concat(F.replace(local_time(at, "day", zone_hours), F.lit("-")), F.lit("T"), F.replace(local_time(at, "clock", zone_hours), F.lit(":")), F.lit(f"{zone_hours:+03d}00"))
     x = notes.withColumn("_base", F.concat(stamp, F.lit("-"), slug)).join(existing.select(F.regexp_replace("name", r"[.]md$", "").alias("_base"), F.lit(True).alias("_taken")).distinct(), "_base", "left")
-    later = F.row_number().over(Window.partitionBy("_base").orderBy("thread")) > 1
+    later = F.row_number().over(Window.partitionBy("_base", F.when(F.col("_base").isNull(), F.col("thread"))).orderBy("thread")) > 1
     short = F.substring(F.regexp_replace(F.col("thread").cast("string"), "[^A-Za-z0-9]", ""), 1, 8)
     suffix = F.when(F.coalesce("_taken", F.lit(False)) | later, F.concat(F.lit("-"), F.coalesce(F.nullif(short, F.lit("")), F.lit("thread")))).otherwise("")
     return x.withColumn("name", F.concat("_base", suffix, F.lit(".md"))).drop("_base", "_taken")

@@ -14,7 +14,6 @@ MANIFEST_VERSIONS = [1, 2, 3]
 DEFAULT_FOLDER = "sessions"
 
 MANIFEST_SCHEMA = "schemaVersion int, sourceProvider string, sourceId string, sourceRef string, captureRef string, sha256 string, byteCount long, capturedAt string, threadId string, lastEventAt string"
-STATE_SCHEMA = "projects map<string, struct<id: string, name: string, roots: array<string>>>, assignments map<string, string>, projectless array<string>"
 
 
 def below(path: Column, root: str) -> Column:
@@ -91,15 +90,6 @@ def read_manifest(spark: SparkSession, path: str, source_id: str, provider: str)
     return rows.filter("fault IS NULL AND _bad IS NULL").drop("fault", "_bad"), rows.filter("fault IS NOT NULL OR _bad IS NOT NULL")
 
 
-def app_state(documents: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Projects (project, key, name, roots, fault), assignments (thread, project) and
-    projectless threads of app-state documents (JSON text in ``col``)."""
-    s = documents.select(F.from_json(col, STATE_SCHEMA).alias("s"))
-    p = s.select(F.explode("s.projects").alias("key", "p")).select(F.col("p.id").alias("project"), "key", F.col("p.name").alias("name"), F.col("p.roots").alias("roots"))
-    fault = F.when(~F.col("project").eqNullSafe(F.col("key")), "key").when(~F.col("project").rlike("^[A-Za-z0-9._-]+$"), "id").when(F.coalesce(strip(F.col("name")), F.lit("")) == "", "name").when(F.coalesce(F.size("roots"), F.lit(0)) < 1, "roots")
-    return p.withColumn("fault", fault), s.select(F.explode("s.assignments").alias("thread", "project")), s.select(F.explode("s.projectless").alias("thread"))
-
-
 # Version and kind of projects in a registry file.
 REGISTRY_VERSION = 2
 REGISTRY_KIND = "codexAppLocalProject"

@@ -154,9 +154,6 @@ def test_files_and_sinks(spark, tmp_path):
     (tmp_path / "m.json").write_text("\n".join(json.dumps(row | x) for x in ({}, {"byteCount": -1}, {"sourceRef": "../a"})) + "\n{bad\n")
     good, bad = logs.read_manifest(spark, str(tmp_path / "m.json"), "s", "p")
     assert good.count() == 1 and bad.count() == 3
-    state = spark.createDataFrame([(json.dumps({"projects": {"p": {"id": "p", "name": " ", "roots": ["/r"]}, "q": {"id": "q", "name": "n", "roots": ["/r"]}}, "assignments": {"t": "p"}, "projectless": ["u"]}),)], "value string")
-    p, a, u = logs.app_state(state)
-    assert rows(p.select("project", "fault")) == [("p", "name"), ("q", None)] and rows(a) == [("t", "p")] and rows(u) == [("u",)]
     e = spark.createDataFrame([("s", "t", "d", "L1", "1"), ("s", "t", "d", "L1", "1"), ("s", "t", "d", "L2", "2")], "source_id string, thread_key string, canonical_sha256 string, local_id string, event_sha256 string")
     at = str(tmp_path / "events")
     sinks.write_events(e, at)
