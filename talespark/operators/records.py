@@ -152,10 +152,21 @@ def log_events(lines: DataFrame, key: str) -> DataFrame:
 
 
 def thread_messages(lines: DataFrame, key: str) -> DataFrame:
-    """(key, line_no, role, text, timestamp, turn_id): the users' and assistants' messages,
-    without mirrored ones. Lines that are null or no record give none."""
-    e = dedupe_events(classify_records(fill_context(parse_lines(lines), key), key), key)
-    return e.filter(F.col("kind").isin("user_message", "assistant_message")).select(key, "line_no", F.col("actor").alias("role"), "text", F.col("said_at").alias("timestamp"), "turn_id")
+    """(key, line_no, role, text, timestamp, turn_id, source, cwd): what users and assistants
+    say, the first of messages with equal role, turn and normalised text. Any response item with
+    such a role is a message, also one whose type makes another event or none. ``source`` is
+    response_item, event_msg or legacy_message, ``cwd`` the turn's folder, else the thread's.
+    Lines that are null or no record give none."""
+    x = fill_context(parse_lines(lines), key)
+    note, t, old = F.col("type") == "event_msg", F.col("p_type"), F.col("type") == "message"
+    source = F.when(old, "legacy_message").when(F.col("type") == "response_item", "response_item").when(note & t.isin("user_message", "agent_message"), "event_msg")
+    role = F.when(old, F.col("role")).when(note, F.when(t == "user_message", "user").otherwise("assistant")).otherwise(F.col("p_role"))
+    text = F.when(note, F.col("p_message")).otherwise(F.col("content"))
+    at = F.when(old & (F.col("timestamp") == ""), F.col("header_at")).otherwise(F.col("timestamp"))
+    said = x.filter(source.isNotNull() & role.isin("user", "assistant")).select(key, "line_no", role.alias("role"), text.alias("text"), at.alias("timestamp"), "turn_id", source.alias("source"), "cwd")
+    said = said.withColumn("text", F.when(F.col("role") == "user", clean_user_text(F.col("text"))).otherwise(strip(F.col("text")))).filter("text <> ''")
+    first = dedupe_events(said.withColumns({"actor": F.col("role"), "kind": F.concat("role", F.lit("_message"))}), key)
+    return first.drop("actor", "kind")
 
 
 def history_bases(parsed: DataFrame, key: str) -> DataFrame:
@@ -183,15 +194,17 @@ def diagnostics(parsed: DataFrame, key: str) -> DataFrame:
     A file has one row, in whichever order its lines come; nulls count as empty."""
     record, meta = F.col("state") == "object", F.col("type") == "session_meta"
     known = F.col("type").isin(RECORD_TYPES) | F.col("header") | ((F.col("type") == "") & (F.col("record_type") != ""))
-    header_at = F.min(F.when(F.col("header"), F.col("line_no"))).over(Window.partitionBy(key))
-    timed = parsed.withColumn("_old", header_at)
-    counts = record & (F.col("_old").isNull() | (F.col("line_no") <= F.col("_old")) | (F.col("timestamp") != ""))
     ids = F.when(meta, F.coalesce(_given(F.col("p_id")), _given(F.col("p_session_id")))).when(F.col("header"), F.col("id"))
-    return timed.groupBy(key).agg(
+    no = F.col("line_no")
+    timed = F.when(record & (F.col("timestamp") != ""), no)
+    # after an old header only a given time counts; without one the last record's does, given or not
+    headed, given = F.min(F.when(F.col("header"), no)), F.max(timed)
+    last = F.when(headed.isNull(), F.max_by("timestamp", F.when(record, no))).when(given > headed, F.max_by("timestamp", timed)).otherwise(F.min_by("timestamp", F.when(F.col("header"), no)))
+    return parsed.groupBy(key).agg(
         F.sort_array(F.collect_list(F.when(~record, F.col("line_no")))).alias("invalid_lines"),
         F.sort_array(F.collect_set(F.when(record & ~known, F.col("type")))).alias("unknown_types"),
         F.sort_array(F.collect_set(ids)).alias("metadata_ids"),
-        F.coalesce(F.max_by("timestamp", F.when(counts, F.col("line_no"))), F.lit("")).alias("last_event_at"),
+        F.coalesce(last, F.lit("")).alias("last_event_at"),
     )
 
 

@@ -35,6 +35,11 @@ def thread_summary(events: DataFrame, title_chars: int = 100) -> DataFrame:
     return out.withColumn("title", F.coalesce("title", F.lit("Untitled"))).withColumn("status", F.when(F.col("user_messages") > 0, "pending").otherwise("without-user-message"))
 
 
+def messages_of(messages: DataFrame, role: str) -> DataFrame:
+    """The view of one role's messages, whatever other columns they have; a null role is none."""
+    return messages.filter(F.col("role") == role)
+
+
 def messages_by_role(events: DataFrame) -> DataFrame:
     """(thread, role, messages, characters): a thread's messages of each role; a null
     role is empty, a null text has no characters."""

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talespark.functions import text as T
-from talespark.operators import histories, inputs, planning, provenance, records, summaries
+from talespark.operators import histories, inputs, planning, provenance, records, summaries, threads
 from talespark.plans.evidence import SCANNED, _numbered, scanned
 from talespark.plans.registry import _NORMAL, _SPACE
 from talespark.plans.workflow import _t
@@ -46,6 +46,23 @@ def old_messages(spark, d):
     return m.select("thread", "line_no", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"), "timestamp")
 
 
+def user_messages(spark, d):
+    """Files with folders of threads and turns; each message comes twice, as a response item,
+    of a third type each, and as an event."""
+    n = _numbered(spark, d).select("conv_id", F.col("n").cast("int").alias("n"), "role", "text")
+    base = F.concat(F.lit("/w/"), "conv_id")
+    line = lambda no, *values: F.struct((3 * F.col("n") + no).alias("line_no"), F.to_json(F.struct(*values)).alias("raw"))
+    payload = lambda kind, *values: (F.lit(kind).alias("type"), F.struct(*values).alias("payload"))
+    head = F.when(F.col("n") > 1, F.lit(None)).when(F.col("conv_id") % 3 == 0, line(-2, F.lit("x").alias("id"), F.lit("").alias("instructions"), base.alias("cwd"))).otherwise(line(-2, *payload("session_meta", base.alias("cwd"))))
+    turn = F.when(F.col("n") % 2 == 1, line(-1, *payload("turn_context", F.concat(F.lit("t"), "n").alias("turn_id"), F.when(F.col("n") % 4 == 1, F.concat(base, F.lit("/"), "n")).alias("cwd"))))
+    kind = F.when(F.col("n") % 3 == 0, "message").when(F.col("n") % 3 == 2, "function_call")
+    item = line(F.when(F.col("n") % 5 == 0, 1).otherwise(0), *payload("response_item", kind.alias("type"), "role", F.col("text").alias("content")))
+    mirror = F.when(F.col("role").isin("user", "assistant"), line(F.when(F.col("n") % 5 == 0, 0).otherwise(1), *payload("event_msg", F.when(F.col("role") == "user", "user_message").otherwise("agent_message").alias("type"), F.col("text").alias("message"))))
+    lines = n.select(F.col("conv_id").alias("thread"), F.explode(F.array_compact(F.array(head, turn, item, mirror))).alias("x")).select("thread", "x.*")
+    m = threads.messages_of(records.thread_messages(lines, "thread"), "user")
+    return m.select("thread", "line_no", "turn_id", "source", "cwd", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def history_origins(spark, d):
     """Two headers a file; the first one counts, whatever form its base has."""
     k = F.col("doc_id")
@@ -188,7 +205,7 @@ def overall_state(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        repository_forms, event_locators, old_messages, history_origins, merged_summaries, scan_excluded, rebuild_counts, rebuild_excluded, summary_wording, note_faults, staged_faults, registry_projects, moved_locators,
+        repository_forms, event_locators, old_messages, user_messages, history_origins, merged_summaries, scan_excluded, rebuild_counts, rebuild_excluded, summary_wording, note_faults, staged_faults, registry_projects, moved_locators,
         source_states, overall_state,
     )
 }
@@ -208,6 +225,8 @@ SELECT page_id, lower(CASE WHEN page_id % 4 < 2 THEN 'https://' || h || '/' || q
 SELECT 'k' || conv_id || ':' || md5(conv_id::VARCHAR) || ':' || CASE WHEN conv_id % 3 = 0 THEN 'H1-' ELSE '' END || id AS canonical_id, CASE WHEN conv_id % 2 = 0 THEN 'raw:/p/' || conv_id ELSE '' END || '#' || id AS raw_locator FROM c""",
     "old_messages": f"""WITH {_N}, m AS (SELECT conv_id, n, role, {_TRIM} AS t, row_number() OVER (PARTITION BY conv_id, role, {_NORMAL} ORDER BY n) AS again FROM e WHERE role IN ('user', 'assistant') AND {_TRIM} <> '')
 SELECT conv_id::VARCHAR AS thread, (n + 1)::INTEGER AS line_no, role, md5(t) AS text_md5, CASE WHEN n % 2 = 1 THEN 'time ' || (n + 1) ELSE 'start ' || conv_id END AS timestamp FROM m WHERE again = 1""",
+    "user_messages": f"""WITH {_N}, m AS (SELECT conv_id, n, n - 1 + n % 2 AS o, {_TRIM} AS t, row_number() OVER (PARTITION BY conv_id, n - 1 + n % 2, {_NORMAL} ORDER BY n) AS again FROM e WHERE role = 'user' AND {_TRIM} <> '')
+SELECT conv_id AS thread, (3 * n)::INTEGER AS line_no, 't' || o AS turn_id, CASE WHEN n % 5 = 0 THEN 'event_msg' ELSE 'response_item' END AS source, '/w/' || conv_id || CASE WHEN o % 4 = 1 THEN '/' || o ELSE '' END AS cwd, md5(t) AS text_md5 FROM m WHERE again = 1""",
     "history_origins": """SELECT doc_id::VARCHAR AS thread, CASE doc_id % 3 WHEN 0 THEN '{"a":"' || doc_id || '","b":1}' WHEN 1 THEN 't' || doc_id ELSE '' END AS history_base FROM documents""",
     "merged_summaries": f"""WITH {_N}, t AS (SELECT conv_id, md5(coalesce(string_agg(text, chr(10) ORDER BY n), '')) AS timeline_md5, string_agg('L' || lpad(n::VARCHAR, 6, '0'), ', ' ORDER BY n) FILTER (n % 3 <> 0 AND conv_id % 4 <> 0) AS u FROM e GROUP BY 1),
 f AS (SELECT conv_id, coalesce(role, '') AS r, min(n) AS first_n FROM e WHERE coalesce(role, '') <> 'system' GROUP BY 1, 2), l AS (SELECT conv_id, string_agg(r, '|' ORDER BY first_n) AS l FROM f GROUP BY 1)

@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from talespark.functions import text as T
-from talespark.operators import histories, inputs, planning, provenance, records, summaries
+from talespark.operators import histories, inputs, planning, provenance, records, summaries, threads
 from talespark.sources import logs
 
 
@@ -118,6 +118,31 @@ def test_messages_and_bases(spark):
     assert rows(histories.canonical_ids(ids).select("canonical_id", "raw_locator")) == [("::", "#"), ("k:s:L1", "c#L1")]
 
 
+def test_folders_of_messages(spark):
+    say = lambda text, **kw: {"type": "response_item", "payload": {"role": "user", "content": text} | kw}
+    turn = lambda t, **kw: {"type": "turn_context", "payload": {"turn_id": t} | kw}
+    note = {"type": "event_msg", "payload": {"type": "agent_message", "message": "a"}}
+    old = {"type": "message", "role": "assistant", "content": "a"}
+    records_ = [say("a"), {"type": "session_meta", "payload": {"cwd": "/w"}}, say("a", type="function_call", name="f", input="i"), turn("1", cwd="/w/1"), say("b", type="reasoning"), say("b"), note, old, turn("2"), old, say(" "), {"type": "event_msg", "payload": {"type": "other", "message": "m"}}]
+    x = spark.createDataFrame([("f", i, json.dumps(r)) for i, r in enumerate(records_, 1)] + [("f", 99, None), (None, 1, "{")], "thread string, line_no int, raw string")
+    m = records.thread_messages(x, "thread")
+    assert rows(m.select("line_no", "role", "text", "turn_id", "source", "cwd")) == [
+        (1, "user", "a", "", "response_item", ""), (10, "assistant", "a", "2", "legacy_message", "/w"), (5, "user", "b", "1", "response_item", "/w/1"), (7, "assistant", "a", "1", "event_msg", "/w/1"),
+    ]
+    assert rows(threads.messages_of(m, "assistant").select("line_no")) == [(10,), (7,)] and records.thread_messages(x.limit(0), "thread").count() == 0
+
+
+def test_last_time_of_files(spark):
+    head = {"id": "f", "instructions": "", "timestamp": "H"}
+    item = lambda t: {"type": "response_item", "timestamp": t}
+    cases = {
+        "none": [[]], "new": [item("a"), item("")], "timed": [item("a"), item("b")], "old": [item("a"), head, item("")], "old-timed": [head, item("b"), item("")], "old-none": [item("a"), {**head, "timestamp": ""}, item("")], "two": [head, item(""), {**head, "timestamp": "K"}],
+    }
+    x = spark.createDataFrame([(k, i, json.dumps(r)) for k, v in cases.items() for i, r in enumerate(v, 1)] + [("old", 4, None)], "thread string, line_no int, raw string")
+    got = {r["thread"]: r["last_event_at"] for r in records.diagnostics(records.parse_lines(x), "thread").collect()}
+    assert got == {"none": "", "new": "", "timed": "b", "old": "H", "old-timed": "b", "old-none": "", "two": "K"}
+
+
 def test_unknown_times(spark):
     p = spark.createDataFrame([("t", 1, ["x"], None), ("u", 1, None, ["l"])], "thread string, chunk int, timeline array<string>, limitations array<string>")
     e = spark.createDataFrame([("t", 2, "L2", None), ("t", 1, "L1", "2026-01-01"), ("u", 1, "L1", "2026-01-01T00:00:00Z")], "thread string, ord int, local_id string, timestamp string")
