@@ -1,9 +1,10 @@
 """Quality rules in DataFrame functions only: base statistics of every whole text,
-and a hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
+and hashed n-gram log-likelihood ratios between a trusted target and the raw corpus.
 
-The n-grams are the character trigrams at both edges of every word, hashed into
-``N_BUCKETS``. Both multinomials are smoothed; a document's ratio is the mean over
-its n-grams, and a fixed threshold decides.
+There are two kinds of n-grams, each hashed into ``N_BUCKETS``: the character trigrams at
+both edges of every word, and all character trigrams of every word, a shorter word being
+one. Both multinomials of a kind are smoothed; a document's ratio is the mean over its
+n-grams of the kind, and fixed thresholds decide: a text is kept if both reach theirs.
 """
 
 from __future__ import annotations
@@ -16,10 +17,14 @@ from .common import ascii_words, materialize, pick, read
 N_BUCKETS = 1 << 14
 #: Trusted-target documents: at most so many labelled rows, those of smallest id hash.
 MAX_TARGET = 20_000
-#: A document is kept if the mean log ratio of its n-grams reaches this.
+#: A document is kept if the mean log ratio of its word edges reaches this,
 THRESHOLD = -1.0
+#: and that of all its trigrams this.
+WHOLE_THRESHOLD = -0.5
 SMOOTHING = 1.0
 WINDOW = 8
+#: Trigrams are taken from pieces of at most so many characters, so that long words cost no more a character.
+PIECE = 256
 
 
 def edge_grams(word: str | Column) -> list[Column]:
@@ -27,6 +32,21 @@ def edge_grams(word: str | Column) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit("^"), F.substring(word, 1, 3)), F.lit(N_BUCKETS)).cast("int"), F.pmod(F.xxhash64(F.lit("$"), F.substring(word, -3, 3)), F.lit(N_BUCKETS)).cast("int")]
 
 
+def pieces(word: Column) -> Column:
+    """A word as pieces that have each of its trigrams once: a long one's overlap by two characters."""
+    cut = F.regexp_extract_all(word, F.lit(f"(?s)(?=(.{{3,{PIECE}}})).{{1,{PIECE - 2}}}"), F.lit(1))
+    return F.when(F.length(word) > PIECE, cut).otherwise(F.array(word))
+
+
+def n_whole(word: Column) -> Column:
+    return F.greatest(F.length(word) - 2, F.lit(1))
+
+
+def whole_gram(piece: Column, i: Column) -> Column:
+    """Bucket of a piece's i-th trigram (from 1), behind the buckets of edges."""
+    return F.pmod(F.xxhash64(F.substring(piece, i, F.lit(3))), F.lit(N_BUCKETS)).cast("int") + N_BUCKETS
+
+
 def let(value: str, name: str, body: str) -> str:
     """SQL in which ``name`` stands for ``value``, computed once."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
@@ -69,49 +89,58 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def ratio_weights(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """(bucket, weight): log of smoothed target over smoothed raw probability.
+    """(bucket, weight): log of smoothed target over smoothed raw probability, of edges
+    below N_BUCKETS and of all trigrams from there on.
 
     Raw counts are of every document. The trusted ids are at most MAX_TARGET rows,
     so they are broadcast. Without trusted documents every weight is 0.
     """
     ids = pick(trusted_ids, "doc_id").filter(F.col("doc_id").isNotNull()).distinct()
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TARGET).withColumn("target", F.lit(1))
-    grams = pick(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id", "left")
-    grams = grams.select("target", F.explode(ascii_words("text")).alias("word")).select("target", F.explode(F.array(*edge_grams("word"))).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("target"))
-    counts = materialize(counts, "rule-counts")  # at most N_BUCKETS rows
-    raws, targets = counts.agg(F.sum("raw"), F.sum("target")).first()
-    if not targets:
-        return counts.select("bucket", F.lit(0.0).alias("weight"))
-    p = lambda n, total: F.log((F.col(n) + SMOOTHING) / (total + SMOOTHING * N_BUCKETS))
-    return counts.select("bucket", (p("target", targets) - p("raw", raws)).alias("weight"))
+    words = pick(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id", "left").select("target", F.explode(ascii_words("text")).alias("word"))
+    parts = words.select("target", "word", F.posexplode(pieces(F.col("word"))).alias("k", "piece"))
+    # -1 and 0 stand for the edges of the word, once for its first piece
+    grams = parts.select("target", "word", "piece", F.explode(F.sequence(F.when(F.col("k") == 0, -1).otherwise(1), n_whole(F.col("piece")))).alias("i"))
+    first, last = edge_grams("word")
+    gram = F.when(F.col("i") == -1, first).when(F.col("i") == 0, last).otherwise(whole_gram(F.col("piece"), F.col("i")))
+    counts = grams.select("target", gram.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("target"))
+    counts = materialize(counts, "rule-counts")  # at most 2 * N_BUCKETS rows
+    kind = F.floor(F.col("bucket") / N_BUCKETS).alias("kind")
+    totals = counts.groupBy(kind).agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
+    p = lambda n, total: F.log((F.col(n) + SMOOTHING) / (F.col(total) + SMOOTHING * N_BUCKETS))
+    weight = F.when(F.col("targets") > 0, p("target", "targets") - p("raw", "raws")).otherwise(0.0)
+    return counts.withColumn("kind", kind).join(F.broadcast(totals), "kind").select("bucket", weight.alias("weight"))
 
 
 def constant(weights: DataFrame) -> Column:
-    """All N_BUCKETS weights in order, 0 for a bucket without one, as one constant array of a plan."""
-    every = weights.sparkSession.range(N_BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    """All 2 * N_BUCKETS weights in order, 0 for a bucket without one, as one constant array of a plan."""
+    every = weights.sparkSession.range(2 * N_BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     whole = every.join(weights, "bucket", "left").select(F.struct("bucket", F.coalesce("weight", F.lit(0.0)).alias("weight")).alias("x"))
     text = whole.agg(F.to_json(F.array_sort(F.collect_list("x")).getField("weight"))).first()[0]
     return F.from_json(F.lit(text), "array<double>")  # folded by the optimizer, once for a plan
 
 
-def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, base statistics, base_failed, llr, kept. ``id_col`` names
-    the column that is given out as doc_id; trusted are rows whose doc_id is.
+def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", whole_threshold: float = WHOLE_THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, base statistics, base_failed, llr (of word edges),
+    whole_llr (of all trigrams of its words), kept. ``id_col`` names the column that is
+    given out as doc_id; trusted are rows whose doc_id is.
 
-    ``kept`` is false where the base rules fail, else whether the mean log ratio
-    reaches the threshold. Null and empty texts have no words, an llr of 0, and fail
+    ``kept`` is false where the base rules fail, else whether both mean log ratios
+    reach their thresholds. Null and empty texts have no words, ratios of 0, and fail
     the base rules. Repeated rows and null ids are judged one by one; other columns
     are ignored; without trusted documents the base rules alone decide.
     """
     base = base_statistics(docs, id_col)
     weights = constant(ratio_weights(docs, trusted_ids))
-    ratio = lambda words, w: F.aggregate(words, F.lit(0.0), lambda total, word: total + sum(F.get(w, g) for g in edge_grams(word)))
     # looked up in the row, so that the sum over a document's words needs neither join nor shuffle
-    s = F.element_at(F.transform(F.array(weights), lambda w: ratio(F.col("words"), w)), 1)
-    llr = F.when(F.size("words") > 0, s / (2 * F.size("words"))).otherwise(0.0)
-    out = base.withColumn("llr", llr).drop("words")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    by = lambda add: F.element_at(F.transform(F.array(weights), lambda w: F.aggregate("words", F.lit(0.0), lambda total, word: add(total, word, w))), 1)
+    edges = by(lambda total, word, w: total + sum(F.get(w, g) for g in edge_grams(word)))
+    inside = lambda piece, total, w: F.aggregate(F.sequence(F.lit(1), n_whole(piece)), total, lambda t, i: t + F.get(w, whole_gram(piece, i)))
+    whole = by(lambda total, word, w: F.when(F.length(word) <= PIECE, inside(word, total, w)).otherwise(F.aggregate(pieces(word), total, lambda t, piece: inside(piece, t, w))))
+    n = F.aggregate("words", F.lit(0), lambda n, word: n + n_whole(word))
+    mean = lambda s, n: F.when(F.size("words") > 0, s / n).otherwise(0.0)
+    out = base.withColumns({"llr": mean(edges, 2 * F.size("words")), "whole_llr": mean(whole, n)}).drop("words")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & (F.col("whole_llr") >= whole_threshold))
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -121,5 +150,5 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), trusted(read(spark, sf_dir, "labels"))).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr", "whole_llr"
     )

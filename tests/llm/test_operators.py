@@ -352,6 +352,23 @@ def test_rules_odd(spark, odd, none):
     assert rules.quality_rules(none, ids).count() == 0
 
 
+def test_rules_read_whole_words(spark):
+    """Texts whose words have good edges but other characters inside, or one run without spaces
+    that is good at both ends only, are not kept; the ratio is that of all trigrams."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh"), 12)) for _ in range(200)]
+    good = ["a bc " + " ".join(rng.choice(words, 40)) for _ in range(30)]
+    inside = [" ".join(w[:3] + "".join(rng.choice(list("QXZ\U00010400"), 6)) + w[-3:] for w in rng.choice(words, 40)) for _ in range(3)]
+    texts = [*good, *inside, " ".join(words[:21]) + "Q" * 3000 + words[0], *(" ".join(words[:20]) + " " + "".join(rng.choice(list("abcdefgh"), n)) for n in (255, 256, 257, 510, 511, 512, 513))]
+    ids = spark.createDataFrame([(i,) for i in range(25)], "doc_id long")
+    out = rules.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ids).orderBy("doc_id").toPandas()
+    assert out["kept"].tolist() == [True] * 30 + [False] * 4 + [True] * 7 and (out["llr"] >= rules.THRESHOLD).all() and not out["base_failed"].any()
+    grams = [[signed(xxhash.xxh64_intdigest(w[i : i + 3].encode(), 42)) % rules.N_BUCKETS for w in t.split() for i in range(max(1, len(w) - 2))] for t in texts]
+    raw, target = Counter(g for t in grams for g in t), Counter(g for t in grams[:25] for g in t)
+    weight = {g: math.log((target[g] + 1) / (target.total() + rules.N_BUCKETS) * (raw.total() + rules.N_BUCKETS) / (n + 1)) for g, n in raw.items()}
+    assert np.allclose(out["whole_llr"], [sum(weight[g] for g in t) / len(t) for t in grams])
+
+
 def test_repeat_shapes(spark):
     w = [f"w{i}" for i in range(100)]
     texts = [w[:8] * 2, w[:8] + w[50:60] + w[:8], w[:9] + w[3:12] + w[:9], w[:4] * 5, w[:7] * 2, ["a"] * 9, ["a"] * 8, w[:20] + w[2:11] + w[30:40] + w[5:18]]
