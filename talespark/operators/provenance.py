@@ -8,12 +8,31 @@ from pyspark.sql import functions as F
 from talespark.functions.text import is_uuid
 
 
+#: Rows of an activity table that one task takes; what they expand to is several times as much.
+TASK_ROWS = 250_000
+
+
+def _tasks(*tables: DataFrame) -> int:
+    """A number of tasks that grows with the rows. Spark deals out by bytes before the
+    expansion, so left to itself it would give a task as much as its memory takes."""
+    least = int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, *(-(-t.count() // TASK_ROWS) for t in tables))
+
+
 def relations(used: DataFrame, generated: DataFrame) -> DataFrame:
     """(activity, src, dst): every generated entity derives from every used one of its
-    activity; a row's arrays are exploded, so only activities are joined."""
-    u = used.groupBy("activity").agg(F.collect_set("entity").alias("src"))
-    g = generated.groupBy("activity").agg(F.collect_set("entity").alias("dst"))
-    return u.join(g, "activity").withColumn("src", F.explode("src")).select("activity", "src", F.explode("dst").alias("dst"))
+    activity, once; null entities are none. Rows are dealt out by activity over tasks whose
+    number grows with the rows."""
+    n = _tasks(used, generated)
+    side = lambda table, name: table.select("activity", F.col("entity").alias(name)).filter(F.col(name).isNotNull()).repartition(n, "activity").distinct()
+    return side(used, "src").join(side(generated, "dst"), "activity").select("activity", "src", "dst")
+
+
+def edge_counts(used: DataFrame, generated: DataFrame) -> DataFrame:
+    """(dst, edges, sources): how many relations end in an entity, and from how many
+    different entities. Pairs are dealt out over as many tasks as the relations."""
+    pairs = relations(used, generated).select("dst", "src").repartition(_tasks(used, generated), "dst", "src")
+    return pairs.groupBy("dst", "src").agg(F.count("*").alias("n")).groupBy("dst").agg(F.sum("n").alias("edges"), F.count("*").alias("sources"))
 
 
 def run_totals(entries: DataFrame, source: str | list[str], status: str) -> DataFrame:

@@ -128,8 +128,8 @@ def idle_sessions(spark, d):
 
 def derived_edges(spark, d):
     li = _t(spark, d, "lineitem")
-    r = provenance.relations(li.select(F.col("l_orderkey").alias("activity"), F.col("l_partkey").alias("entity")), li.select(F.col("l_orderkey").alias("activity"), F.col("l_suppkey").alias("entity")))
-    return r.groupBy(F.col("dst").alias("supplier")).agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"))
+    r = provenance.edge_counts(li.select(F.col("l_orderkey").alias("activity"), F.col("l_partkey").alias("entity")), li.select(F.col("l_orderkey").alias("activity"), F.col("l_suppkey").alias("entity")))
+    return r.select(F.col("dst").alias("supplier"), "edges", "sources")
 
 
 def run_totals(spark, d):
