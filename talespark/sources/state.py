@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talespark.functions.text import event_epoch, strip
+from talespark.sources.tables import written
 
 # The members of an app-state file, the kind of projects that it holds itself, and the shape of their ids.
 MEMBERS = ["local-projects", "thread-project-assignments", "projectless-thread-ids"]
@@ -31,17 +32,21 @@ def app_state_tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     is, its key; a project needs a name, a root and a time of creation that can be read; an
     assignment needs kind and project, and a local one a sound project of its file. Numbers
     count as their text. Null texts are no objects. Repeated files give repeated rows.
+
+    Files are split, and projects judged, once: both are written, in as many tasks as a shuffle has.
     """
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.regexp_replace(F.coalesce("value", F.lit("")), r"\A\x{FEFF}", "")
-    m = files.select("source", _object(text).alias("m"))
+    m = files.repartition(n, "source").select("source", _object(text).alias("m"))
     assigned, projects, free = F.col("m")[MEMBERS[1]], F.col("m")[MEMBERS[0]], F.coalesce(F.col("m")[MEMBERS[2]], F.lit("[]"))
     listed = F.when(F.startswith(strip(free), F.lit("[")), F.from_json(free, "array<string>"))
     plain = listed.isNotNull() & ~F.exists(listed, lambda x: x.isNull())
     shape = m.select("source", "m", _object(projects).alias("p"), _object(assigned).alias("a"), F.when(plain, listed).alias("f"))
-    broken = F.array(F.when(F.col("m").isNull(), F.lit("file")), *(F.when(F.col("m").isNotNull() & F.col(c).isNull(), F.lit(n)) for c, n in zip("paf", MEMBERS)))
-    lacking = shape.select("source", F.explode(F.array_compact(broken)).alias("member")).select("source", "member", F.lit(None).cast("string").alias("item"), F.lit("shape").alias("fault"))
+    broken = F.array(F.when(F.col("m").isNull(), F.lit("file")), *(F.when(F.col("m").isNotNull() & F.col(c).isNull(), F.lit(k)) for c, k in zip("paf", MEMBERS)))
+    shape = written(shape.select("source", "p", "a", "f", F.array_compact(broken).alias("broken")), "app-state")
+    lacking = shape.select("source", F.explode("broken").alias("member")).select("source", "member", F.lit(None).cast("string").alias("item"), F.lit("shape").alias("fault"))
 
-    p = shape.select("source", F.explode("p").alias("item", "v")).select("source", "item", _object(F.col("v")).isNotNull().alias("ok"), F.from_json("v", PROJECT).alias("v"))
+    p = shape.select("source", F.explode("p").alias("item", "v")).repartition(n, "source", "item").select("source", "item", _object(F.col("v")).isNotNull().alias("ok"), F.from_json("v", PROJECT).alias("v"))
     ident, name = strip(F.col("v.id")), strip(F.col("v.name"))
     made, changed = event_epoch(F.col("v.createdAt")), event_epoch(F.col("v.updatedAt"))
     fault = (
@@ -49,6 +54,7 @@ def app_state_tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
         .when(F.coalesce(F.size("v.rootPaths"), F.lit(0)) < 1, "roots").when(made.isNull() | (F.col("v.updatedAt").isNotNull() & changed.isNull()), "time").when(ident != F.col("item"), "key")
     )
     p = p.select("source", "item", ident.alias("project"), name.alias("name"), F.col("v.rootPaths").alias("roots"), F.col("v.createdAt").alias("created_at"), F.col("v.updatedAt").alias("updated_at"), fault.alias("fault"))
+    p = written(p, "app-projects")
     sound = p.filter("fault IS NULL").drop("item", "fault")
 
     a = shape.select("source", F.explode("a").alias("thread", "v")).select("source", "thread", _object(F.col("v")).isNotNull().alias("ok"), F.from_json("v", ASSIGNMENT).alias("v"))

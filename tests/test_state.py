@@ -31,6 +31,19 @@ def test_app_state_faults(spark):
     assert all(t.count() == 0 for t in state.app_state_tables(files.limit(0)))
 
 
+def test_app_states_are_read_once(spark):
+    """Each file is parsed once for all four tables, and its projects by several tasks."""
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda s: read.add(1) or s, "string").asNondeterministic()
+    text = json.dumps({"local-projects": {f"p{i}": project(f"p{i}") for i in range(50)}, "thread-project-assignments": {}, "projectless-thread-ids": []})
+    files = spark.createDataFrame([("1", text), ("2", text)], "source string, value string").withColumn("value", count("value"))
+    p, a, f, faults = state.app_state_tables(files)
+    assert p.count() == 100 and a.count() == f.count() == faults.count() == 0
+    assert read.value == 2 and len({x.rsplit("/", 1)[-1] for x in p.inputFiles()}) > 1
+
+
 def test_app_state_file(spark, tmp_path):
     for name in ("a.json", "it's b.json"):
         (tmp_path / name).write_text("﻿" + json.dumps({"local-projects": {"p": project()}, "thread-project-assignments": {"t": {"projectKind": "local", "projectId": "p"}}}, indent=1), "utf-8")
