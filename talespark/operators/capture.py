@@ -109,8 +109,8 @@ def prefix_versions(captures: DataFrame) -> DataFrame:
 
     A thread's lengths, and the digests of every version's first bytes at these, are compared
     by equality; contents are read, but neither sorted nor compared, and leave their tasks
-    only where the table of lengths is too large for Spark to broadcast. Null contents begin
-    none; an empty content begins every other one.
+    once at most: only where the table of lengths is too large for Spark to broadcast. Null
+    contents begin none; an empty content begins every other one.
     """
     sized = captures.filter("content IS NOT NULL").select("thread", "sha256", F.octet_length("content").cast("long").alias("size"))
     versions = sized.groupBy("thread", "sha256").agg(F.first("size").alias("size"))
@@ -125,6 +125,13 @@ def collapse_prefixes(captures: DataFrame) -> DataFrame:
     return captures.join(prefix_versions(captures), ["thread", "sha256"], "left_anti").select(*captures.columns)
 
 
+def last_versions(captures: DataFrame) -> DataFrame:
+    """(thread, sha256, byte_count) of the different versions that begin no longer one of
+    their thread. Versions are told apart by their digests, so no content is shuffled for it."""
+    versions = captures.select("thread", "sha256", "byte_count").distinct()
+    return versions.join(prefix_versions(captures), ["thread", "sha256"], "left_anti")
+
+
 def set_digest(digests: Column) -> Column:
     """SHA-256 of sorted digests as a compact JSON array."""
     return F.sha2(F.concat(F.lit('["'), F.array_join(F.sort_array(digests), '","'), F.lit('"]')), 256)

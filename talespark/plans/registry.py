@@ -56,10 +56,9 @@ def exact_copies(spark, d):
 
 
 def prefix_versions(spark, d):
-    c = _captures(spark, d).select(F.concat("thread", F.lit("-"), F.floor(F.col("doc_id") / 10).cast("string")).alias("thread"), "content").distinct()
+    c = _captures(spark, d).select(F.concat("thread", F.lit("-"), F.floor(F.col("doc_id") / 10).cast("string")).alias("thread"), "content")
     halves = c.withColumn("content", F.substring(F.col("content").cast("string"), F.lit(1), F.length(F.col("content").cast("string")) / 2).cast("binary"))
-    versions = capture.with_digest(c.unionByName(halves).distinct())
-    return capture.collapse_prefixes(versions).select("thread", "sha256", "byte_count")
+    return capture.last_versions(capture.with_digest(c.unionByName(halves)))
 
 
 def source_sets(spark, d):
