@@ -33,7 +33,7 @@ def app_state_tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     assignment needs kind and project, and a local one a sound project of its file. Numbers
     count as their text. Null texts are no objects. Repeated files give repeated rows.
 
-    Files are split, and projects judged, once: both are written, in as many tasks as a shuffle has.
+    Files are split, and projects judged, once: both are written; projects in as many tasks as a shuffle has.
     """
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.regexp_replace(F.coalesce("value", F.lit("")), r"\A\x{FEFF}", "")
